@@ -145,12 +145,14 @@ def rolling_range(df: DataFrame, keys: Sequence[str], time: str, span: float,
     Rows are cut into time buckets and each bucket also receives the rows of the one before that are
     still in reach, so a key's history is spread over many tasks and the copies stay below span/bucket.
     """
-    bucket = bucket or span * 64
-    t = F.col(time).cast("double")
-    home = F.floor(t / bucket).cast("long")
-    reach = F.when(t >= (home + 1) * F.lit(bucket) - F.lit(span), F.array(home, home + 1)).otherwise(F.array(home))
+    # Range frames need whole numbers: fractional times are taken in thousandths.
+    scale = 1 if dict(df.dtypes)[time] in ("int", "bigint", "smallint") else 1000
+    span, width = int(round(span * scale)), int(round((bucket or span * 64) * scale))
+    t = F.round(F.col(time) * scale).cast("long")
+    home = F.floor(t / width).cast("long")
+    reach = F.when(t >= (home + 1) * F.lit(width) - F.lit(span), F.array(home, home + 1)).otherwise(F.array(home))
     spread = df.withColumn("_home", home).withColumn("_bucket", F.explode(reach))
-    w = Window.partitionBy(*keys, "_bucket").orderBy(t).rangeBetween(-span, -back_to)
+    w = Window.partitionBy(*keys, "_bucket").orderBy(t).rangeBetween(-span, -int(round(back_to * scale)))
     return (spread.select("*", *[c.over(w).alias(n) for n, c in values.items()])
             .where(F.col("_home") == F.col("_bucket")).drop("_home", "_bucket"))
 

@@ -66,8 +66,9 @@ def dimension(df: DataFrame) -> DataFrame:
 
 
 def input_bytes(df: DataFrame) -> int:
-    """The optimizer's size estimate; an upper bound for scans, projections, filters and joins."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    """Bytes of the tables a plan reads: known file sizes, and "huge" for anything unknown."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
 
 
 @dataclass(frozen=True)
@@ -93,7 +94,8 @@ def hot_keys(df: DataFrame, keys: Sequence[str], order: str | None = None,
              limit: int | None = None) -> HotKeys | None:
     """The keys holding more than ``limit`` rows, or None when there are none.
 
-    There are at most rows / limit of them, so the list is bounded whatever the table's size.
+    There are at most rows / limit of them, so the list is bounded whatever the table's size. Plans that
+    read fewer bytes than one task may hold are not counted: they have nothing to split.
     """
     limit = limit or hot_rows(df)
     if input_bytes(df) < limit * SAFE_BYTES_PER_ROW:

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-AREAS = ("scored", "joined")
+AREAS = ("scored", "joined", "sequences")
 
 
 def load_all() -> None:

@@ -159,18 +159,20 @@ def lookahead_label(s: Star) -> DataFrame:
     return out.select("event_id", "bought", "first_id", "first_cents")
 
 
-PAIRS_SQL = LINES_SQL + """,
-seat AS (SELECT game_id, team, champion, max(win::INT) AS w FROM lines GROUP BY ALL),
-pairs AS (SELECT a.champion, b.champion AS other, a.team = b.team AS together, count(*) AS games, CAST(sum(a.w) AS BIGINT) AS wins
-  FROM seat a JOIN seat b ON a.game_id = b.game_id AND a.champion <> b.champion GROUP BY ALL)"""
+def pairs_sql(who: str) -> str:
+    return LINES_SQL + f""",
+seat AS (SELECT game_id, team, {who}, max(win::INT) AS w FROM lines GROUP BY ALL),
+pairs AS (SELECT a.{who}, b.{who} AS other, a.team = b.team AS together, count(*) AS games, CAST(sum(a.w) AS BIGINT) AS wins
+  FROM seat a JOIN seat b ON a.game_id = b.game_id AND a.{who} <> b.{who} GROUP BY ALL)"""
 
 
-@query("pair_synergy", with_sql(PAIRS_SQL) + "SELECT * FROM pairs")
+
+@query("pair_synergy", with_sql(pairs_sql("champion")) + "SELECT * FROM pairs")
 def pair_synergy(s: Star) -> DataFrame:
     return J.pair_records(s.lines(), "game_id", "team", "champion", "win")
 
 
-@query("head_to_head", with_sql(PAIRS_SQL.replace("champion", "supplier")) + """
+@query("head_to_head", with_sql(pairs_sql("supplier")) + """
 SELECT supplier, other, CAST(sum(games) FILTER (WHERE together) AS BIGINT) AS games_with, CAST(sum(wins) FILTER (WHERE together) AS BIGINT) AS wins_with,
   CAST(sum(games) FILTER (WHERE NOT together) AS BIGINT) AS games_against, CAST(sum(wins) FILTER (WHERE NOT together) AS BIGINT) AS wins_against
 FROM pairs GROUP BY supplier, other""")
@@ -182,7 +184,7 @@ def head_to_head(s: Star) -> DataFrame:
         F.sum(F.when(~t, F.col("games"))).alias("games_against"), F.sum(F.when(~t, F.col("wins"))).alias("wins_against"))
 
 
-@query("frequent_partner", with_sql(PAIRS_SQL.replace("champion", "supplier")) + """
+@query("frequent_partner", with_sql(pairs_sql("supplier")) + """
 SELECT supplier, other, games, wins FROM pairs WHERE together
 QUALIFY row_number() OVER (PARTITION BY supplier ORDER BY games DESC, other) <= 5""")
 def frequent_partner(s: Star) -> DataFrame:

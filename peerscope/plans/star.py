@@ -50,7 +50,7 @@ seats AS (
   FROM lines GROUP BY game_id, slot, team)"""
 EVENTS_SQL = """
 ev AS (
-  SELECT event_id, user_id, event_type, CAST(epoch_us(ts) AS BIGINT) AS us, CAST(epoch(ts) AS BIGINT) AS s, ts,
+  SELECT event_id, user_id, event_type, CAST(epoch_us(ts) AS BIGINT) AS us, CAST(epoch_us(ts) // 1000000 AS BIGINT) AS s, ts,
          CAST(round(value * 100) AS BIGINT) AS cents, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k
   FROM events)"""
 
