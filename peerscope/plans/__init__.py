@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-AREAS = ("scored", "joined", "sequences")
+AREAS = ("scored", "joined", "sequences", "grouped", "past")
 
 
 def load_all() -> None:

@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.catalogue import METRIC_SCHEMA, metric_rows
+from ..operators.joins import opponents
+from ..operators.scale import beside
 from ..session import prepare
 
 TIERS = ("BUILDING", "MACHINERY", "HOUSEHOLD", "FURNITURE", "AUTOMOBILE")
@@ -48,6 +50,19 @@ seats AS (
          CAST(sum(quantity) AS BIGINT) AS gold, CAST(sum(discount) AS BIGINT) AS kills, CAST(sum(tax) AS BIGINT) AS deaths,
          CAST(count(*) AS BIGINT) AS assists, CAST(sum(price) AS BIGINT) AS damage, min(start_s) AS start_s
   FROM lines GROUP BY game_id, slot, team)"""
+BUILDS_SQL = SEATS_SQL + """,
+builds AS (
+  SELECT s.game_id AS match_id, s.supplier AS player, s.team, s.slot AS role, s.champion, o.champion AS opponent,
+         s.win, s.kills, s.deaths, s.assists, s.gold AS cs, s.damage, s.gold * 100 + s.kills AS gold, s.item % 50 AS vision,
+         s.duration_s, s.patch, s.tier, CAST(sum(s.kills) OVER (PARTITION BY s.game_id, s.team) AS BIGINT) AS team_kills,
+         s.start_s, s.gold - o.gold AS cs_diff, s.damage - o.damage AS gold_diff, o.deaths AS opp_deaths
+  FROM seats s LEFT JOIN seats o ON o.game_id = s.game_id AND o.slot = s.slot AND o.team <> s.team)"""
+CARTS_SQL = LINES_SQL + """,
+carts AS (
+  SELECT game_id AS match_id, min(player) AS player, min(role) AS role, min(tier) AS tier, min(patch) AS patch,
+         min(status) = 'F' AS win, min(champion) AS champion, list(item % 40 ORDER BY slot, item) AS purchases,
+         list((slot - 1) * 20 ORDER BY slot, item) AS purchase_s
+  FROM lines GROUP BY game_id)"""
 EVENTS_SQL = """
 ev AS (
   SELECT event_id, user_id, event_type, CAST(epoch_us(ts) AS BIGINT) AS us, CAST(epoch_us(ts) // 1000000 AS BIGINT) AS s, ts,
@@ -99,6 +114,28 @@ class Star:
             F.sum("quantity").alias("gold"), F.sum("discount").alias("kills"), F.sum("tax").alias("deaths"),
             F.count(F.lit(1)).alias("assists"), F.sum("price").alias("damage"), F.min("start_s").alias("start_s"))
 
+    def builds(self) -> DataFrame:
+        seats = self.seats()
+        full = beside(seats, ["game_id", "team"], {"team_kills": F.sum("kills")})
+        faced = opponents(full, "game_id", "slot", "team",
+                          {"opponent": "champion", "_og": "gold", "_od": "damage", "opp_deaths": "deaths"}, "left")
+        return faced.select(
+            F.col("game_id").alias("match_id"), F.col("supplier").alias("player"), "team", F.col("slot").alias("role"), "champion",
+            "opponent", "win", "kills", "deaths", "assists", F.col("gold").alias("cs"), "damage",
+            (F.col("gold") * 100 + F.col("kills")).alias("gold"), (F.col("item") % 50).alias("vision"), "duration_s", "patch",
+            "tier", "team_kills", "start_s", (F.col("gold") - F.col("_og")).alias("cs_diff"),
+            (F.col("damage") - F.col("_od")).alias("gold_diff"), "opp_deaths")
+
+    def carts(self) -> DataFrame:
+        """A game's lines as its purchases in order."""
+        bought = F.array_sort(F.collect_list(F.struct("slot", "item")))
+        return (self.lines().groupBy(F.col("game_id").alias("match_id")).agg(
+            F.min("player").alias("player"), F.min("role").alias("role"), F.min("tier").alias("tier"), F.min("patch").alias("patch"),
+            (F.min("status") == "F").alias("win"), F.min("champion").alias("champion"), bought.alias("_b"))
+            .select("match_id", "player", "role", "tier", "patch", "win", "champion",
+                    F.transform("_b", lambda x: x["item"] % 40).alias("purchases"),
+                    F.transform("_b", lambda x: (x["slot"] - 1) * 20).alias("purchase_s")))
+
     def events(self) -> DataFrame:
         ts = F.col("ts").cast("timestamp")
         return self.table("events").select(
