@@ -158,10 +158,10 @@ def ladder_scores(s: Star) -> DataFrame:
 
 @query("respawn_times", with_sql(GAMES_SQL) + """,
 g AS (SELECT game_id, game_id % 18 + 1 AS level, duration_s / 60.0 + game_id % 30 AS m FROM games)
-SELECT game_id, round([6, 6, 8, 8, 10, 12, 16, 21, 26, 32.5, 35, 37.5, 40, 42.5, 45, 47.5, 50, 52.5][level] * (1 + CASE WHEN m < 15 THEN 0.0 WHEN m < 30 THEN 0.0085 * (m - 15) WHEN m < 45 THEN 0.1275 + 0.006 * (m - 30) ELSE least(0.5, 0.2175 + 0.029 * (m - 45)) END), 5) AS seconds FROM g""")
+SELECT game_id, round([6, 6, 8, 8, 10, 12, 16, 21, 26, 32.5, 35, 37.5, 40, 42.5, 45, 47.5, 50, 52.5][level] * (1 + CASE WHEN m < 15 THEN 0.0 WHEN m < 30 THEN 0.0085 * (m - 15) WHEN m < 45 THEN 0.1275 + 0.006 * (m - 30) ELSE least(0.5, 0.2175 + 0.029 * (m - 45)) END), 9) AS seconds FROM g""")
 def respawn_times(s: Star) -> DataFrame:
     g = s.games().select("game_id", (F.col("game_id") % 18 + 1).alias("level"), (F.col("duration_s") / 60.0 + F.col("game_id") % 30).alias("m"))
-    return g.select("game_id", F.round(E.respawn_seconds("level", "m"), 5).alias("seconds"))
+    return g.select("game_id", F.round(E.respawn_seconds("level", "m"), 9).alias("seconds"))
 
 
 @query("skill_orders", with_sql(LINES_SQL) + """,
