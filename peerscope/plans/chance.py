@@ -85,7 +85,7 @@ def state_at(s: Star) -> DataFrame:
 @query("training_states")
 def training_states(s: Star) -> DataFrame:
     """Every whole minute from both sides with the label: the win-probability training set."""
-    return training_set(s)
+    return training_set(s).select("match_id", "t", "side", "won", "gold_diff", "kills_own", "kills_enemy", "towers_own", "dragons_own", "alive_own")
 
 
 def training_set(s: Star) -> DataFrame:
@@ -118,12 +118,12 @@ def shapley_split(s: Star) -> DataFrame:
     return out.select("match_id", "moment", "change", *[F.round(c, 8).alias(c) for c in ("value", "before", "after", "d")])
 
 
-@query("shapley_total", with_sql(SWING_SQL) + "SELECT match_id, seq AS moment, round(before, 6) AS before, round(d, 6) AS d, round(d, 6) AS explained FROM sw")
+@query("shapley_total", with_sql(SWING_SQL) + "SELECT match_id, seq AS moment, round(before, 6) AS before, round(d, 6) + 0.0 AS d, round(d, 6) + 0.0 AS explained FROM sw")
 def shapley_total(s: Star) -> DataFrame:
     """The split of every change adds up to the change itself."""
     _, before, after = _before_after(s)
     out = W.explained_changes(before, after, ["match_id", "moment"])
-    return out.groupBy("match_id", "moment").agg(F.round(F.max("before"), 6).alias("before"), F.round(F.max("d"), 6).alias("d"), F.round(F.sum("value"), 6).alias("explained"))
+    return out.groupBy("match_id", "moment").agg(F.round(F.max("before"), 6).alias("before"), (F.round(F.max("d"), 6) + 0.0).alias("d"), (F.round(F.sum("value"), 6) + 0.0).alias("explained"))
 
 
 def facts(s: Star) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
