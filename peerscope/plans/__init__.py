@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-AREAS = ("scored", "joined", "sequences", "grouped", "past", "chance", "rated")
+AREAS = ("scored", "joined", "sequences", "grouped", "past", "chance", "rated", "documents")
 
 
 def load_all() -> None:
