@@ -193,15 +193,16 @@ def stub_chance(states: DataFrame, name: str) -> DataFrame:
     return states.withColumn(name, (closed_form(view(100)) + 1 - closed_form(view(200))) / 2)
 
 
-def model_chance(model) -> Chance:
-    """Blue's chance from a fitted pipeline whose stages read the view's input columns and give ``p``."""
+def model_chance(score: Callable[[DataFrame], DataFrame]) -> Chance:
+    """Blue's chance from a fitted model: ``score`` reads the view's inputs by name and adds ``p``."""
     def ask(states: DataFrame, name: str) -> DataFrame:
-        keep, out = states.columns, states
+        out = states.select(F.struct(*states.columns).alias("_s"), *states.columns)
         for side in TEAMS:
-            v = view(side)
-            out = model.transform(out.select(*out.columns, *[c.alias(f"in_{k}") for k, c in v.items()]))
-            out = out.withColumn(f"_p{side}", F.col("p")).select(*keep, *(["_p100"] if side == 200 else []), f"_p{side}")
-        return out.select(*keep, ((F.col("_p100") + 1 - F.col("_p200")) / 2).alias(name))
+            kept = [f"_p{done}" for done in TEAMS if done < side]
+            inputs = out.select("_s", *kept, *[c.alias(k) for k, c in view(side).items()])
+            scored = score(inputs).select("_s", *kept, F.col("p").alias(f"_p{side}"))
+            out = scored.select("_s", *kept, f"_p{side}", *[F.col(f"_s.{c}").alias(c) for c in states.columns])
+        return out.select(*states.columns, ((F.col("_p100") + 1 - F.col("_p200")) / 2).alias(name))
     return ask
 
 
