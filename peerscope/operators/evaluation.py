@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from .ordered import running
 from .scale import written
 
-ONE = F.lit(1)
 EPS = 1e-7
 
 
@@ -28,7 +27,7 @@ def auc(df: DataFrame, p: str, y: str, keys: Sequence[str] = ()) -> DataFrame:
     keys = list(keys)
     c = df.withColumn("_s", F.round(F.col(p), 9)).groupBy(*keys, "_s").agg(
         F.sum(F.col(y).cast("long")).alias("_pos"), F.sum(1 - F.col(y).cast("long")).alias("_neg"))
-    c = c.withColumn("_one", ONE)
+    c = c.withColumn("_one", F.lit(1))
     r = running(c, [*keys, "_one"], ["_s"], {"_below": ("sum", F.col("_neg"))}, strict=True)
     area = F.sum(F.col("_pos") * (F.coalesce("_below", F.lit(0)) + F.col("_neg") / 2))
     out = r.groupBy(*keys, "_one").agg((area / F.nullif(F.sum("_pos") * F.sum("_neg"), F.lit(0))).alias("auc"))
@@ -40,8 +39,8 @@ def binary_metrics(df: DataFrame, p: str, y: str, keys: Sequence[str] = (), bins
     keys = list(keys)
     py, yy = F.col(p), F.col(y).cast("double")
     k = keys or ["_all"]
-    d = df if keys else df.withColumn("_all", ONE)
-    base = d.groupBy(*k).agg(F.count(ONE).alias("n"), F.avg(log_loss(py, yy)).alias("log_loss"), F.avg(F.pow(py - yy, F.lit(2))).alias("brier"))
+    d = df if keys else df.withColumn("_all", F.lit(1))
+    base = d.groupBy(*k).agg(F.count(F.lit(1)).alias("n"), F.avg(log_loss(py, yy)).alias("log_loss"), F.avg(F.pow(py - yy, F.lit(2))).alias("brier"))
     cal = reliability_table(d, p, y, k, bins)
     ece = cal.groupBy(*k).agg((F.sum(F.abs(F.col("mean_p") - F.col("rate")) * F.col("n")) / F.sum("n")).alias("ece"))
     out = base.join(auc(d, p, y, k), k).join(ece, k)
@@ -50,7 +49,7 @@ def binary_metrics(df: DataFrame, p: str, y: str, keys: Sequence[str] = (), bins
 
 def reliability_table(df: DataFrame, p: str, y: str, keys: Sequence[str] = (), bins: int = 10) -> DataFrame:
     b = F.least(F.floor(F.col(p) * bins), F.lit(bins - 1)).cast("int")
-    return df.groupBy(*keys, b.alias("bin")).agg(F.count(ONE).alias("n"), F.avg(p).alias("mean_p"), F.avg(F.col(y).cast("double")).alias("rate"))
+    return df.groupBy(*keys, b.alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.avg(p).alias("mean_p"), F.avg(F.col(y).cast("double")).alias("rate"))
 
 
 def split_by_group(df: DataFrame, group: str, parts: dict[str, float], seed: str = "split") -> DataFrame:
@@ -74,7 +73,7 @@ def paired_bootstrap(df: DataFrame, group: str, loss_a: Column, loss_b: Column,
     Losses are summed per group first; a replicate weighs each group by a Poisson(1) draw from a seeded hash, so
     all replicates are one pass and run again the same.
     """
-    per = df.groupBy(group).agg(F.sum(loss_a - loss_b).alias("_d"), F.count(ONE).alias("_n"))
+    per = df.groupBy(group).agg(F.sum(loss_a - loss_b).alias("_d"), F.count(F.lit(1)).alias("_n"))
     rep = per.withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
     u = (F.pmod(F.xxhash64(F.lit(seed), F.col(group), F.col("replicate")), F.lit(1_000_003)) + 0.5) / 1_000_003
     w, cum, term = F.lit(0), 0.0, 0.36787944117144233
@@ -84,13 +83,13 @@ def paired_bootstrap(df: DataFrame, group: str, loss_a: Column, loss_b: Column,
         term /= k + 1
     r = rep.withColumn("_w", w).groupBy("replicate").agg((F.sum(F.col("_w") * F.col("_d")) / F.sum(F.col("_w") * F.col("_n"))).alias("difference"))
     q = F.percentile("difference", F.array(F.lit(0.025), F.lit(0.5), F.lit(0.975)))
-    return r.agg(q.alias("_q"), F.count(ONE).alias("replicates")).select(
+    return r.agg(q.alias("_q"), F.count(F.lit(1)).alias("replicates")).select(
         "replicates", F.col("_q")[0].alias("low"), F.col("_q")[1].alias("median"), F.col("_q")[2].alias("high"))
 
 
 def class_metrics(df: DataFrame, label: str, predicted: str) -> DataFrame:
     """Precision and recall per class, from the confusion counts."""
-    c = written(df.groupBy(F.col(label).alias("_l"), F.col(predicted).alias("_p")).agg(F.count(ONE).alias("_n")), "confusion")
+    c = written(df.groupBy(F.col(label).alias("_l"), F.col(predicted).alias("_p")).agg(F.count(F.lit(1)).alias("_n")), "confusion")
     hit = c.where("_l = _p").select(F.col("_l").alias("class"), F.col("_n").alias("hits"))
     said = c.groupBy(F.col("_p").alias("class")).agg(F.sum("_n").alias("predicted"))
     was = c.groupBy(F.col("_l").alias("class")).agg(F.sum("_n").alias("actual"))
@@ -101,9 +100,9 @@ def class_metrics(df: DataFrame, label: str, predicted: str) -> DataFrame:
 
 def majority_baselines(train: DataFrame, test: DataFrame, label: str, by: Sequence[str]) -> DataFrame:
     """Accuracy of always saying the commonest label, overall and per ``by`` group (such as the minute)."""
-    per = train.groupBy(*by, label).agg(F.count(ONE).alias("_n"))
+    per = train.groupBy(*by, label).agg(F.count(F.lit(1)).alias("_n"))
     best_by = per.groupBy(*by).agg(F.max_by(label, F.struct("_n", label)).alias("_by"))
     best = per.groupBy(label).agg(F.sum("_n").alias("_n")).agg(F.max_by(label, F.struct("_n", label)).alias("_all"))
     j = test.join(best_by, list(by), "left").crossJoin(F.broadcast(best))
     hit = lambda c: F.avg((F.coalesce(F.col(c), F.col("_all")) == F.col(label)).cast("double"))
-    return j.agg(F.count(ONE).alias("n"), hit("_all").alias("majority"), hit("_by").alias("by_group"))
+    return j.agg(F.count(F.lit(1)).alias("n"), hit("_all").alias("majority"), hit("_by").alias("by_group"))

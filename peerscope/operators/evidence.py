@@ -11,7 +11,6 @@ from ..functions.expr import written_numbers
 from .ordered import numbered, top_per_group
 from .scale import beside
 
-ONE = F.lit(1)
 
 
 def note_rules(comeback: float = 2500.0, lead: float = 800.0, cs: float = 30.0) -> list[tuple[str, str, Column, Column]]:
@@ -19,8 +18,8 @@ def note_rules(comeback: float = 2500.0, lead: float = 800.0, cs: float = 30.0)
     totals, the opponent's numbers, and the rank's 20/50/80 percentiles as ``<metric>_p20`` and so on."""
     c = F.col
     minutes = F.greatest(F.lit(1.0), c("duration_s") / 60)
-    share = c("damage") / F.greatest(c("team_damage"), ONE)
-    kp = (c("kills") + c("assists")) / F.greatest(c("team_kills"), ONE)
+    share = c("damage") / F.greatest(c("team_damage"), F.lit(1))
+    kp = (c("kills") + c("assists")) / F.greatest(c("team_kills"), F.lit(1))
     csd = c("cs") - c("opp_cs")
     top_damage = c("damage") >= c("match_damage")
     rules = [
@@ -143,11 +142,11 @@ def answer_quality(points: DataFrame, evidence: DataFrame, group: str, point: st
     advice = points.select(group, point, (F.size(written_numbers("advice")) > 0).alias("_adv"))
     per = per.join(advice, [group, point])
     q = per.groupBy(group).agg(
-        F.count(ONE).alias("points"), n((c("_pol") > 0) & (c("_same") == 0)).alias("kind_mismatches"), n((c("_area") > 0) & (c("_same_area") == 0)).alias("area_mismatches"),
+        F.count(F.lit(1)).alias("points"), n((c("_pol") > 0) & (c("_same") == 0)).alias("kind_mismatches"), n((c("_area") > 0) & (c("_same_area") == 0)).alias("area_mismatches"),
         n(c("_adv")).alias("advice_with_numbers"), n(c("_real") == 0).alias("context_only"), n((c("_real") > 0) & (c("_used") == c("_real"))).alias("shared_evidence"))
     weak = top_per_group(evidence.where("polarity = 'weakness'"), [group], [c("severity").desc(), c("evidence_id")], top)
     hit = points.select(c(group).alias("_hg"), F.explode("cites").alias("_hc")).distinct()
-    w = weak.join(hit, (c(group) == c("_hg")) & (c("evidence_id") == c("_hc")), "left").groupBy(group).agg((F.count("_hc") / F.count(ONE)).alias("_addr"))
+    w = weak.join(hit, (c(group) == c("_hg")) & (c("evidence_id") == c("_hc")), "left").groupBy(group).agg((F.count("_hc") / F.count(F.lit(1))).alias("_addr"))
     return q.join(w, group, "left").withColumn("top_weaknesses_addressed", F.coalesce("_addr", F.lit(1.0))).drop("_addr")
 
 

@@ -12,7 +12,6 @@ from .ordered import numbered, top_per_group
 from .quantiles import grouped_quantiles
 from .scale import beside
 
-ONE = F.lit(1)
 
 
 def role_adjusted(rows: DataFrame, role: str, stats: Sequence[str]) -> DataFrame:
@@ -25,7 +24,7 @@ def role_adjusted(rows: DataFrame, role: str, stats: Sequence[str]) -> DataFrame
 def halves(rows: DataFrame, player: str, order: Sequence[str], stats: Sequence[str], min_games: int = 20) -> DataFrame:
     """Per player and stat: means of odd and even games, of the earlier half, and of later wins."""
     r = numbered(rows, [player], order, "_rn")
-    r = beside(r, [player], {"_n": F.count(ONE)}).where(F.col("_n") >= min_games)
+    r = beside(r, [player], {"_n": F.count(F.lit(1))}).where(F.col("_n") >= min_games)
     odd, early = F.col("_rn") % 2 == 1, F.col("_rn") <= F.floor(F.col("_n") / 2)
     late_rank = F.col("_rn") - F.floor(F.col("_n") / 2)
     win = F.col("win").cast("int")
@@ -42,7 +41,7 @@ def halves(rows: DataFrame, player: str, order: Sequence[str], stats: Sequence[s
 
 def reliability(h: DataFrame) -> DataFrame:
     """Split-half correlation stepped up, and what the earlier half says about later wins, per stat."""
-    r = h.groupBy("stat").agg(F.count(ONE).alias("players"), F.corr("odd", "even").alias("split_half"), F.corr("early", "late_win").alias("predicts"),
+    r = h.groupBy("stat").agg(F.count(F.lit(1)).alias("players"), F.corr("odd", "even").alias("split_half"), F.corr("early", "late_win").alias("predicts"),
                               F.corr("early_win", "late_win").alias("_rw"), F.corr("early", "early_win").alias("_rb"), F.corr("late_a", "late_b").alias("_rl"))
     lo, hi = E.fisher_interval(F.greatest(F.lit(-0.999), F.least(F.lit(0.999), F.col("predicts"))), F.col("players"))
     step = lambda c: 2 * c / (1 + c)
@@ -59,7 +58,7 @@ def rating_model(h: DataFrame) -> DataFrame:
 
 def player_ratings(rows: DataFrame, player: str, value: str, model: DataFrame) -> DataFrame:
     """Mean against the role, pulled to zero by tau²/(tau²+sigma²/n), with its standard error."""
-    per = rows.groupBy(player).agg(F.count(ONE).alias("games"), F.avg(value).alias("raw")).crossJoin(F.broadcast(model))
+    per = rows.groupBy(player).agg(F.count(F.lit(1)).alias("games"), F.avg(value).alias("raw")).crossJoin(F.broadcast(model))
     t2, s2 = F.pow("tau", F.lit(2)), F.pow("sigma", F.lit(2))
     return per.select(player, "games", "raw", (F.col("raw") * t2 / (t2 + s2 / F.col("games"))).alias("rating"),
                       F.sqrt(1 / (1 / t2 + F.col("games") / s2)).alias("sd"))
@@ -77,15 +76,15 @@ CELL = ("champion", "kind", "slot", "choice", "context")
 
 def choice_cells(choices: DataFrame, keys: Sequence[str] = CELL) -> DataFrame:
     """Observed minus expected per cell. ``choices`` has p (expected chance) and won (0/1)."""
-    return choices.groupBy(*keys).agg(F.count(ONE).alias("n"), F.avg(F.col("won") - F.col("p")).alias("raw"),
-                                      (F.avg(F.col("p") * (1 - F.col("p"))) / F.count(ONE)).alias("noise"), F.avg("p").alias("expected"),
+    return choices.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.avg(F.col("won") - F.col("p")).alias("raw"),
+                                      (F.avg(F.col("p") * (1 - F.col("p"))) / F.count(F.lit(1))).alias("noise"), F.avg("p").alias("expected"),
                                       F.avg(F.col("won").cast("double")).alias("win_rate"))
 
 
 def choice_signal(cells: DataFrame, min_n: int = 20) -> DataFrame:
     """True spread per kind by the method of moments: variance of cell means minus mean noise."""
     c = cells.where((F.col("context") == "all") & (F.col("n") >= min_n))
-    s = c.groupBy("kind").agg(F.count(ONE).alias("cells"), F.var_pop("raw").alias("_v"), F.avg("noise").alias("_e"))
+    s = c.groupBy("kind").agg(F.count(F.lit(1)).alias("cells"), F.var_pop("raw").alias("_v"), F.avg("noise").alias("_e"))
     return s.select("kind", "cells", F.when(F.col("cells") < 5, 0.0001).otherwise(F.greatest(F.col("_v") - F.col("_e"), F.lit(0.004 ** 2))).alias("tau2"))
 
 
@@ -104,7 +103,7 @@ def choice_reliability(choices: DataFrame, match: str, min_n: int = 30) -> DataF
     per = half.groupBy(*CELL).agg(*[f(F.when(F.col("_h") == h, v)).alias(f"{n}{h}") for h in (0, 1)
                                     for n, f, v in (("_n", F.count, F.lit(1)), ("_r", F.avg, F.col("won") - F.col("p")))])
     both = per.where((F.col("_n0") >= min_n) & (F.col("_n1") >= min_n))
-    return both.groupBy("kind").agg(F.count(ONE).alias("pairs"), F.corr("_r0", "_r1").alias("r"))
+    return both.groupBy("kind").agg(F.count(F.lit(1)).alias("pairs"), F.corr("_r0", "_r1").alias("r"))
 
 
 # -- boards, habits, plans --------------------------------------------------------------------------
@@ -120,7 +119,7 @@ def role_board(rows: DataFrame, role: str, value: str, min_n: int = 20) -> DataF
 def champion_board(rows: DataFrame, champion: str, role: str, value: str, k: float = 37.0, min_n: int = 15) -> DataFrame:
     """Per champion and role: average against the role's, shrunk."""
     role_mean = rows.groupBy(role).agg(F.avg(value).alias("_m"))
-    per = rows.groupBy(champion, role).agg(F.count(ONE).alias("n"), F.avg(value).alias("mean")).where(F.col("n") >= min_n)
+    per = rows.groupBy(champion, role).agg(F.count(F.lit(1)).alias("n"), F.avg(value).alias("mean")).where(F.col("n") >= min_n)
     return per.join(F.broadcast(role_mean), role).select(champion, role, "n", "mean", ((F.col("mean") - F.col("_m")) * F.col("n") / (F.col("n") + k)).alias("edge"))
 
 
@@ -134,8 +133,8 @@ def habit_norms(deaths: DataFrame, games: DataFrame, keys: Sequence[str], flags:
     """Per group: deaths and cost a game overall ('any') and for each habit, and the habit's share of deaths."""
     pairs = F.array(F.lit("any"), *[F.when(c, F.lit(n)) for n, c in flags.items()])
     long = deaths.select(*keys, cost, F.explode(F.filter(pairs, lambda x: x.isNotNull())).alias("habit"))
-    h = long.groupBy(*keys, "habit").agg(F.count(ONE).alias("deaths"), F.sum(cost).alias("_c"))
-    n = games.groupBy(*keys).agg(F.count(ONE).alias("games"))
+    h = long.groupBy(*keys, "habit").agg(F.count(F.lit(1)).alias("deaths"), F.sum(cost).alias("_c"))
+    n = games.groupBy(*keys).agg(F.count(F.lit(1)).alias("games"))
     total = h.where("habit = 'any'").select(*keys, F.col("deaths").alias("_all"))
     return (h.join(n, list(keys)).join(total, list(keys))
             .select(*keys, "habit", "games", "deaths", (F.col("_c") / F.col("games")).alias("per_game"), (F.col("deaths") / F.col("_all")).alias("share")))
@@ -155,9 +154,9 @@ def plan(costs: DataFrame, player: str, order: Sequence[str], min_games: int = 3
     r = numbered(costs, [player, "candidate"], order, "_back", reverse=True)
     new, old = F.col("_back") <= last, (F.col("_back") > last) & (F.col("_back") <= last + before)
     c = F.col("cost")
-    v = lambda cond: F.coalesce(F.var_samp(F.when(cond, c)), F.lit(0.0)) / F.greatest(F.count(F.when(cond, 1)), ONE)
+    v = lambda cond: F.coalesce(F.var_samp(F.when(cond, c)), F.lit(0.0)) / F.greatest(F.count(F.when(cond, 1)), F.lit(1))
     per = r.groupBy(player, "candidate").agg(
-        F.count(ONE).alias("games"), F.avg("cost").alias("mine"), F.avg("typical").alias("typical"), F.count(F.when(old, 1)).alias("_nb"),
+        F.count(F.lit(1)).alias("games"), F.avg("cost").alias("mine"), F.avg("typical").alias("typical"), F.count(F.when(old, 1)).alias("_nb"),
         F.avg(F.when(new, c)).alias("last"), F.avg(F.when(old, c)).alias("before"), (1.96 * F.sqrt(v(new) + v(old))).alias("margin")).where(F.col("games") >= min_games)
     per = per.withColumn("excess", F.round(F.col("mine") - F.col("typical"), 6))
     worst = top_per_group(per, [player], [F.col("excess").desc(), F.col("candidate")], 1)
@@ -170,7 +169,7 @@ def plan(costs: DataFrame, player: str, order: Sequence[str], min_games: int = 3
 def plan_blocks(costs: DataFrame, player: str, order: Sequence[str], size: int = 5) -> DataFrame:
     """Cost per game in blocks from the newest back; the oldest partial block is left out."""
     r = numbered(costs, [player, "candidate"], order, "_back", reverse=True).withColumn("block", F.floor((F.col("_back") - 1) / size))
-    return (r.groupBy(player, "candidate", "block").agg(F.count(ONE).alias("_n"), F.avg("cost").alias("cost"), F.avg("typical").alias("typical"))
+    return (r.groupBy(player, "candidate", "block").agg(F.count(F.lit(1)).alias("_n"), F.avg("cost").alias("cost"), F.avg("typical").alias("typical"))
             .where(F.col("_n") == size).drop("_n"))
 
 

@@ -18,7 +18,6 @@ from .ordered import top_per_group
 from .quantiles import grouped_quantiles
 from .scale import beside, dimension
 
-ONE = F.lit(1)
 
 
 def wins() -> Column:
@@ -26,7 +25,7 @@ def wins() -> Column:
 
 
 def record(df: DataFrame, keys: Sequence[str], *more: Column) -> DataFrame:
-    return df.groupBy(*keys).agg(F.count(ONE).alias("games"), wins().alias("wins"), *more)
+    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("games"), wins().alias("wins"), *more)
 
 
 def rates(builds: DataFrame) -> DataFrame:
@@ -35,7 +34,7 @@ def rates(builds: DataFrame) -> DataFrame:
     return builds.select(
         "*", (F.col("cs") / minutes).alias("cs_min"), (F.col("vision") / minutes).alias("vision_min"),
         (F.col("damage") / minutes).alias("dmg_min"), (F.col("deaths") / (F.col("duration_s") / 600.0)).alias("deaths_10"),
-        ((F.col("kills") + F.col("assists")) / F.greatest(F.col("team_kills"), ONE)).alias("kp"))
+        ((F.col("kills") + F.col("assists")) / F.greatest(F.col("team_kills"), F.lit(1))).alias("kp"))
 
 
 # -- tier list ---------------------------------------------------------------------------------
@@ -78,7 +77,7 @@ def tier_list(builds: DataFrame, bans: DataFrame, shifts: DataFrame | None = Non
         t = t.withColumn("score", F.col("score_raw"))
     for score, name in (("score_raw", "tier_raw"), ("score", "tier")):
         place = F.row_number().over(role.orderBy(F.col(score).desc(), "champion"))
-        t = t.withColumn("role_rank", place).withColumn("_share", (place - 0.5) / F.count(ONE).over(role))
+        t = t.withColumn("role_rank", place).withColumn("_share", (place - 0.5) / F.count(F.lit(1)).over(role))
         cut = F.when(F.col("_share") < TIER_CUTS[0][0], TIER_CUTS[0][1])
         for edge, label in TIER_CUTS[1:]:
             cut = cut.when(F.col("_share") < edge, label)
@@ -97,7 +96,7 @@ def patch_shift(changes: DataFrame, games: DataFrame, keys: Sequence[str] = ("ch
     With ``usage`` (champion, item, share) the changes are item changes, scaled by how often the champion
     buys the item (at least ``min_usage``).
     """
-    counts = games.groupBy("patch").agg(F.count(ONE).alias("_n"))
+    counts = games.groupBy("patch").agg(F.count(F.lit(1)).alias("_n"))
     total = counts.agg(F.sum("_n").alias("_total"))
     patches = changes.select("patch").distinct()
     c = counts.select(F.col("patch").alias("_p"), "_n")
@@ -110,7 +109,7 @@ def patch_shift(changes: DataFrame, games: DataFrame, keys: Sequence[str] = ("ch
     rows = changes.join(before, "patch").withColumn("_w", weight * F.col("share_before"))
     if usage is not None:
         rows = rows.join(usage.where(F.col("share") >= min_usage), "item").withColumn("_w", F.col("_w") * F.col("share"))
-    return rows.groupBy(*keys).agg(F.sum("_w").alias("shift"), F.count(ONE).alias("changes"))
+    return rows.groupBy(*keys).agg(F.sum("_w").alias("shift"), F.count(F.lit(1)).alias("changes"))
 
 
 def item_usage(carts: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -138,7 +137,7 @@ def lane_report(rows: DataFrame, minute: str, gold: str, cs: str, died: str, opp
     short, long = F.col("duration_s") < 1500, F.col("duration_s") > 1920
     yes = lambda c: F.avg(c.cast("int"))
     return both.groupBy("champion", "opponent", minute).agg(
-        F.count(ONE).alias("n"), F.avg(g).alias("gold"), F.avg(cs).alias("cs"), yes(g > 0).alias("ahead"),
+        F.count(F.lit(1)).alias("n"), F.avg(g).alias("gold"), F.avg(cs).alias("cs"), yes(g > 0).alias("ahead"),
         yes(F.col(died) > 0).alias("died"), yes(F.col(opponent_died) > 0).alias("opp_died"),
         F.avg(F.when(g > 0, w)).alias("win_ahead"), F.avg(F.when(g < 0, w)).alias("win_behind"),
         F.count(F.when(short, 1)).alias("short_games"), F.coalesce(F.sum(F.when(short, w)), F.lit(0)).alias("short_wins"),
@@ -158,7 +157,7 @@ def personal_matchups(builds: DataFrame, min_games: int = 2, k: int = 6) -> Data
 def top_choices(choices: DataFrame, keys: Sequence[str], k: int = 3, min_games: int = 2) -> DataFrame:
     """The most used keys of each kind with win and pick rate. ``choices`` has kind, key, win."""
     rows = choices.where(F.col("key").isNotNull())
-    n = choices.groupBy(*keys, "kind").agg(F.count(ONE).alias("_n"))
+    n = choices.groupBy(*keys, "kind").agg(F.count(F.lit(1)).alias("_n"))
     r = record(rows, [*keys, "kind", "key"]).where(F.col("games") >= min_games).join(n, [*keys, "kind"])
     r = r.withColumn("win_rate", 100 * F.col("wins") / F.col("games")).withColumn("pick_rate", 100 * F.col("games") / F.col("_n")).drop("_n")
     return top_per_group(r, [*keys, "kind"], [F.col("games").desc(), F.col("wins").desc(), F.col("key")], k, "place")
@@ -189,7 +188,7 @@ def build_paths(carts: DataFrame, keys: Sequence[str], firsts: int = 4, seconds:
 
 def item_board(carts: DataFrame, min_games: int = 30, k: int = 4) -> DataFrame:
     """Finished items: games, win and pick rate, and the champions that build them most."""
-    total = carts.select(F.count(ONE).alias("_players"))
+    total = carts.select(F.count(F.lit(1)).alias("_players"))
     held = carts.select("champion", "win", F.explode("purchases").alias("item"))
     per = record(held, ["item", "champion"])
     items = per.groupBy("item").agg(F.sum("games").alias("games"), F.sum("wins").alias("wins")).where(F.col("games") >= min_games)
@@ -218,12 +217,12 @@ def lead_buckets(teams: DataFrame, gold: str, edges: Sequence[float], labels: Se
 
     ``teams`` has one row per (match, team); a match's two sides meet in a sum, not in a join.
     """
-    both = teams.groupBy("match_id").agg(F.sum(gold).alias("_sum"), F.count(ONE).alias("_n")).where("_n = 2")
+    both = teams.groupBy("match_id").agg(F.sum(gold).alias("_sum"), F.count(F.lit(1)).alias("_n")).where("_n = 2")
     t = teams.join(both, "match_id").withColumn("lead", 2 * F.col(gold) - F.col("_sum"))
     t = t.withColumn("label", E.bucket("lead", edges, labels))
     w = F.col("win").cast("int")
     low = F.col("lead") <= behind
-    return t.groupBy("label").agg(F.count(ONE).alias("teams"), F.sum(w).alias("wins"), F.count(F.when(low, 1)).alias("behind"),
+    return t.groupBy("label").agg(F.count(F.lit(1)).alias("teams"), F.sum(w).alias("wins"), F.count(F.when(low, 1)).alias("behind"),
                                   F.coalesce(F.sum(F.when(low, w)), F.lit(0)).alias("comebacks"))
 
 
@@ -239,7 +238,7 @@ def totals(builds: DataFrame, keys: Sequence[str]) -> DataFrame:
 def total_rates(t: DataFrame, prefix: str = "") -> list[Column]:
     c = lambda n: F.col(prefix + n)
     minutes = c("duration_s") / 60
-    return [(100 * c("wins") / c("games")).alias("win_rate"), ((c("kills") + c("assists")) / F.greatest(c("deaths"), ONE)).alias("kda"),
+    return [(100 * c("wins") / c("games")).alias("win_rate"), ((c("kills") + c("assists")) / F.greatest(c("deaths"), F.lit(1))).alias("kda"),
             (c("cs") / minutes).alias("cs_min"), (c("damage") / minutes).alias("dmg_min"), (c("gold") / minutes).alias("gold_min"),
             (c("vision") / minutes).alias("vision_min"), (c("deaths") / (minutes / 10)).alias("deaths_10")]
 
@@ -270,10 +269,10 @@ def form(builds: DataFrame, n: int = 20) -> DataFrame:
     last = top_per_group(builds, ["player"], order, n, "_back")
     first_loss = F.min(F.when(~F.col("win"), F.col("_back")))
     first_win = F.min(F.when(F.col("win"), F.col("_back")))
-    streak = (F.when(F.coalesce(first_win, F.lit(n + 1)) == 1, F.coalesce(first_loss, F.count(ONE) + 1) - 1)
-              .otherwise(-(F.coalesce(first_win, F.count(ONE) + 1) - 1)))
+    streak = (F.when(F.coalesce(first_win, F.lit(n + 1)) == 1, F.coalesce(first_loss, F.count(F.lit(1)) + 1) - 1)
+              .otherwise(-(F.coalesce(first_win, F.count(F.lit(1)) + 1) - 1)))
     return last.groupBy("player").agg(
-        F.count(ONE).alias("games"), wins().alias("wins"), F.avg("kills").alias("kills"), F.avg("deaths").alias("deaths"),
+        F.count(F.lit(1)).alias("games"), wins().alias("wins"), F.avg("kills").alias("kills"), F.avg("deaths").alias("deaths"),
         F.avg("assists").alias("assists"), F.countDistinct("champion").alias("champions"), streak.cast("long").alias("streak"),
         F.max_by("match_id", F.struct("damage", F.col("match_id"))).alias("best_game"))
 
@@ -282,7 +281,7 @@ def mains(builds: DataFrame, k: int = 3) -> DataFrame:
     """Each player's most played champions and main role."""
     picks = record(builds, ["player", "champion"])
     top = top_per_group(picks, ["player"], [F.col("games").desc(), F.col("champion")], k, "place")
-    roles = builds.groupBy("player", "role").agg(F.count(ONE).alias("_n"))
+    roles = builds.groupBy("player", "role").agg(F.count(F.lit(1)).alias("_n"))
     main = roles.groupBy("player").agg(F.max_by("role", F.struct("_n", -F.col("role"))).alias("main_role"))
     return top.join(main, "player").select("player", "place", "champion", "games", "main_role")
 
@@ -305,8 +304,8 @@ def performance(builds: DataFrame, match: str = "match_id", digits: int = 1) ->
     MVP is the best of the winning side, ACE of the losing one.
     """
     minutes = F.greatest(F.lit(1.0), F.col("duration_s") / 60)
-    kda = F.least(F.lit(10.0), (F.col("kills") + F.col("assists")) / F.greatest(ONE, F.col("deaths")))
-    kp = (F.col("kills") + F.col("assists")) / F.greatest(ONE, F.col("team_kills"))
+    kda = F.least(F.lit(10.0), (F.col("kills") + F.col("assists")) / F.greatest(F.lit(1), F.col("deaths")))
+    kp = (F.col("kills") + F.col("assists")) / F.greatest(F.lit(1), F.col("team_kills"))
     # The weight of each statistic.
     parts = (("_kda", kda, 1.4), ("_kp", kp, 1.2), ("_dm", F.col("damage") / minutes, 1.0), ("_gm", F.col("gold") / minutes, 0.8),
              ("_cm", F.col("cs") / minutes, 0.5), ("_vm", F.col("vision") / minutes, 0.5), ("_nd", (-F.col("deaths")).cast("double"), 0.8))
@@ -334,7 +333,7 @@ def recap(builds: DataFrame, season: str = "patch") -> DataFrame:
     base = totals(builds, keys).withColumn("hours", F.col("duration_s") / 3600.0)
     champ = record(builds, [*keys, "champion"])
     top = champ.groupBy(*keys).agg(
-        F.count(ONE).alias("champions"), F.max_by("champion", F.struct("games", "champion")).alias("top_champion"),
+        F.count(F.lit(1)).alias("champions"), F.max_by("champion", F.struct("games", "champion")).alias("top_champion"),
         F.max_by(F.when(F.col("games") >= 8, F.col("champion")),
                  F.struct(F.when(F.col("games") >= 8, E.shrunk_rate("wins", "games")), "champion")).alias("best_champion"))
     runs = streaks(builds, keys, ["start_s", "match_id", "role", "team"], "win")
@@ -345,7 +344,7 @@ def heat_map(builds: DataFrame, start: str, zone: str, keys: Sequence[str] = ())
     """Games by weekday and hour in a given time zone."""
     local = F.from_utc_timestamp(F.col(start), zone)
     return builds.groupBy(
-        *keys, F.dayofweek(local).alias("weekday"), F.hour(local).alias("hour")).agg(F.count(ONE).alias("games"), wins().alias("wins"))
+        *keys, F.dayofweek(local).alias("weekday"), F.hour(local).alias("hour")).agg(F.count(F.lit(1)).alias("games"), wins().alias("wins"))
 
 
 def badges(facts: DataFrame, keys: Sequence[str], rules: Sequence[tuple[str, Column]]) -> DataFrame:
@@ -444,7 +443,7 @@ def stratified_sample(rows: DataFrame, strata: Sequence[str], ident: str, n: int
 def window_counters(events: DataFrame, time: str, keys: Sequence[str], span: str, limit: int, amount: str | None = None) -> DataFrame:
     """Tumbling-window counters per key, with an over-limit flag."""
     w = F.window(F.col(time), span)
-    out = events.groupBy(*keys, w.alias("_w")).agg(F.count(ONE).alias("requests"), *([F.sum(amount).alias("spent")] if amount else []))
+    out = events.groupBy(*keys, w.alias("_w")).agg(F.count(F.lit(1)).alias("requests"), *([F.sum(amount).alias("spent")] if amount else []))
     return out.select(*keys, F.unix_seconds("_w.start").alias("from_s"), "requests", *(["spent"] if amount else []),
                       (F.col("requests") > limit).alias("over_limit"))
 

@@ -170,15 +170,6 @@ def view(own: int) -> dict[str, Column]:
     return {k: v.cast("double") for k, v in f.items()}
 
 
-def feature_names() -> list[str]:
-    names = ["minute", "gold_diff", "xp_diff", "cs_diff", "level_diff", "kills_own", "kills_enemy", "towers_own", "towers_enemy",
-             "inhibs_down_enemy", "inhibs_down_own"]
-    for m in [*MONSTERS.values(), "soul", "elder", "baron", "alive", *[f"towers_{r}" for r in RINGS], "plates",
-              *[f"lvl{n}" for n in LEVELS], "held_gold", "dead_time"]:
-        names += [f"{m}_own", f"{m}_enemy"]
-    return [*names, "dragon_up", "baron_up", "elder_up"]
-
-
 def closed_form(f: dict[str, Column]) -> Column:
     """A fixed chance in place of a trained model, so attribution can be checked exactly."""
     z = 0.4 * f["gold_diff"] + 0.3 * (f["kills_own"] - f["kills_enemy"]) + 0.5 * (f["towers_own"] - f["towers_enemy"])

@@ -92,8 +92,8 @@ def training_set(s: Star) -> DataFrame:
     e, f = events(s), frames(s)
     st = W.game_state(W.minute_asks(f, e), f, e).where("t > 0")
     won = s.games().select(F.col("game_id").alias("match_id"), F.col("win").alias("blue_won"))
-    names = W.feature_names()
-    sides = F.array(*[F.struct(F.lit(side).alias("side"), *[W.view(side)[n].alias(n) for n in names]) for side in W.TEAMS])
+    views = {side: W.view(side) for side in W.TEAMS}
+    sides = F.array(*[F.struct(F.lit(side).alias("side"), *[c.alias(n) for n, c in v.items()]) for side, v in views.items()])
     rows = st.select("match_id", "t", F.explode(sides).alias("_v")).select("match_id", "t", "_v.*")
     return rows.join(won, "match_id").withColumn("won", (F.col("blue_won") == (F.col("side") == 100)).cast("int")).drop("blue_won")
 

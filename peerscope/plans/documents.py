@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from ..functions.expr import written_numbers
 from ..operators.ordered import numbered
 from ..operators.scale import written
-from ..operators.sequence import scan_drops  # noqa: F401  (re-exported for the tests)
 from ..sources import dimensions as D
 from ..sources import matches as M
 from .registry import query
@@ -165,7 +164,7 @@ def skill_strings(s: Star) -> DataFrame:
     return M.skill_orders(M.events(timelines(s), ["SKILL_LEVEL_UP"])).select("match_id", "skill_order")
 
 
-@query("minute_counters", with_sql(FRAMES_SQL, LOG_SQL.split("tax,", 1)[0][:0] + """
+@query("minute_counters", with_sql(FRAMES_SQL, """
 nl AS (SELECT *, slot + CASE team WHEN 'F' THEN 0 ELSE 7 END AS pid, row_number() OVER (PARTITION BY game_id ORDER BY slot, item, supplier, price, quantity) AS rn FROM lines),
 lt AS (SELECT *, (slot - 1) * 60000 + rn * 700 AS t FROM nl)""") + """
 SELECT 'M_' || f.game_id AS match_id, f.pid AS participant_id, f.m AS minute, count(*) FILTER (WHERE l.flag = 'R' AND l.pid = f.pid AND l.t + 100 <= f.ms) AS deaths,
@@ -248,9 +247,7 @@ def patch_note_changes(s: Star) -> DataFrame:
     return D.champion_changes(notes, champions).select("patch", "champion", "kind")
 
 
-@query("lobby_ids", """
-WITH l AS (SELECT c_custkey, [c_name || ' #' || 'T' || c_nationkey, replace(c_name, 'Customer', 'Cust') || '#NA1', c_name || '#T' || c_nationkey] AS x FROM customer)
-SELECT c_custkey, 1 AS place, replace(replace(x[2], '#NA1', ''), 'Cust#', 'Cu ') AS name, 'NA1' AS tag FROM l""")
+@query("lobby_ids", "SELECT c_custkey, 1 AS place, replace(c_name, 'Customer#', 'Cu ') AS name, 'NA1' AS tag FROM customer")
 def lobby_ids(s: Star) -> DataFrame:
     """Chat lines made of customer names: the second line repeats the first one's id in other letters."""
     who = F.replace(F.col("c_name"), F.lit("Customer#"), F.lit("Cu "))
