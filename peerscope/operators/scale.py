@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 HOT_ROWS_SETTING = "spark.peerscope.hotRows"
-HOT_ROWS = 4_000_000
+HOT_ROWS = 8_000_000
 BROADCAST_ROWS_SETTING = "spark.peerscope.broadcastRows"
 BROADCAST_ROWS = 500_000
 MAX_CHUNKS = 20_000

@@ -9,9 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions.catalogue import EPIC_MONSTERS, WARD_TYPES
 from ..functions.expr import duration_seconds, ratio, readable_zone, zone
-from ..operators.joins import asof, opponents
-from ..operators.ordered import previous, running
-from ..operators.scale import beside
+from ..operators.joins import asof
+from ..operators.ordered import running
 
 PARTICIPANT = """participantId int, puuid string, teamId int, teamPosition string, championId int, championName string, win boolean,
 kills int, deaths int, assists int, totalMinionsKilled int, neutralMinionsKilled int, goldEarned int, totalDamageDealtToChampions int,
@@ -56,12 +55,13 @@ def read_timelines(spark, path: str) -> DataFrame:
     return spark.read.schema(_inner(TIMELINE_SCHEMA)).json(path)
 
 
-def _exploded(matches: DataFrame) -> DataFrame:
+def _exploded(matches: DataFrame, everyone: bool = False) -> DataFrame:
     i = "info."
     return matches.select(
         F.col("metadata.matchId").alias("match_id"), F.timestamp_millis(F.col(i + "gameStartTimestamp")).alias("game_start"),
         duration_seconds(i + "gameDuration", i + "gameEndTimestamp").alias("duration_s"), F.substring_index(i + "gameVersion", ".", 2).alias("patch"),
-        F.col(i + "queueId").alias("queue_id"), F.explode(i + "participants").alias("p"))
+        F.col(i + "queueId").alias("queue_id"), F.explode(i + "participants").alias("p"),
+        *([F.col(i + "participants").alias("everyone")] if everyone else []))
 
 
 def core_participants(matches: DataFrame) -> DataFrame:
@@ -73,10 +73,19 @@ def core_participants(matches: DataFrame) -> DataFrame:
 
 
 def participants(matches: DataFrame) -> DataFrame:
-    """Build rows: one wide row per participant with team kills, items, multikills and the lane opponent."""
+    """Build rows: one wide row per participant with team totals, items, multikills and the lane opponent.
+
+    Totals and the opponent (the enemy of the same role, if exactly one) come from the document's own list of
+    participants, so no shuffle is needed.
+    """
     p = lambda c: F.col(f"p.{c}")
     z = lambda c: F.coalesce(p(c), F.lit(0))
-    e = _exploded(matches).select(
+    everyone = F.col("everyone")
+    mates = lambda *cs: F.aggregate(F.filter(everyone, lambda q: q["teamId"] == p("teamId")), F.lit(0).cast("long"),
+                                    lambda acc, q: acc + sum((F.coalesce(q[c], F.lit(0)) for c in cs), F.lit(0)))
+    rivals = F.filter(everyone, lambda q: (q["teamId"] != p("teamId")) & (q["teamPosition"] == p("teamPosition")) & (p("teamPosition") != ""))
+    rival = F.when(F.size(rivals) == 1, F.get(rivals, F.lit(0)))
+    return _exploded(matches, everyone=True).select(
         "match_id", "game_start", "duration_s", "patch", "queue_id", p("participantId").alias("participant_id"), p("puuid").alias("player"),
         p("teamId").alias("team"), F.coalesce(p("teamPosition"), F.lit("")).alias("role"), p("championId").alias("champion"), p("win").alias("win"),
         p("kills").alias("kills"), p("deaths").alias("deaths"), p("assists").alias("assists"),
@@ -87,9 +96,9 @@ def participants(matches: DataFrame) -> DataFrame:
         F.array(*[z(f"item{i}") for i in range(7)]).alias("items"), F.array_sort(F.array(z("summoner1Id"), z("summoner2Id"))).alias("spells"),
         z("doubleKills").alias("double_kills"), z("tripleKills").alias("triple_kills"), z("quadraKills").alias("quadra_kills"), z("pentaKills").alias("penta_kills"),
         z("largestMultiKill").alias("largest_multikill"), F.coalesce(p("firstBloodKill"), F.lit(False)).alias("first_blood"),
-        F.coalesce(p("gameEndedInEarlySurrender"), F.lit(False)).alias("remake"))
-    e = beside(e, ["match_id", "team"], {"team_kills": F.sum("kills"), "team_damage": F.sum("damage"), "team_taken": F.sum("damage_taken")})
-    return opponents(e, "match_id", "role", "team", {"opponent": "champion", "opponent_id": "participant_id"}, "left")
+        F.coalesce(p("gameEndedInEarlySurrender"), F.lit(False)).alias("remake"),
+        mates("kills").alias("team_kills"), mates("totalDamageDealtToChampions").alias("team_damage"), mates("totalDamageTaken", "damageSelfMitigated").alias("team_taken"),
+        rival["championId"].alias("opponent"), rival["participantId"].alias("opponent_id"))
 
 
 def bans(matches: DataFrame) -> DataFrame:
@@ -108,27 +117,28 @@ def minute_frames(timelines: DataFrame, tolerance_ms: int = 5_000) -> DataFrame:
     """One row per participant and minute.
 
     A frame is minute m's if it lands at most ``tolerance_ms`` after the mark; the first such frame counts. A
-    missing minute takes the frame before it, so row m is always the state at minute m.
+    missing minute takes the frame before it (the very first frame if there is none), so row m is always the
+    state at minute m. A document holds all its frames, so this is worked out inside the row, without a shuffle.
     """
-    f = timelines.select(F.col("metadata.matchId").alias("match_id"), F.posexplode("info.frames").alias("pos", "f"))
-    t = F.col("f.timestamp")
-    minute = F.floor(t / 60000).cast("int")
-    on_mark = f.withColumn("minute", minute).where(t - F.col("minute").cast("long") * 60000 <= tolerance_ms)
-    rows = on_mark.select("match_id", "minute", "pos", t.alias("frame_ms"), F.explode("f.participantFrames").alias("pid", "v"))
-    first = rows.groupBy("match_id", "minute", F.col("pid").cast("int").alias("participant_id")).agg(
-        F.min_by(F.struct("frame_ms", "v"), "pos").alias("_r"))
-    # Each known frame stands for its minute and the missing ones after it, up to the last known minute.
-    known = first.select("match_id", "minute").distinct()
-    known = previous(known, ["match_id"], ["minute"], {"_next": F.col("minute")}, following=True)
-    spans = known.select(F.col("match_id").alias("_m"), F.col("minute").alias("_from"),
-                         F.explode(F.sequence(F.col("minute"), F.coalesce(F.col("_next") - 1, F.col("minute")))).alias("at"))
-    j = first.join(spans, (F.col("match_id") == F.col("_m")) & (F.col("minute") == F.col("_from")))
-    v = lambda c: F.coalesce(F.col(f"_r.v.{c}"), F.lit(0))
-    return j.select("match_id", "participant_id", F.col("at").alias("minute"), F.col("_r.frame_ms").alias("frame_ms"), v("totalGold").alias("gold"),
-                    v("currentGold").alias("current_gold"), v("xp").alias("xp"), F.coalesce("_r.v.level", F.lit(1)).alias("level"),
-                    (v("minionsKilled") + v("jungleMinionsKilled")).alias("cs"), v("minionsKilled").alias("lane_cs"), v("jungleMinionsKilled").alias("jungle_cs"),
-                    F.coalesce("_r.v.damageStats.totalDamageDoneToChampions", F.lit(0)).alias("damage_to_champions"),
-                    F.col("_r.v.position.x").alias("x"), F.col("_r.v.position.y").alias("y"))
+    c = F.col
+    minute = lambda f: F.floor(f["timestamp"] / 60000).cast("int")
+    placed = F.filter(F.transform("info.frames", lambda f: F.struct(minute(f).alias("minute"), f.alias("f"))),
+                      lambda v: v["f"]["timestamp"] - v["minute"].cast("long") * 60000 <= tolerance_ms)
+    d = timelines.select(c("metadata.matchId").alias("match_id"), F.get("info.frames", F.lit(0)).alias("_first"), placed.alias("_v")).where(F.size("_v") > 0)
+    d = d.withColumn("_v", F.filter("_v", lambda v, i: (i == 0) | (v["minute"] != F.get(c("_v"), F.greatest(i - 1, F.lit(0)))["minute"])))
+    lead = F.when(F.get("_v", F.lit(0))["minute"] > 0, F.array(F.struct(F.lit(0).alias("minute"), c("_first").alias("f"))))
+    d = d.withColumn("_v", F.concat(F.coalesce(lead, F.slice("_v", 1, 0)), "_v"))
+    # A frame stands for its minute and the missing ones after it, up to the last known minute.
+    spans = F.transform("_v", lambda v, i: F.struct(v["f"].alias("f"), F.sequence(
+        v["minute"], F.coalesce(F.get(c("_v"), i + 1)["minute"] - 1, v["minute"])).alias("at")))
+    r = d.select("match_id", F.explode(spans).alias("_s"))
+    r = r.select("match_id", c("_s.f.timestamp").alias("frame_ms"), c("_s.at").alias("_at"), F.explode("_s.f.participantFrames").alias("pid", "r"))
+    r = r.select("match_id", c("pid").cast("int").alias("participant_id"), "frame_ms", "r", F.explode("_at").alias("minute"))
+    v = lambda n: F.coalesce(c(f"r.{n}"), F.lit(0))
+    return r.select("match_id", "participant_id", "minute", "frame_ms", v("totalGold").alias("gold"), v("currentGold").alias("current_gold"), v("xp").alias("xp"),
+                    F.coalesce("r.level", F.lit(1)).alias("level"), (v("minionsKilled") + v("jungleMinionsKilled")).alias("cs"), v("minionsKilled").alias("lane_cs"),
+                    v("jungleMinionsKilled").alias("jungle_cs"), F.coalesce("r.damageStats.totalDamageDoneToChampions", F.lit(0)).alias("damage_to_champions"),
+                    c("r.position.x").alias("x"), c("r.position.y").alias("y"))
 
 
 def events(timelines: DataFrame, kinds: Sequence[str] | None = None) -> DataFrame:
