@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .scale import hot_keys, mark_hot
+from .scale import hot_keys, hot_rows, mark_hot
 
 
 def grouped_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float],
@@ -24,7 +24,7 @@ def grouped_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: dic
         return _plain(rows, keys, value, probs).where(F.col("n") >= min_n)
     marked = mark_hot(rows, hot, None)
     cold = _plain(marked.where(~F.col("_is_hot")), keys, value, probs)
-    big = _bracketed(marked.where("_is_hot"), keys, value, probs)
+    big = _bracketed(marked.where("_is_hot"), keys, value, probs, hot_rows(df))
     return cold.unionByName(big).where(F.col("n") >= min_n)
 
 
@@ -39,14 +39,15 @@ def _plain(rows, keys, value, probs):
     return agg.select(*keys, "n", "mean", "sd", *[F.col("_q")[i].alias(n) for i, n in enumerate(probs)])
 
 
-def _bracketed(rows, keys, value, probs, accuracy: int = 10_000):
+def _bracketed(rows, keys, value, probs, at_least, accuracy: int = 10_000):
     """Exact percentiles without gathering a group.
 
     A sketch gives, for every percentile, a low and a high value that surely enclose it (its rank error
     is at most n / accuracy). One more pass counts what lies below the bracket and keeps only the distinct
     values inside, a few ten-thousandths of the group; the wanted ranks are read off those.
     """
-    slack = 3.0 / accuracy
+    # Beyond the sketch's error the bracket also takes in two ranks either side; groups have > at_least rows.
+    slack = max(3.0 / accuracy, 1.0 / accuracy + 4.0 / at_least)
     v = F.col(value).cast("double")
     names, ps = list(probs), list(probs.values())
     bounds = [min(1.0, max(0.0, p + d)) for p in ps for d in (-slack, slack)]

@@ -115,9 +115,9 @@ def hot_keys(df: DataFrame, keys: Sequence[str], order: str | None = None,
     table = (
         spark.createDataFrame(rows, counted.schema)
         .select(*[F.col(k).alias(f"_hot_{k}") for k in keys],
-                F.coalesce("_lo", F.lit(0.0)).alias("_lo"),
+                F.coalesce("_lo", F.lit(0.0)).alias("_hot_from"),
                 F.greatest((F.coalesce("_hi", F.lit(0.0)) - F.coalesce("_lo", F.lit(0.0))) / chunks,
-                           F.lit(1e-9)).alias("_width"))
+                           F.lit(1e-9)).alias("_hot_width"))
     )
     return HotKeys(table, tuple(keys), len(rows))
 
@@ -134,11 +134,10 @@ def mark_hot(df: DataFrame, hot: HotKeys, order: str | None, name: str = "_chunk
         on = part if on is None else on & part
     value = order_number(df, order) if order else F.lit(0.0)
     joined = df.join(F.broadcast(hot.table), on, "left")
-    chunk = F.coalesce(F.floor((F.coalesce(value, F.col("_lo")) - F.col("_lo")) / F.col("_width")).cast("long"),
-                       F.lit(0).cast("long"))
-    flag = F.col("_width").isNotNull()
-    return joined.withColumn(name, chunk).withColumn("_is_hot", flag).drop(
-        "_lo", "_width", *[f"_hot_{k}" for k in hot.keys])
+    start, width = F.col("_hot_from"), F.col("_hot_width")
+    chunk = F.coalesce(F.floor((F.coalesce(value, start) - start) / width).cast("long"), F.lit(0).cast("long"))
+    return joined.withColumn(name, chunk).withColumn("_is_hot", width.isNotNull()).drop(
+        "_hot_from", "_hot_width", *[f"_hot_{k}" for k in hot.keys])
 
 
 def salted(df: DataFrame, keys: Sequence[str], salts: int, by: Sequence[str]) -> DataFrame:

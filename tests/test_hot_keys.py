@@ -90,6 +90,13 @@ def test_exact_quantiles(spark, rows):
     assert plain == split
 
 
+def test_exact_quantiles_of_distinct_values(spark, rows):
+    probs = {"p10": 0.1, "p25": 0.25, "p75": 0.75, "p90": 0.9}
+    fn = lambda: Q.grouped_quantiles(rows, ["k"], "t", probs).select("k", "n", *[F.round(p, 6).alias(p) for p in probs])
+    plain, split = both(spark, fn)
+    assert plain == split
+
+
 def test_broadcast_is_checked(spark, rows):
     spark.conf.set("spark.peerscope.broadcastRows", "10")
     plan = rows.join(S.dimension(rows.select("id").distinct()), "id")._jdf.queryExecution().optimizedPlan().toString()
