@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column
@@ -340,11 +339,3 @@ def md5_half(key: Column | str) -> Column:
 def fisher_interval(r: Column, n: Column) -> tuple[Column, Column]:
     z, half = F.atanh(r), F.lit(1.96) / F.sqrt(n - 3)
     return F.tanh(z - half), F.tanh(z + half)
-
-
-def normal_width(k: float = 1.96) -> float:
-    return k
-
-
-def half_life_weight(age: Column, half_life: float) -> Column:
-    return F.exp(-F.lit(math.log(2)) * age / half_life)

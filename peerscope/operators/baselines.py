@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from ..functions.expr import patch_key
 from .quantiles import grouped_quantiles
-from .scale import dimension
 
 PROBS = {"p10": 0.10, "p25": 0.25, "p50": 0.50, "p75": 0.75, "p90": 0.90}
 ALL = "*"
@@ -120,9 +119,3 @@ def rank_benchmarks(long: DataFrame, tier: str, role: str) -> DataFrame:
                        "metric", "value")
     out = grouped_quantiles(both, ["tier", "role", "metric"], "value", {"p20": 0.2, "p50": 0.5, "p80": 0.8})
     return out.select("tier", "role", "metric", "n", "p20", "p50", "p80")
-
-
-def stored_dimension(df: DataFrame) -> DataFrame:
-    return dimension(df)
-
-

@@ -140,11 +140,6 @@ def mark_hot(df: DataFrame, hot: HotKeys, order: str | None, name: str = "_chunk
         "_hot_from", "_hot_width", *[f"_hot_{k}" for k in hot.keys])
 
 
-def salted(df: DataFrame, keys: Sequence[str], salts: int, by: Sequence[str]) -> DataFrame:
-    """Add a deterministic salt of the row's ``by`` columns, for two-step aggregation of few keys."""
-    return df.withColumn("_salt", F.pmod(F.xxhash64(*by), F.lit(salts)).cast("int"))
-
-
 def beside(df: DataFrame, keys: Sequence[str], totals: dict[str, Column],
            hot_limit: int | None = None) -> DataFrame:
     """Each row with totals of its group: a window, or aggregate-and-join when a group is hot.
