@@ -88,3 +88,11 @@ def minhash_dedup(spark, sf_dir):
     from .minhash_dedup import near_duplicates
 
     return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "class_id", "component_id", "kept")
+
+
+@query("op2_quality_classifier")
+def quality_classifier(spark, sf_dir):
+    from .quality_classifier import quality_scores, train
+
+    docs = table(spark, sf_dir, "documents")
+    return quality_scores(docs, train(docs, table(spark, sf_dir, "labels")))
