@@ -140,3 +140,35 @@ class WordHashes(dict):
 
     def array(self, words: list[bytes]) -> np.ndarray:
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+
+
+def whole_runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """From rows sorted by integer ``keys``: tables of whole runs of equal keys, and the runs' edges.
+
+    A run may lie across batches; at most one run is held back for the next batch.
+    """
+    held: list[pa.RecordBatch] = []
+
+    def cut(rows: pa.Table) -> np.ndarray:
+        change = np.zeros(rows.num_rows, bool)
+        change[0] = True
+        for k in keys:
+            x = rows[k].to_numpy()
+            change[1:] |= x[1:] != x[:-1]
+        return np.flatnonzero(change)
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        if len(held) > 1 and all(held[0].column(k)[0] == batch.column(k)[batch.num_rows - 1] for k in keys):
+            continue  # still the same run
+        rows = pa.Table.from_batches(held)
+        starts = cut(rows)
+        last = int(starts[-1])
+        if last:
+            yield rows.slice(0, last), starts
+        held = rows.slice(last).combine_chunks().to_batches()
+    if held:
+        rows = pa.Table.from_batches(held)
+        yield rows, np.r_[cut(rows), rows.num_rows]

@@ -96,3 +96,10 @@ def quality_classifier(spark, sf_dir):
 
     docs = table(spark, sf_dir, "documents")
     return quality_scores(docs, train(docs, table(spark, sf_dir, "labels")))
+
+
+@query("op1_embedding_dedup")
+def embedding_dedup(spark, sf_dir):
+    from .embedding_dedup import near_vectors
+
+    return near_vectors(table(spark, sf_dir, "embeddings"))
