@@ -172,3 +172,22 @@ def whole_runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[t
     if held:
         rows = pa.Table.from_batches(held)
         yield rows, np.r_[cut(rows), rows.num_rows]
+
+
+def bucketed(rows: DataFrame, keys: list[str], buckets: int, label: str, sort: bool = True) -> DataFrame:
+    """``rows`` as a table in the shared folder, bucketed (and sorted) by ``keys``; joins on them don't shuffle it.
+
+    The files are in the shared folder; the catalog's entry is only needed while the table is resolved.
+    """
+    spark = rows.sparkSession
+    name = f"{label}_{uuid.uuid4().hex}"
+    writer = rows.write.option("path", new_path(spark, label)).option("compression", "zstd").bucketBy(buckets, *keys)
+    (writer.sortBy(*keys) if sort else writer).saveAsTable(name)
+    table = spark.table(name)
+    table.schema  # resolves the table  # noqa: B018
+    spark.sql(f"DROP TABLE {name}")
+    return table
+
+
+def partitions(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions", None) or 200)

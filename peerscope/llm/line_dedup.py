@@ -10,15 +10,13 @@ them shuffles only the new batch.
 
 from __future__ import annotations
 
-import uuid
-
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ASCII_SPACE, arrow_schema, new_path, slices, small_batches, texts_of, written
+from .common import ASCII_SPACE, arrow_schema, bucketed, partitions, slices, small_batches, texts_of, written
 
 BATCHES = 4
 FANOUT = 2
@@ -59,7 +57,7 @@ class LineRuns:
 
     def __init__(self, spark: SparkSession, buckets: int | None = None, fanout: int = FANOUT):
         self.spark = spark
-        self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions", None) or 200)
+        self.buckets = buckets or partitions(spark)
         self.fanout = fanout
         self.levels: list[list[DataFrame]] = []
 
@@ -67,13 +65,7 @@ class LineRuns:
         return [r for level in self.levels for r in level]
 
     def _store(self, rows: DataFrame) -> DataFrame:
-        name = f"line_run_{uuid.uuid4().hex}"
-        (rows.repartition(self.buckets, *HASH).write.option("path", new_path(self.spark, "line-run")).option("compression", "zstd")
-         .bucketBy(self.buckets, *HASH).sortBy(*HASH).saveAsTable(name))
-        run = self.spark.table(name)
-        run.schema  # resolved; the catalog's entry can go, the files stay  # noqa: B018
-        self.spark.sql(f"DROP TABLE {name}")
-        return run
+        return bucketed(rows.repartition(self.buckets, *HASH), HASH, self.buckets, "line_run")
 
     def new(self, lines: DataFrame) -> DataFrame:
         """Lines (h1, h2 and further columns) that no run has."""
