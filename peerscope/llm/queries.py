@@ -103,3 +103,17 @@ def embedding_dedup(spark, sf_dir):
     from .embedding_dedup import near_vectors
 
     return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+@query("op7_fm_substring")
+def fm_substring(spark, sf_dir):
+    from .fm_substring import drop_repeated_words
+
+    return drop_repeated_words(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query("op10_suffix_dedup")
+def suffix_dedup(spark, sf_dir):
+    from .suffix_dedup import drop_repeated_bytes
+
+    return drop_repeated_bytes(table(spark, sf_dir, "documents")).select("doc_id", F.col("n").alias("n_bytes"), "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
