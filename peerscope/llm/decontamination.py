@@ -12,6 +12,7 @@ and all documents pass it where they are read, so a passage in very many documen
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 from itertools import repeat
 
@@ -19,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from .common import arrow_schema, bytes_of, merge_spans, mix64, slices, small_batches, written
 
@@ -197,13 +199,10 @@ def occurrences(block: Block, index: dict, numbers: np.ndarray, starts: np.ndarr
     return np.concatenate(found_w), np.concatenate(found_s)
 
 
-STATE = "id {kind}, text string, n_words bigint, span_starts array<bigint>, span_ends array<bigint>, items array<string>"
-
-
-def pass_block(state: DataFrame, block, index, kind: str) -> DataFrame:
+def pass_block(state: DataFrame, block, index) -> DataFrame:
     """The documents with the block's hits added to their spans and items."""
-    schema = STATE.format(kind=kind)
-    arrow = arrow_schema(schema)
+    schema = state.schema
+    arrow = to_arrow_schema(schema)
 
     def run(batches):
         b, prefix = block.value, index.value
@@ -224,13 +223,14 @@ def pass_block(state: DataFrame, block, index, kind: str) -> DataFrame:
                     old_s[d], old_e[d] = m_s.tolist(), m_e.tolist()
                     old_i[d] = sorted({*old_i[d], *(i for x in np.unique(w[a:z]) for i in b.items[x])})
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([len(x) for x in words], pa.int64()),
-                                                  *(pa.array(x, f.type) for x, f in zip((old_s, old_e, old_i), list(arrow)[3:], strict=True))], schema=arrow)
+                                                  *(pa.array(x, f.type) for x, f in zip((old_s, old_e, old_i), list(arrow)[3:6], strict=True)), part.column(6)], schema=arrow)
 
     return state.mapInArrow(run, schema)
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_pairs: int = BLOCK_PAIRS,
-                  id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+                  id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text",
+                  carry: Sequence[str] = ()) -> DataFrame:
     """Words of each document inside an occurrence of an item's window.
 
     Returns id, n_words, n_hit, items (ids as sorted strings), span_starts and span_ends (word positions,
@@ -241,23 +241,23 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
     """
     spark = docs.sparkSession
     small_batches(spark)
-    kind = docs.schema[id_col].dataType.simpleString()
     pairs = written(item_windows(benchmark, window, item_col, item_text_col), "windows")
     blocks = max(1, -(-pairs.count() // block_pairs))
     none = F.array().cast("array<bigint>")
     state = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.lit(0).cast("bigint").alias("n_words"),
-                        none.alias("span_starts"), none.alias("span_ends"), F.array().cast("array<string>").alias("items"))
+                        none.alias("span_starts"), none.alias("span_ends"), F.array().cast("array<string>").alias("items"), F.struct(*carry).alias("rest") if carry else F.lit(0).alias("rest"))
     texts = docs.select(F.col(text_col).alias("text"))
     for b in range(blocks):
         part = pairs.where(F.pmod(F.xxhash64("words", "item"), F.lit(blocks)) == b)
         block = Block.of([(r["words"], r["item"]) for r in part.collect()], window)  # about block_pairs rows
         shared = spark.sparkContext.broadcast(block)
         index = spark.sparkContext.broadcast(prefixes(block, shingle_counts(texts, shared)))
-        state = pass_block(state, shared, index, kind)
+        state = pass_block(state, shared, index)
         if b + 1 < blocks:
             state = written(state, "passed")
     spans = F.zip_with("span_ends", "span_starts", lambda e, s: e - s)
     hit = F.aggregate(spans, F.lit(0).cast("bigint"), lambda a, x: a + x)
-    return (state.withColumn("n_hit", hit)
-            .select(F.col("id").alias(id_col), "n_words", "n_hit", "items", "span_starts", "span_ends",
-                    ((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).alias("contaminated")))
+    out = (state.withColumn("n_hit", hit)
+           .select(F.col("id").alias(id_col), "n_words", "n_hit", "items", "span_starts", "span_ends",
+                   ((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"), "rest"))
+    return out if carry else out.drop("rest")

@@ -10,11 +10,15 @@ them shuffles only the new batch.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from .common import ASCII_SPACE, arrow_schema, bucketed, partitions, slices, small_batches, texts_of, written
 
@@ -106,11 +110,11 @@ class LineRuns:
 
 
 def drop_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, batches: int = BATCHES,
-               id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+               id_col: str = "doc_id", text_col: str = "text", carry: Sequence[str] = ()) -> DataFrame:
     """Lines of at least ``min_chars`` in at least ``min_docs`` documents go, except in the largest id holding them.
 
     Returns id, n_lines (before), n_dropped and kept (the other lines, joined again), a row for each
-    input row. A null or empty text is one empty line. Rows with one id are one document: they count
+    input row; the columns named in ``carry`` follow in a struct ``rest``. A null or empty text is one empty line. Rows with one id are one document: they count
     once, and what is decided for the id holds in each. Null ids are one document that is smaller than
     all others. Text that is a single very long line is one line. Lines are compared by 128-bit hashes
     of their stripped, A-Z lower-cased text. An empty table gives an empty result.
@@ -141,8 +145,9 @@ def drop_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, batches:
              .groupBy("doc").agg(F.collect_set(F.struct(*HASH)).alias("drops")))  # no more than a document's lines
 
     kind = docs.schema[id_col].dataType.simpleString()
-    schema = f"`{id_col}` {kind}, n_lines bigint, n_dropped bigint, kept string"
-    arrow = arrow_schema(schema)
+    rest = F.struct(*carry).alias("rest") if carry else F.lit(0).alias("rest")
+    schema = T._parse_datatype_string(f"`{id_col}` {kind}, n_lines bigint, n_dropped bigint, kept string").add(docs.select(rest).schema["rest"])
+    arrow = to_arrow_schema(schema)
 
     def run(parts):
         for batch in parts:
@@ -157,8 +162,9 @@ def drop_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, batches:
                     kept = [x for x in all_lines if len(k := line_key(x)) < min_chars or line_hash(k) not in bad]
                     out.append((len(all_lines), len(all_lines) - len(kept), "\n".join(kept)))
                 a, b, c = zip(*out, strict=True)
-                yield pa.RecordBatch.from_arrays([part.column(0).cast(arrow.field(0).type), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(c, arrow.field(3).type)], schema=arrow)
+                yield pa.RecordBatch.from_arrays([part.column(0).cast(arrow.field(0).type), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(c, arrow.field(3).type), part.column(3)], schema=arrow)
 
-    left = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return (left.join(drops, F.col("id").cast("bigint").eqNullSafe(F.col("doc")), "left")
-            .select("id", "text", "drops").mapInArrow(run, schema))
+    left = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), rest)
+    out = (left.join(drops, F.col("id").cast("bigint").eqNullSafe(F.col("doc")), "left")
+           .select("id", "text", "drops", "rest").mapInArrow(run, schema))
+    return out if carry else out.drop("rest")

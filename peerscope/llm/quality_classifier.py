@@ -145,3 +145,18 @@ def quality_scores(docs: DataFrame, model: Model | None, threshold: float = 0.3,
 
     scored = docs.select(F.col(id_col), F.col(text_col).alias("text")).mapInArrow(run, schema)
     return scored.select(id_col, F.coalesce(held_out(F.col(id_col)), F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def keep_good(docs: DataFrame, model: Model | None, threshold: float = 0.3, text_col: str = "text") -> DataFrame:
+    """The rows, with all their columns, whose text scores at least ``threshold``; nothing is shuffled."""
+    small_batches(docs.sparkSession)
+
+    def run(batches):
+        for batch in batches:
+            for part in slices(batch, text_col):
+                if model is not None:
+                    score = model.score(np.array([statistics(t) for t in bytes_of(part, text_col)]))
+                    part = part.filter(pa.array(score >= threshold))
+                yield part
+
+    return docs.mapInArrow(run, docs.schema)
