@@ -82,8 +82,8 @@ class LineRuns:
         own = written(lines.distinct().groupBy(*HASH).agg(F.count(F.lit(1)).alias("docs"), F.max("doc").alias("last")), "line-batch")
         new = self.new(own)
         if self.runs():
-            known = own.join(new.select(*HASH), HASH, "left_anti").withColumn("last", F.lit(None).cast("bigint"))
-            own = new.unionByName(known)
+            marked = own.join(new.select(*HASH, F.lit(True).alias("is_new")), HASH, "left")
+            own = marked.select(*HASH, "docs", F.when(F.col("is_new"), F.col("last")).alias("last"))
         self._put(self._store(own), 0)
 
     def _put(self, run: DataFrame, level: int) -> None:
