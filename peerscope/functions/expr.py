@@ -277,15 +277,19 @@ def _nth_position(order: Column | str, letter: str, n: int) -> Column:
     return F.get(where, F.lit(n - 1))
 
 
-def max_order(order: Column | str, letters: Sequence[str] = ("Q", "W", "E"), seen: int = 15) -> Column:
-    """Letters in the order they reach five points among the first ``seen`` level-ups; a letter that does
-    not get there ranks after, the more points the earlier. Null below nine level-ups."""
-    text = F.substring(col(order), 1, seen)
-    rank = lambda k: F.coalesce(_nth_position(text, k, 5) - 1,
-                                99 + (5 - (F.length(text) - F.length(F.replace(text, F.lit(k), F.lit("")))) ) * 10)
-    ordered = F.array_sort(F.array(*[F.struct(rank(k).alias("r"), F.lit(i).alias("i"), F.lit(k).alias("k"))
-                                     for i, k in enumerate(letters)]))
-    return F.when(F.length(text) >= 9, F.array_join(F.transform(ordered, lambda s: s["k"]), ""))
+def max_order(order: Column | str, letters: Sequence[str] = ("Q", "W", "E"), seen: int | None = None, points: int = 5, least: int = 9) -> Column:
+    """Letters in the order they reach ``points`` points, then the others by how many they have.
+
+    ``seen`` looks at the first level-ups only; null below ``least`` of them."""
+    text = col(order) if seen is None else F.substring(col(order), 1, seen)
+
+    def place(i: int, letter: str) -> Column:
+        reached = _nth_position(text, letter, points)
+        has = F.length(text) - F.length(F.replace(text, F.lit(letter), F.lit("")))
+        return F.struct(reached.isNull().alias("late"), F.coalesce(reached, F.lit(0)).alias("at"), (-has).alias("short"), F.lit(i).alias("i"), F.lit(letter).alias("letter"))
+
+    ordered = F.array_sort(F.array(*[place(i, k) for i, k in enumerate(letters)]))
+    return F.when(F.length(text) >= least, F.array_join(F.transform(ordered, lambda s: s["letter"]), ""))
 
 
 def nth_distinct(items: Column | str, n: int) -> Column:
@@ -309,9 +313,9 @@ def plain_name(name: Column | str) -> Column:
     return F.lower(F.regexp_replace(col(name), "[^A-Za-z0-9]", ""))
 
 
-# Number formats in text ("E3" and "2v2" are not numbers).
-NOT_NUMBERS = r"(?i)\bE\d+\b|\b\d+v\d+\b"
-NUMBER = r"(?<![\w.])\d{1,3}(?:,\d{3})+(?:\.\d+)?|(?<![\w.])\d+(?:\.\d+)?"
+# "E3" and "2v2" are not numbers; a number has plain digits, or groups of three after the first comma.
+NOT_NUMBERS = r"(?i)\b(?:e\d+|\d+v\d+)\b"
+NUMBER = r"(?<![\w.])(?:\d{1,3}(?:,\d{3})+|\d+)(?:\.\d+)?"
 
 
 def written_numbers(text: Column | str) -> Column:

@@ -96,7 +96,7 @@ def paired_gap(with_sessions: DataFrame, session_keys: Sequence[str], keys: Sequ
 
 
 def tilt(with_sessions: DataFrame, keys: Sequence[str], win: str, last: int = 4) -> DataFrame:
-    """Win rates by game number in the session, after two losses and after a win; advice flags."""
+    """Win rates by game number in the session, after two losses and after a win."""
     i, l, w = F.col("index"), F.col("losses_before"), F.col(win).cast("int")
 
     def rate(when: Column, name: str):

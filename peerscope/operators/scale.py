@@ -8,6 +8,7 @@ switch to a plan that splits those keys. With no hot key the plain Spark operato
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Sequence
@@ -32,13 +33,28 @@ def hot_rows(df: DataFrame) -> int:
     return setting(df.sparkSession, HOT_ROWS_SETTING, HOT_ROWS)
 
 
+_TEMPORARY: dict[str, str] = {}
+
+
 def scratch_dir(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder; a temporary one only where none is set (tests)."""
+    """This application's folder in the shared one that ``spark.checkpoint.dir`` names.
+
+    A session on one machine that names none gets a temporary folder; on a cluster that is an error,
+    because executors don't share the driver's disk.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
+    app = spark.sparkContext.applicationId
     if not base:
-        base = tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = _TEMPORARY.setdefault(app, tempfile.mkdtemp(prefix="spark-"))
+    return f"{base.rstrip('/')}/{app}"
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete what this application wrote to the shared folder; call it when its results are saved."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(scratch_dir(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def written(df: DataFrame, label: str = "stage") -> DataFrame:

@@ -100,7 +100,7 @@ def patch_shift(changes: DataFrame, games: DataFrame, keys: Sequence[str] = ("ch
     total = counts.agg(F.sum("_n").alias("_total"))
     patches = changes.select("patch").distinct()
     c = counts.select(F.col("patch").alias("_p"), "_n")
-    before = (patches.join(F.broadcast(c), F.col("_p") < F.col("patch"), "left").groupBy("patch").agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("_b"))
+    before = (patches.join(F.broadcast(c), E.patch_key("_p") < E.patch_key("patch"), "left").groupBy("patch").agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("_b"))
               .crossJoin(F.broadcast(total)).select("patch", (F.col("_b") / F.col("_total")).alias("share_before")))
     weight = F.lit(0.0)
     for kind, w in CHANGE_WEIGHT.items():

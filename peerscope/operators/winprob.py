@@ -236,10 +236,10 @@ def change_groups() -> dict[str, list[str]]:
 
 
 def explained_changes(before: DataFrame, after: DataFrame, keys: Sequence[str], chance: Chance = stub_chance,
-                      groups: dict[str, list[str]] | None = None, most: int = 6) -> DataFrame:
-    """Exact Shapley split of each change of the chance over the (at most six) groups of inputs that changed.
+                      groups: dict[str, list[str]] | None = None) -> DataFrame:
+    """Exact Shapley split of each change of the chance over all groups of inputs that changed.
 
-    Every subset of changed groups becomes one state row and all are scored together. A group's value is a
+    With k changed groups a change takes 2^k states; k is at most the number of groups (13). Every subset of changed groups becomes one state row and all are scored together. A group's value is a
     single weighted sum over the subsets, |S|!(k-|S|-1)!/k! with the sign of its membership, so subsets are
     never joined to each other.
     """
@@ -253,7 +253,7 @@ def explained_changes(before: DataFrame, after: DataFrame, keys: Sequence[str],
     j = before.join(a, on)
     differs = lambda cs: " OR ".join(f"NOT ({c} <=> _a_{c})" for c in cs if c in state) or "false"
     flags = F.array(*[F.when(F.expr(differs(cs)), F.lit(g)) for g, cs in groups.items()])
-    j = j.withColumn("_changed", F.slice(F.filter(flags, lambda x: x.isNotNull()), 1, most))
+    j = j.withColumn("_changed", F.filter(flags, lambda x: x.isNotNull()))
     j = j.withColumn("_k", F.size("_changed"))
     j = j.withColumn("_mask", F.explode(F.sequence(F.lit(0), F.pow(F.lit(2), F.col("_k")).cast("int") - 1)))
     of = {c: g for g, cs in groups.items() for c in cs}
@@ -269,7 +269,7 @@ def explained_changes(before: DataFrame, after: DataFrame, keys: Sequence[str],
     scored = chance(states, "p").select(*keys, "t", "_changed", "_k", "_mask", "p")
     n = F.bit_count(F.col("_mask"))
     full = F.pow(F.lit(2), F.col("_k")).cast("int") - 1
-    fact = F.array(*[F.lit(float(math.factorial(i))) for i in range(most + 1)])
+    fact = F.array(*[F.lit(float(math.factorial(i))) for i in range(len(groups) + 1)])
     at = lambda i: F.element_at(fact, (i + 1).cast("int"))
     k = F.col("_k")
     per_group = F.transform(F.col("_changed"), lambda g, i: F.struct(

@@ -222,7 +222,7 @@ def win_by_length(s: Star) -> DataFrame:
 SELECT champion, patch, count(*) AS games, CAST(sum(win::INT) AS BIGINT) AS wins FROM builds GROUP BY champion, patch HAVING count(*) >= 10 QUALIFY row_number() OVER (PARTITION BY champion ORDER BY patch DESC) <= 5""")
 def win_by_patch(s: Star) -> DataFrame:
     r = G.record(s.builds(), ["champion", "patch"]).where("games >= 10")
-    return top_per_group(r, ["champion"], [F.col("patch").desc()], 5)
+    return top_per_group(r, ["champion"], [E.patch_key("patch").desc()], 5)
 
 
 @query("mains", with_sql(BUILDS_SQL) + """,

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators import evaluation as V
@@ -13,6 +13,7 @@ from ..operators.scale import written
 from .chance import events as play_events
 from .chance import frames as play_frames
 from .chance import training_set
+from .past import LANE_CASE, ZONE_CASE, lane_ctes
 from .registry import query
 from .sequences import TRADES_SQL, lane_trades
 from .star import EVENTS_SQL, LINES_SQL, Star, with_sql
@@ -20,14 +21,17 @@ from .star import EVENTS_SQL, LINES_SQL, Star, with_sql
 FEATURES = ["minute", "gold_diff", "xp_diff", "cs_diff", "kills_own", "kills_enemy", "towers_own", "towers_enemy", "dragons_own", "dragons_enemy", "alive_own", "alive_enemy"]
 
 
-@query("decision_labels", with_sql(LINES_SQL) + """,
-p AS (SELECT game_id, slot, item, price, quantity, discount, flag, team, CASE team WHEN 'F' THEN 100 ELSE 200 END AS side, CAST((item * 7) % 14870 AS DOUBLE) AS x, CAST((price * 3) % 14980 AS DOUBLE) AS y FROM lines),
-f AS (SELECT *, CASE WHEN side = 200 THEN 1 - y / 14980.0 ELSE x / 14870.0 END AS u, CASE WHEN side = 200 THEN 1 - x / 14870.0 ELSE y / 14980.0 END AS v FROM p),
-l AS (SELECT *, CASE WHEN flag = 'N' AND quantity > 40 THEN 'objective' WHEN u < 0.26 AND v < 0.26 THEN 'base' WHEN flag = 'R' THEN 'gank_' || ['top', 'mid', 'bot'][CAST(item % 3 AS INT) + 1] ELSE 'later' END AS d FROM f)
-SELECT d AS decision, count(*) AS n FROM l WHERE d <> 'later' GROUP BY 1""")
+PLACED_SQL = LINES_SQL + f""",
+p AS (SELECT *, CASE team WHEN 'F' THEN 100 ELSE 200 END AS side, CAST((item * 7) % 14870 AS DOUBLE) AS x, CAST((price * 3) % 14980 AS DOUBLE) AS y, ['top', 'mid', 'bot'][CAST(item % 3 AS INT) + 1] AS at_lane FROM lines), {lane_ctes()},
+f AS (SELECT *, {LANE_CASE} AS lane, CASE WHEN side = 200 THEN 1 - y / 14980.0 ELSE x / 14870.0 END AS u, CASE WHEN side = 200 THEN 1 - x / 14870.0 ELSE y / 14980.0 END AS v FROM m),
+z AS (SELECT *, {ZONE_CASE} AS zone FROM f)"""
+
+
+@query("decision_labels", with_sql(PLACED_SQL) + """
+SELECT CASE WHEN flag = 'N' AND quantity > 40 THEN 'objective' WHEN zone = 'own_base' THEN 'base' WHEN flag = 'R' THEN 'gank_' || at_lane WHEN lane IS NOT NULL AND discount * 500 <= 2000 THEN 'gank_' || lane
+  WHEN zone = 'enemy_jungle' THEN 'invade' WHEN tax >= 3 THEN 'farm' WHEN lane IS NOT NULL THEN 'rotate' ELSE 'other' END AS decision, count(*) AS n FROM z GROUP BY 1""")
 def decision_labels(s: Star) -> DataFrame:
-    d = labelled(s).where(F.col("decision").isin("objective", "base") | F.col("decision").startswith("gank_") & (F.col("flag") == "R"))
-    return d.groupBy("decision").agg(F.count(F.lit(1)).alias("n"))
+    return labelled(s).groupBy("decision").agg(F.count(F.lit(1)).alias("n"))
 
 
 def labelled(s: Star) -> DataFrame:
@@ -41,7 +45,9 @@ def labelled(s: Star) -> DataFrame:
     return e.withColumn("decision", L.first_rule(L.jungle_rules()))
 
 
-@query("laner_labels")
+@query("laner_labels", with_sql(PLACED_SQL) + """
+SELECT CASE WHEN flag = 'N' AND quantity > 40 THEN 'objective' WHEN zone = 'own_base' THEN 'base' WHEN flag = 'A' THEN 'push' WHEN flag = 'R' AND at_lane <> 'mid' THEN 'roam' WHEN lane <> 'mid' THEN 'roam'
+  WHEN lane = 'mid' THEN 'lane' WHEN zone IN ('river', 'own_jungle', 'enemy_jungle') AND mid > 2500 THEN 'roam' WHEN mid <= 2500 THEN 'lane' ELSE 'other' END AS label, count(*) AS n FROM z GROUP BY 1""")
 def laner_labels(s: Star) -> DataFrame:
     c = F.col
     e = labelled(s).withColumn("tower_hit", c("flag") == "A").withColumn("fought", c("flag") == "R").withColumn("fight_lane", c("kill_lane"))
@@ -207,15 +213,16 @@ def decision_classes(s: Star) -> DataFrame:
 
 @query("what_if_moments")
 def what_if_moments(s: Star) -> DataFrame:
-    """Outcome chance of every held-out situation under three decisions; the best one and its gain."""
+    """Outcome chance of every held-out situation under every decision; the best one and its gain."""
     d = _decisions(s)
-    opts = ["farm", "invade", "objective"]
+    opts = ["objective", "base", "gank_top", "gank_mid", "gank_bot", "invade", "farm", "rotate", "other"]
     for o in opts:
         d = d.withColumn(f"is_{o}", (F.col("decision") == o).cast("double"))
-    d = d.withColumn("won", F.col("win").cast("int")).withColumn("row", F.concat_ws(":", "game_id", "slot", "item", "supplier", "price"))
+    number = F.row_number().over(Window.partitionBy("game_id", "slot", "item", "supplier", "price").orderBy("quantity", "discount", "tax"))  # of the few lines alike
+    d = d.withColumn("won", F.col("win").cast("int")).withColumn("row", F.concat_ws(":", "game_id", "slot", "item", "supplier", "price", number))
     cols = ["x", "y", "quantity", "discount", *[f"is_{o}" for o in opts]]
     m = M.chance_pipeline(cols, "won", iterations=10).fit(d.where("split = 'train'"))
-    w = M.what_if(m, d.where("split = 'test'").dropDuplicates(["row"]), opts, lambda o: f"is_{o}", ["row"])
+    w = M.what_if(m, d.where("split = 'test'"), opts, lambda o: f"is_{o}", ["row"])
     return w.groupBy("row").agg(F.max_by("option", F.struct(F.round("gain", 9), "option")).alias("best"), F.round(F.max("gain"), 6).alias("gain"))
 
 

@@ -107,11 +107,14 @@ def half_split_focus(s: Star) -> DataFrame:
                                    F.avg(F.when(~early, F.col("score"))).alias("later"))
 
 
+ZONE_CASE = """CASE WHEN u < 0.26 AND v < 0.26 THEN 'own_base' WHEN u > 0.74 AND v > 0.74 THEN 'enemy_base' WHEN u < 0.15 OR v > 0.85 THEN 'top_lane' WHEN v < 0.15 OR u > 0.85 THEN 'bot_lane'
+  WHEN abs(u - v) < 0.07 THEN 'mid_lane' WHEN abs(u + v - 1) < 0.07 THEN 'river' WHEN u + v < 1 THEN 'own_jungle' ELSE 'enemy_jungle' END"""
+
+
 @query("death_map", with_sql(LINES_SQL) + """,
 p AS (SELECT player, game_id, CASE team WHEN 'F' THEN 100 ELSE 200 END AS side, (item * 7) % 14870 AS x, (price * 3) % 14980 AS y FROM lines),
 f AS (SELECT *, CASE WHEN side = 200 THEN 1 - y / 14980.0 ELSE x / 14870.0 END AS u, CASE WHEN side = 200 THEN 1 - x / 14870.0 ELSE y / 14980.0 END AS v FROM p)
-SELECT player, CASE WHEN u < 0.26 AND v < 0.26 THEN 'own_base' WHEN u > 0.74 AND v > 0.74 THEN 'enemy_base' WHEN u < 0.15 OR v > 0.85 THEN 'top_lane' WHEN v < 0.15 OR u > 0.85 THEN 'bot_lane'
-  WHEN abs(u - v) < 0.07 THEN 'mid_lane' WHEN abs(u + v - 1) < 0.07 THEN 'river' WHEN u + v < 1 THEN 'own_jungle' ELSE 'enemy_jungle' END AS zone, count(*) AS deaths FROM f GROUP BY ALL""")
+""" + f"SELECT player, {ZONE_CASE} AS zone, count(*) AS deaths FROM f GROUP BY ALL")
 def death_map(s: Star) -> DataFrame:
     side = F.when(F.col("team") == "F", 100).otherwise(200)
     p = s.lines().select("player", side.alias("side"), (F.col("item") * 7 % 14870).alias("x"), (F.col("price") * 3 % 14980).alias("y"))
@@ -121,7 +124,8 @@ def death_map(s: Star) -> DataFrame:
 _SEG = "sqrt(pow(x - {ax} - t{i} * {dx}, 2) + pow(y - {ay} - t{i} * {dy}, 2))"
 
 
-def _lane_sql() -> str:
+def lane_ctes() -> str:
+    """From a table p with x and y: m, with the distance to each lane's centre line."""
     segs, i = [], 0
     names: dict[str, list[int]] = {}
     for lane, path in E.LANES.items():
@@ -132,16 +136,19 @@ def _lane_sql() -> str:
                          _SEG.format(ax=a[0], ay=a[1], dx=dx, dy=dy, i=i) + f" AS d{i}"))
             i += 1
     best = {lane: "least(" + ", ".join(f"d{j}" for j in js) + ")" for lane, js in names.items()}
-    return f""",
-p AS (SELECT game_id, slot, CAST((item * 7) % 14870 AS DOUBLE) AS x, CAST((price * 3) % 14980 AS DOUBLE) AS y FROM lines),
+    return f"""
 t AS (SELECT *, {", ".join(a for a, _ in segs)} FROM p), d AS (SELECT *, {", ".join(b for _, b in segs)} FROM t),
-m AS (SELECT *, {", ".join(f"{v} AS {k}" for k, v in best.items())} FROM d),
-l AS (SELECT x, y, CASE WHEN (x / 14870.0 < 0.26 AND y / 14980.0 < 0.26) OR (x / 14870.0 > 0.74 AND y / 14980.0 > 0.74) THEN NULL
-  WHEN least(top, mid, bot) > 1000 THEN NULL WHEN bot <= top AND bot <= mid THEN 'bot' WHEN mid <= top AND mid <= bot THEN 'mid' ELSE 'top' END AS lane FROM m)
-SELECT coalesce(lane, 'none') AS lane, count(*) AS n FROM l GROUP BY ALL"""
+m AS (SELECT *, {", ".join(f"{v} AS {k}" for k, v in best.items())} FROM d)"""
+
+
+LANE_CASE = """CASE WHEN (x / 14870.0 < 0.26 AND y / 14980.0 < 0.26) OR (x / 14870.0 > 0.74 AND y / 14980.0 > 0.74) THEN NULL
+  WHEN least(top, mid, bot) > 1000 THEN NULL WHEN bot <= top AND bot <= mid THEN 'bot' WHEN mid <= top AND mid <= bot THEN 'mid' ELSE 'top' END"""
 
 
-@query("lane_membership", with_sql(LINES_SQL) + _lane_sql())
+@query("lane_membership", with_sql(LINES_SQL) + f""",
+p AS (SELECT game_id, slot, CAST((item * 7) % 14870 AS DOUBLE) AS x, CAST((price * 3) % 14980 AS DOUBLE) AS y FROM lines), {lane_ctes()},
+l AS (SELECT {LANE_CASE} AS lane FROM m)
+SELECT coalesce(lane, 'none') AS lane, count(*) AS n FROM l GROUP BY ALL""")
 def lane_membership(s: Star) -> DataFrame:
     p = s.lines().select((F.col("item") * 7 % 14870).alias("x"), (F.col("price") * 3 % 14980).alias("y"))
     return p.groupBy(F.coalesce(E.lane_at("x", "y"), F.lit("none")).alias("lane")).agg(F.count(F.lit(1)).alias("n"))

@@ -91,12 +91,12 @@ def choices(s: Star) -> DataFrame:
 
 
 @query("choice_values", with_sql(CHOICES_SQL) + """
-SELECT champion, kind, slot, choice, context, n AS games, round(100 * raw, 9) AS raw, round(100 * raw * tau2 / (tau2 + noise), 9) AS value, round(100 * sqrt(tau2 * noise / (tau2 + noise)), 9) AS sd,
+SELECT champion, kind, slot, choice, context, n AS games, round(100 * raw, 9) + 0.0 AS raw, round(100 * raw * tau2 / (tau2 + noise), 9) + 0.0 AS value, round(100 * sqrt(tau2 * noise / (tau2 + noise)), 9) AS sd,
   round(100 * expected, 9) AS expected, round(100 * win_rate, 9) AS win_rate FROM cells JOIN sig USING (kind) WHERE n >= 10""")
 def choice_values(s: Star) -> DataFrame:
     cells = R.choice_cells(choices(s))
     v = R.choice_values(cells, R.choice_signal(cells))
-    return v.select(*R.CELL, "games", *[F.round(c, 9).alias(c) for c in ("raw", "value", "sd", "expected", "win_rate")])
+    return v.select(*R.CELL, "games", *[(F.round(c, 9) + 0.0).alias(c) for c in ("raw", "value", "sd", "expected", "win_rate")])
 
 
 @query("choice_signal", with_sql(CHOICES_SQL) + "SELECT kind, cells, round(tau2, 7) AS tau2 FROM sig")
@@ -191,21 +191,19 @@ st AS (SELECT role, champion, count(*) AS n, sum(win::INT) AS w FROM lines GROUP
 seat AS (SELECT game_id, team, champion, max(win::INT) AS w FROM lines GROUP BY ALL),
 pr AS (SELECT a.champion, b.champion AS other, a.team = b.team AS t, count(*) AS n, sum(a.w) AS w FROM seat a JOIN seat b ON a.game_id = b.game_id AND a.champion <> b.champion GROUP BY ALL),
 dr AS (SELECT game_id AS draft, min(role) AS role, min(supplier) AS player, list_sort(list(DISTINCT champion) FILTER (WHERE team = 'F')) AS allies, list_sort(list(DISTINCT champion) FILTER (WHERE team = 'O')) AS enemies FROM lines GROUP BY game_id),
-cand AS (SELECT d.*, s.champion, (s.w + 50.0) / (s.n + 100.0) AS base FROM dr d JOIN st s USING (role) WHERE s.n >= 20 AND d.draft % 10 = CAST(substr(s.champion, 7) AS INT) % 10),
+cand AS (SELECT d.*, s.champion, (s.w + 50.0) / (s.n + 100.0) AS base FROM dr d JOIN st s USING (role) WHERE s.n >= 20),
 al AS (SELECT c.draft, c.champion, greatest(-0.20, least(0.20, sum(ln(((coalesce(p.w, 0) + 150.0 * base) / (coalesce(p.n, 0) + 150.0)) / (1 - (coalesce(p.w, 0) + 150.0 * base) / (coalesce(p.n, 0) + 150.0))) - ln(base / (1 - base))))) AS x
   FROM (SELECT draft, champion, base, unnest(allies) AS other FROM cand) c LEFT JOIN pr p ON p.champion = c.champion AND p.other = c.other AND p.t GROUP BY ALL)
 SELECT draft, c.champion, round(ln(base / (1 - base)), 5) AS strength_x, round(coalesce(a.x, 0.0), 5) + 0.0 AS allies_x FROM cand c LEFT JOIN al a USING (draft, champion)"""
 
 
 def drafts(s: Star) -> DataFrame:
-    """Each game asks about the champions its number points at."""
+    """Each game asks about every champion with enough games in the role."""
     l = s.lines()
     pick = lambda side: F.array_sort(F.collect_set(F.when(F.col("team") == side, F.col("champion"))))
     d = l.groupBy(F.col("game_id").alias("draft")).agg(F.min("role").alias("role"), F.min("supplier").alias("player"), pick("F").alias("allies"), pick("O").alias("enemies"))
     strong = l.groupBy("role", "champion").agg(F.count(F.lit(1)).alias("games")).where("games >= 20").select("role", "champion")
-    number = F.substring("champion", 7, 3).cast("int")
-    return (d.join(strong, "role").where(F.col("draft") % 10 == number % 10)
-            .withColumn("opponent", F.try_element_at("enemies", F.lit(1))))
+    return d.join(strong, "role").withColumn("opponent", F.try_element_at("enemies", F.lit(1)))
 
 
 def draft_table(s: Star) -> DataFrame:

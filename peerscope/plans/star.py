@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.catalogue import METRIC_SCHEMA, metric_rows
+from ..functions.catalogue import METRIC_SCHEMA
 from ..operators.joins import opponents
 from ..operators.scale import beside
 from ..session import prepare
@@ -18,13 +18,13 @@ from ..session import prepare
 TIERS = ("BUILDING", "MACHINERY", "HOUSEHOLD", "FURNITURE", "AUTOMOBILE")
 LINE_METRICS = ("quantity", "price", "discount", "tax")
 
-# The binding's own metric list, in the catalogue's format.
-STAR_METRICS = """
-quantity farming
-price economy
-discount survival low
-tax vision not:2-HIGH
-"""
+# The binding's own metrics, as rows of the catalogue.
+STAR_METRICS = [
+    ("quantity", "farming", True, True, []),
+    ("price", "economy", True, True, []),
+    ("discount", "survival", False, True, []),
+    ("tax", "vision", True, True, ["2-HIGH"]),
+]
 
 GAMES_SQL = """
 games AS (
@@ -144,7 +144,7 @@ class Star:
             F.get_json_object("props", "$.k").cast("long").alias("k"))
 
     def catalogue(self) -> DataFrame:
-        return self.spark.createDataFrame(metric_rows(STAR_METRICS, "game"), METRIC_SCHEMA)
+        return self.spark.createDataFrame([(*r, "game") for r in STAR_METRICS], METRIC_SCHEMA)
 
     def metric_rows(self) -> DataFrame:
         """Lines as long metric rows."""

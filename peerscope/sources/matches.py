@@ -122,9 +122,10 @@ def minute_frames(timelines: DataFrame, tolerance_ms: int = 5_000) -> DataFrame:
     """
     c = F.col
     minute = lambda f: F.floor(f["timestamp"] / 60000).cast("int")
-    placed = F.filter(F.transform("info.frames", lambda f: F.struct(minute(f).alias("minute"), f.alias("f"))),
+    in_time = F.sort_array(F.transform("info.frames", lambda f, i: F.struct(f["timestamp"].alias("at"), i.alias("i"))))
+    placed = F.filter(F.transform(in_time, lambda o: F.struct(minute(F.get("info.frames", o["i"])).alias("minute"), F.get("info.frames", o["i"]).alias("f"))),
                       lambda v: v["f"]["timestamp"] - v["minute"].cast("long") * 60000 <= tolerance_ms)
-    d = timelines.select(c("metadata.matchId").alias("match_id"), F.get("info.frames", F.lit(0)).alias("_first"), placed.alias("_v")).where(F.size("_v") > 0)
+    d = timelines.select(c("metadata.matchId").alias("match_id"), F.get("info.frames", F.get(in_time, F.lit(0))["i"]).alias("_first"), placed.alias("_v")).where(F.size("_v") > 0)
     d = d.withColumn("_v", F.filter("_v", lambda v, i: (i == 0) | (v["minute"] != F.get(c("_v"), F.greatest(i - 1, F.lit(0)))["minute"])))
     lead = F.when(F.get("_v", F.lit(0))["minute"] > 0, F.array(F.struct(F.lit(0).alias("minute"), c("_first").alias("f"))))
     d = d.withColumn("_v", F.concat(F.coalesce(lead, F.slice("_v", 1, 0)), "_v"))

@@ -12,11 +12,13 @@ SF = "/root/testdata/sf0.001"
 
 @pytest.fixture(scope="session")
 def spark():
+    from peerscope.operators.scale import clear_scratch
     from peerscope.session import build_session
 
     s = build_session("tests")
     s.conf.set("spark.sql.shuffle.partitions", "4")
     yield s
+    clear_scratch(s)
     s.stop()
 
 

@@ -234,3 +234,54 @@ def test_recordings_and_files(spark, folder):
     shutil.copy(f"{folder}/rec/long.jsonl.gz", f"{folder}/rec/moved.jsonl.gz")
     files = R.list_files(spark, f"{folder}/rec")
     assert files.count() == 4 and R.distinct_files(files).count() == 3
+
+
+def test_asof_does_not_depend_on_partitioning(spark):
+    """Right rows with equal times: the largest values count (forward: the smallest), however rows are spread."""
+    from peerscope.operators import joins as J
+
+    left = spark.createDataFrame([(1, 10), (1, 5), (2, 10)], "k int, t int")
+    right = spark.createDataFrame([(1, 10, v, v * 7 % 20) for v in range(20)] + [(1, 7, v, -v) for v in range(5)] + [(2, 12, 3, 1), (2, 12, 4, 0)], "k int, rt int, v int, z int")
+    for n in (1, 2, 5, 9):
+        r = right.repartition(n)
+        back = {(x["k"], x["t"]): x["v"] for x in J.asof(left, r, ["k"], "t", "rt", {"v": "v"}).collect()}
+        assert back == {(1, 10): 19, (1, 5): None, (2, 10): None}
+        by_z = {(x["k"], x["t"]): x["v"] for x in J.asof(left, r, ["k"], "t", "rt", {"v": "v"}, tie=["z"]).collect()}
+        assert by_z[(1, 10)] == max(range(20), key=lambda v: v * 7 % 20)
+        ahead = {(x["k"], x["t"]): x["v"] for x in J.asof(left, r, ["k"], "t", "rt", {"v": "v"}, direction="forward", strict=True).collect()}
+        assert ahead == {(1, 10): None, (1, 5): 0, (2, 10): 3}
+
+
+def test_shapley_has_no_cap(spark):
+    """Nine groups change at once: all are there, and together they explain the whole change."""
+    groups = {f"g{i}": [f"c{i}"] for i in range(9)}
+    names = [f"c{i}" for i in range(9)]
+    before = spark.createDataFrame([(1, 0, *[0.0] * 9)], "moment int, t int, " + ", ".join(f"{n} double" for n in names))
+    after = spark.createDataFrame([(1, 0, *[1.0 + i for i in range(9)])], before.schema)
+    chance = lambda df, p: df.withColumn(p, sum((i + 1) * F.col(n) for i, n in enumerate(names)) + F.col("c7") * F.col("c8"))
+    rows = {r["change"]: r for r in W.explained_changes(before, after, ["moment"], chance, groups).collect()}
+    assert set(rows) == set(groups)
+    assert sum(r["value"] for r in rows.values()) == pytest.approx(rows["g0"]["d"]) == pytest.approx(sum((i + 1) ** 2 for i in range(9)) + 72)
+    assert rows["g3"]["value"] == pytest.approx(16) and rows["g7"]["value"] == pytest.approx(64 + 36)
+
+
+def test_shared_folder(spark):
+    """A folder of the application's own inside the shared one, cleared as a whole."""
+    from peerscope.operators import scale
+
+    base = scale.scratch_dir(spark)
+    assert base.endswith(spark.sparkContext.applicationId)
+    assert scale.written(spark.range(3)).count() == 3
+
+
+def test_player_names_and_titles(spark):
+    from peerscope.sources import dimensions as D
+
+    text = "Abc #EU1 has joined\nxy#K,ABC#eu1; Some Body#NA12 left the room."
+    df = spark.createDataFrame([(1, text), (2, None), (3, "".join(f"p{i}#T{i:02d}\n" for i in range(30)))], "k int, t string")
+    got = [(r["k"], r["place"], r["name"], r["tag"]) for r in D.player_ids(df, "k", "t").collect()]
+    assert [g for g in got if g[0] == 1] == [(1, 1, "Abc", "EU1"), (1, 2, "Some Body", "NA12")] and sum(g[0] == 3 for g in got) == 30
+    names = spark.createDataFrame([("/a/Lee Sin vs. Kha Zix (Jungle) EUW Diamond 26.3_1080p.mp4",), ("(Best) Ahri MID vs Zed (x y) - KR Challenger Patch 16.10.mkv",), ("holiday.mp4",)], "p string")
+    cols = D.title_columns(F.col("p"))
+    rows = [tuple(r) for r in names.select(*[cols[c] for c in ("champion", "opponent", "role", "region", "tier", "patch")]).collect()]
+    assert rows == [("Lee Sin", "Kha Zix", "JUNGLE", "EUW", "DIAMOND", "26.3"), ("Ahri", "Zed", "MIDDLE", "KR", "CHALLENGER", "16.10"), (None,) * 6]
