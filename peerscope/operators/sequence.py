@@ -1,13 +1,12 @@
 """Ordered readings: runs, smoothing, as-of ages, trades, drops, deaths and recalls.
 
-Everything but the health-drop scan is windows over (key, time) through ``running``.
+Windows over (key, time) through ``running``; no Python runs on the data.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -145,62 +144,80 @@ def consequences(trades_: DataFrame, deaths: DataFrame, bases: DataFrame, keys:
     return out.withColumn("back_after_s", F.when(F.col("_back"), F.col("_bt") - F.col(end))).drop("_back", "_bt")
 
 
-# -- health drops: the one true scan ---------------------------------------------------------
+# -- health drops ------------------------------------------------------------------------------
 
-DROP_SCHEMA = "start_t double, end_t double, from_hp double, to_hp double, lost double"
+def health_drops(samples: DataFrame, key: str, time: str, health: str, dead: str, tie: Sequence[str] = (), share: float = 0.2,
+                 within: float = 15.0, quiet: float = 3.0) -> DataFrame:
+    """Health drops per recording: key, start_t, end_t, lost, low.
 
+    A drop starts at the reading before a fall while alive. It goes on for ``within`` from there and ends at
+    the first reading that is dead, later than that, or ``quiet`` after the last fall without a new one; the
+    next one can start behind it. Drops of at least ``share`` count, a recording's last reading ends its last.
 
-def scan_drops(t: list[float], hp: list[float], share: float, within: float, quiet: float) -> Iterator[tuple]:
-    """Falls of at least ``share`` inside ``within`` seconds; a fall ends after ``quiet`` without a new low.
-
-    The scan goes on behind a finished fall, so falls never overlap.
-    """
-    i, n = 0, len(t)
-    while i < n - 1:
-        low, low_at, j = hp[i], i, i + 1
-        while j < n and t[j] - t[i] <= within:
-            if hp[j] < low:
-                low, low_at = hp[j], j
-            elif t[j] - t[low_at] > quiet and low_at > i:
-                break
-            j += 1
-        if hp[i] - low >= share:
-            yield t[i], t[low_at], hp[i], low, hp[i] - low
-            i = low_at + 1
-        else:
-            i += 1
-
-
-def health_drops(samples: DataFrame, key: str, time: str, health: str, share: float = 0.2, within: float = 15.0,
-                 quiet: float = 3.0) -> DataFrame:
-    """Health-drop segments per recording, scanned in pandas piece by piece.
-
-    A recording is cut where nothing can reach across: at gaps longer than ``within``. Each piece is a group
-    of its own, so a recording of any length is spread over tasks.
+    No drop is open at a reading with no fall in the ``within`` before it, so recordings are cut there and a
+    piece, folded in time order inside one row, is as long as falls follow each other and no longer.
     """
-    s = samples.where(F.col(health).isNotNull()).select(key, F.col(time).cast("double").alias("_t"),
-                                                       F.col(health).cast("double").alias("_h"))
-    s = previous(s, [key], ["_t"], {"_pt": F.col("_t")})
-    s = islands(s, [key], ["_t"], F.col("_pt").isNull() | (F.col("_t") - F.col("_pt") > F.lit(within)), "_piece")
-    kind = samples.schema[key].dataType.simpleString()
-
-    def scan(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_t")
-        rows = list(scan_drops(pdf["_t"].tolist(), pdf["_h"].tolist(), share, within, quiet))
-        out = pd.DataFrame(rows, columns=["start_t", "end_t", "from_hp", "to_hp", "lost"])
-        out.insert(0, key, pdf[key].iloc[0] if len(pdf) else None)
-        return out
-
-    return s.groupBy(key, "_piece").applyInPandas(scan, f"{key} {kind}, {DROP_SCHEMA}")
+    order = [time, *tie]
+    s = samples.where(F.col(health).isNotNull()).select(key, *order, F.col(health).cast("double").alias("_h"), F.coalesce(F.col(dead), F.lit(False)).alias("_d"))
+    s = previous(s, [key], order, {"_ph": F.col("_h")})
+    s = running(s, [key], order, {"_fall": ("max", F.when(~F.col("_d") & (F.col("_h") < F.col("_ph")), F.col(time)))})
+    rest = F.coalesce(F.col(time) - F.col("_fall") > F.lit(within), F.lit(True))
+    s = islands(s, [key], order, rest, "_piece")
+    # A resting reading closes the piece before it and begins its own.
+    s = s.select(key, F.explode(F.when(rest, F.array(F.col("_piece") - 1, F.col("_piece"))).otherwise(F.array("_piece"))).alias("_piece"),
+                 F.struct(*[F.col(c) for c in order], F.col("_h").alias("h"), F.col("_d").alias("dead")).alias("_r"))
+    drop = "struct<start_t: double, end_t: double, lost: double, low: double>"
+    none = F.lit(None).cast("double")
+    state = F.struct(F.lit(False).alias("on"), *[none.alias(n) for n in ("start", "peak", "last", "low", "h", "t")], F.array().cast(f"array<{drop}>").alias("out"))
+
+    def step(a: Column, r: Column) -> Column:
+        t, h = r[time].cast("double"), r["h"]
+        fall = F.coalesce(~r["dead"] & (h < a["h"]), F.lit(False))
+        opens = ~a["on"] & fall
+        start, peak, last = F.when(opens, a["t"]).otherwise(a["start"]), F.when(opens, a["h"]).otherwise(a["peak"]), F.when(fall, t).otherwise(a["last"])
+        low = F.least(h, F.when(opens, a["h"]).otherwise(a["low"]))
+        ends = (a["on"] & (r["dead"] | (t - a["start"] > within) | (~fall & (t - a["last"] >= quiet)))) | (opens & (t - a["t"] > within))
+        found = F.when(F.coalesce(ends, F.lit(False)) & (peak - low >= share), F.array(_drop(start, t, peak, low))).otherwise(F.array().cast(f"array<{drop}>"))
+        return F.struct(((a["on"] | opens) & ~F.coalesce(ends, F.lit(False))).alias("on"), start.alias("start"), peak.alias("peak"), last.alias("last"), low.alias("low"),
+                        h.alias("h"), t.alias("t"), F.concat(a["out"], found).alias("out"))
+
+    def finish(a: Column) -> Column:
+        return F.concat(a["out"], F.when(a["on"] & (a["peak"] - a["low"] >= share), F.array(_drop(a["start"], a["t"], a["peak"], a["low"]))).otherwise(F.array().cast(f"array<{drop}>")))
+
+    pieces = s.groupBy(key, "_piece").agg(F.array_sort(F.collect_list("_r")).alias("_rs")).where(F.size("_rs") > 1)
+    return pieces.select(key, F.explode(F.aggregate("_rs", state, step, finish)).alias("_x")).select(key, "_x.*")
+
+
+def _drop(start: Column, end: Column, peak: Column, low: Column) -> Column:
+    return F.struct(start.alias("start_t"), end.alias("end_t"), (peak - low).alias("lost"), low.alias("low"))
 
 
 def drop_outcomes(drops: DataFrame, deaths: DataFrame, recalls: DataFrame, key: str, at: str,
                   death_within: float = 20.0, recall_within: float = 60.0) -> DataFrame:
-    """What a drop led to: death, recall, or stayed."""
-    out = look_ahead(drops, deaths.select(key, F.col(at).alias("_d")), [key], "end_t", "_d", death_within, {}, "_died")
-    out = look_ahead(out, recalls.select(key, F.col(at).alias("_b")), [key], "end_t", "_b", recall_within, {}, "_left")
-    return out.withColumn("outcome", F.when(F.col("_died"), "death").when(F.col("_left"), "recall")
-                          .otherwise("stayed")).drop("_died", "_left")
+    """What a drop led to, counted from its start: death, recall, or stayed."""
+    out = _soon(drops, deaths, key, "start_t", at, death_within, "_died")
+    out = _soon(out, recalls, key, "start_t", at, recall_within, "_left")
+    return out.withColumn("outcome", F.when(F.col("_died"), "death").when(F.col("_left"), "recall").otherwise("stayed")).drop("_died", "_left")
+
+
+def _soon(df: DataFrame, events: DataFrame, key: str, time: str, at: str, within: float, name: str) -> DataFrame:
+    """Whether an event comes at ``time`` or up to ``within`` after it."""
+    out = asof(df, events.select(key, F.col(at).cast("double").alias("_e")), [key], time, "_e", {}, direction="forward", matched_time="_next")
+    return out.withColumn(name, F.coalesce(F.col("_next") - F.col(time) <= F.lit(within), F.lit(False))).drop("_next")
+
+
+def bursts(samples: DataFrame, key: str, time: str, health: str, dead: str, tie: Sequence[str] = (), high: float = 0.6, look: float = 10.5, burst: float = 3.0) -> DataFrame:
+    """Deaths with the health ``look`` before, the time since the last reading at ``high`` or more, and whether that is a burst."""
+    order = [time, *tie]
+    s = samples.where(F.col(health).isNotNull()).select(key, *order, F.col(health).cast("double").alias("_h"), F.coalesce(F.col(dead), F.lit(False)).alias("_d"))
+    s = previous(s, [key], order, {"_was": F.col("_d")})
+    died = s.where(F.col("_d") & (F.col("_was") == F.lit(False))).withColumn("_from", F.col(time) - F.lit(look))
+    first = asof(died, s.select(key, F.col(time).alias("_t1"), F.col("_h").alias("_v")), [key], "_from", "_t1", {"_before": "_v"}, direction="forward", matched_time="_bt")
+    high_at = s.where(F.col("_h") >= high).select(key, F.col(time).alias("_t2"))
+    out = asof(first, high_at, [key], time, "_t2", {}, strict=True, matched_time="_ht")
+    near = F.when(F.col("_ht") >= F.col("_from"), F.col(time) - F.col("_ht"))
+    seen = F.col("_bt") < F.col(time)
+    return out.select(key, *order, F.when(seen, F.col("_before")).otherwise(0.0).alias("before"), near.alias("from_high"), F.coalesce(near <= burst, F.lit(False)).alias("burst"))
 
 
 def state_changes(df: DataFrame, keys: Sequence[str], order: Sequence[str], flag: str) -> DataFrame:

@@ -256,12 +256,42 @@ def trade_statistics(s: Star) -> DataFrame:
         n(edge).alias("with_edge"), n(edge & (res == "won")).alias("with_edge_won"))
 
 
-@query("health_drops")
+DROPS_SQL = """
+WITH RECURSIVE ev AS (SELECT event_id, user_id, event_type, CAST(epoch_us(ts) AS BIGINT) AS us, CAST(round(value * 100) AS BIGINT) AS cents, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events),
+e AS (SELECT *, us / 1e6 AS t, CAST(k AS DOUBLE) AS h, cents < 1500 AS dead, row_number() OVER (PARTITION BY user_id ORDER BY us, event_id) AS rn, count(*) OVER (PARTITION BY user_id) AS n FROM ev),
+w AS (SELECT user_id, rn, n, t, h, false AS is_on, 0.0::DOUBLE AS start_t, 0.0::DOUBLE AS peak, 0.0::DOUBLE AS last_fall, 0.0::DOUBLE AS low, false AS ended FROM e WHERE rn = 1
+  UNION ALL
+  SELECT y.user_id, y.rn, y.n, y.t, y.h, y.goes AND NOT y.ends, y.start_t, y.peak, y.last_fall, y.low, y.ends FROM (
+    SELECT x.*, opens OR was_on AS goes, (was_on AND (dead OR t - start_t > 54000 OR (NOT fall AND t - last_before >= 10800))) OR (opens AND t - start_t > 54000) AS ends FROM (
+      SELECT e.user_id, e.rn, e.n, e.t, e.h, e.dead, w.is_on AS was_on, NOT e.dead AND e.h < w.h AS fall, NOT w.is_on AND NOT e.dead AND e.h < w.h AS opens,
+        CASE WHEN NOT w.is_on AND NOT e.dead AND e.h < w.h THEN w.t ELSE w.start_t END AS start_t, CASE WHEN NOT w.is_on AND NOT e.dead AND e.h < w.h THEN w.h ELSE w.peak END AS peak,
+        w.last_fall AS last_before, CASE WHEN NOT e.dead AND e.h < w.h THEN e.t ELSE w.last_fall END AS last_fall,
+        least(e.h, CASE WHEN NOT w.is_on AND NOT e.dead AND e.h < w.h THEN w.h ELSE w.low END) AS low
+      FROM w JOIN e ON e.user_id = w.user_id AND e.rn = w.rn + 1) x) y),
+drops AS (SELECT user_id, start_t, t AS end_t, peak - low AS lost, low FROM w WHERE (ended OR (is_on AND rn = n)) AND peak - low >= 20)"""
+
+
+def health_readings(s: Star) -> DataFrame:
+    """Events as readings: seconds, health of 0 to 100, dead below a value."""
+    return s.events().select("user_id", "event_id", "event_type", (F.col("us") / 1e6).alias("t"), F.col("k").cast("double").alias("hp"), (F.col("cents") < 1500).alias("dead"))
+
+
+@query("health_drops", DROPS_SQL + """
+SELECT user_id, start_t, end_t, lost, low, CASE WHEN EXISTS (SELECT 1 FROM ev WHERE ev.user_id = d.user_id AND event_type = 'error' AND us / 1e6 BETWEEN start_t AND start_t + 72000) THEN 'death'
+  WHEN EXISTS (SELECT 1 FROM ev WHERE ev.user_id = d.user_id AND event_type = 'purchase' AND us / 1e6 BETWEEN start_t AND start_t + 216000) THEN 'recall' ELSE 'stayed' END AS outcome FROM drops d""")
 def health_drops(s: Star) -> DataFrame:
-    e = s.events().select("user_id", (F.col("s") / 3600).alias("t"), (F.col("k") / 100).alias("hp"))
-    drops = Q.health_drops(e, "user_id", "t", "hp", 0.2, 15.0, 3.0)
-    ev = s.events().select("user_id", (F.col("s") / 3600).alias("at"), "event_type")
-    return Q.drop_outcomes(drops, ev.where("event_type = 'error'"), ev.where("event_type = 'purchase'"), "user_id", "at")
+    r = health_readings(s)
+    drops = Q.health_drops(r, "user_id", "t", "hp", "dead", ["event_id"], 20.0, 54_000.0, 10_800.0)
+    return Q.drop_outcomes(drops, r.where("event_type = 'error'"), r.where("event_type = 'purchase'"), "user_id", "t", 72_000.0, 216_000.0)
+
+
+@query("bursts", with_sql(EVENTS_SQL) + """
+, f AS (SELECT *, us / 1e6 AS t, CAST(k AS DOUBLE) AS h, cents < 1500 AS dead, lag(cents < 1500) OVER (PARTITION BY user_id ORDER BY us, event_id) AS was FROM ev),
+d AS (SELECT user_id, event_id, t FROM f WHERE dead AND was = false),
+a AS (SELECT d.*, (SELECT min(t) FROM f WHERE f.user_id = d.user_id AND f.t >= d.t - 37800 AND f.t < d.t) AS bt, (SELECT max(t) FROM f WHERE f.user_id = d.user_id AND f.t >= d.t - 37800 AND f.t < d.t AND h >= 60) AS ht FROM d)
+SELECT user_id, t, event_id, coalesce((SELECT min(h) FROM f WHERE f.user_id = a.user_id AND f.t = a.bt), 0.0) AS before, t - ht AS from_high, coalesce(t - ht <= 10800, false) AS burst FROM a""")
+def bursts(s: Star) -> DataFrame:
+    return Q.bursts(health_readings(s), "user_id", "t", "hp", "dead", ["event_id"], 60.0, 37_800.0, 10_800.0)
 
 
 @query("deaths_seen", with_sql(EVENTS_SQL) + """

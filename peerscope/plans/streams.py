@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.scale import scratch_dir
-from ..operators.sequence import scan_drops
 from ..streaming import flows as S
 from .registry import query
+from .sequences import DROPS_SQL
 from .star import EVENTS_SQL, Star, with_sql
 
 
@@ -85,8 +85,12 @@ def stream_scored(s: Star) -> DataFrame:
     return s.spark.read.parquet(path).select("event_id", "p")
 
 
-@query("stream_drops")
+@query("stream_drops", DROPS_SQL + """
+, mark AS (SELECT max(us) / 1e6 - 30 AS mark_s FROM ev)
+SELECT d.user_id, start_t, end_t, lost, low FROM drops d WHERE end_t <= (SELECT mark_s FROM mark) AND start_t < end_t
+  AND EXISTS (SELECT 1 FROM w WHERE w.user_id = d.user_id AND w.ended AND w.t = d.end_t AND w.start_t = d.start_t)""")
 def stream_drops(s: Star) -> DataFrame:
-    e = stream(s).select("user_id", "ts", (F.unix_micros("ts") / 3.6e9).alias("t"), (F.col("k") / 100).alias("hp"))
-    out = S.live_drops(e, "user_id", "ts", "t", "hp", scan_drops)
+    """The batch operator's drops that a later reading has ended by the last watermark."""
+    e = stream(s).select("user_id", "ts", F.col("k").alias("hp"), (F.col("cents") < 1500).alias("dead"))
+    out = S.live_drops(e, "user_id", "ts", "hp", "dead", 20.0, 54_000.0, 10_800.0, idle="3650 days")
     return _read(s, S.run_available(out, "drops"), out)

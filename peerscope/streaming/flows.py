@@ -93,42 +93,69 @@ def score_each(score: Callable[[DataFrame], DataFrame], path: str) -> Callable[[
     return each
 
 
-DROP_STATE = "t array<double>, hp array<double>"
-DROP_OUT = "start_t double, end_t double, from_hp double, to_hp double, lost double"
+DROP_STATE = "t array<double>, hp array<double>, dead array<boolean>"
+DROP_OUT = "start_t double, end_t double, lost double, low double"
 
 
-def live_drops(stream: DataFrame, key: str, time: str, seconds: str, health: str, scan: Callable, share: float = 0.2, within: float = 15.0, quiet: float = 3.0,
-               delay: str = "30 seconds") -> DataFrame:
-    """Health drops per recording as they end.
+def closed_drops(t: list[float], hp: list[float], dead: list[bool], within: float, quiet: float) -> tuple[list[tuple], int]:
+    """Drops that have ended among readings in time order, and the first reading that is still needed.
 
-    The state holds only readings a drop can still reach (the last ``within`` seconds); a timer closes what is
-    left when the recording goes quiet.
+    The rule is that of the batch operator. Needed are the readings of the drop that is open, or the last one.
+    """
+    found, i, n = [], 1, len(t)
+    while i < n:
+        if dead[i] or hp[i] >= hp[i - 1]:
+            i += 1
+            continue
+        start, last, j = i - 1, t[i], i
+        while j < n and not dead[j] and t[j] - t[start] <= within:
+            if hp[j] < hp[j - 1]:
+                last = t[j]
+            elif t[j] - last >= quiet:
+                break
+            j += 1
+        if j == n:
+            return found, start
+        low = min(hp[start:j + 1])
+        found.append((t[start], t[j], hp[start] - low, low))
+        i = j + 1
+    return found, max(0, n - 1)
+
+
+def live_drops(stream: DataFrame, key: str, time: str, health: str, dead: str, share: float = 0.2, within: float = 15.0, quiet: float = 3.0,
+               delay: str = "30 seconds", idle: str = "1 hour") -> DataFrame:
+    """Health drops per recording as they end; times are seconds of the event time.
+
+    Readings are taken up in time order once the watermark has passed them. The state holds the readings it
+    has not reached and those of an open drop, from its first reading on. After ``idle`` of event time
+    without a reading the recording is over: an open drop ends at its last reading.
     """
     kind = stream.schema[key].dataType.simpleString()
+    idle_ms = int(pd.Timedelta(idle).total_seconds() * 1000)
 
     def step(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        t, hp = (list(x) for x in state.get) if state.exists else ([], [])
-        final = state.hasTimedOut
+        t, hp, dd = (list(x) for x in state.get) if state.exists else ([], [], [])
         for f in frames:
             t += f["_t"].tolist()
             hp += f["_h"].tolist()
-        order = sorted(range(len(t)), key=t.__getitem__)
-        t, hp = [t[i] for i in order], [hp[i] for i in order]
-        rows, keep_from = [], 0
-        horizon = t[-1] - within if t else 0.0
-        for row in scan(t, hp, share, within, quiet):
-            # A drop near the end may still grow: wait for more, unless the recording is over.
-            if final or row[1] <= horizon:
-                rows.append((k[0], *row))
-                keep_from = t.index(row[1]) + 1
-        if final:
+            dd += f["_d"].tolist()
+        order = sorted(range(len(t)), key=lambda i: (t[i], hp[i]))
+        t, hp, dd = ([x[i] for i in order] for x in (t, hp, dd))
+        mark = state.getCurrentWatermarkMs()
+        over = bool(t) and mark >= t[-1] * 1000 + idle_ms
+        ready = len(t) if over else sum(x * 1000 <= mark for x in t)
+        rows, keep = closed_drops(t[:ready], hp[:ready], dd[:ready], within, quiet)
+        if over and keep < len(t) - 1:
+            rows.append((t[keep], t[-1], hp[keep] - min(hp[keep:]), min(hp[keep:])))
+        if over:
             state.remove()
         else:
-            while keep_from < len(t) and t[keep_from] < horizon:
-                keep_from += 1
-            state.update((t[keep_from:], hp[keep_from:]))
-            state.setTimeoutTimestamp(state.getCurrentWatermarkMs() + int(1000 * (within + quiet)))
-        yield pd.DataFrame(rows, columns=[key, "start_t", "end_t", "from_hp", "to_hp", "lost"])
-
-    s = stream.withWatermark(time, delay).select(key, time, F.col(seconds).cast("double").alias("_t"), F.col(health).cast("double").alias("_h"))
+            keep = min(keep, ready)
+            state.update((t[keep:], hp[keep:], dd[keep:]))
+            next_ = t[ready] * 1000 if ready < len(t) else t[-1] * 1000 + idle_ms  # when the watermark passes a reading held, or the recording is over
+            state.setTimeoutTimestamp(max(mark, int(next_)) + 1)
+        yield pd.DataFrame([(k[0], *r) for r in rows if r[2] >= share], columns=[key, "start_t", "end_t", "lost", "low"])
+
+    s = stream.withWatermark(time, delay).where(F.col(health).isNotNull()).select(
+        key, time, (F.unix_micros(time) / 1e6).alias("_t"), F.col(health).cast("double").alias("_h"), F.coalesce(F.col(dead), F.lit(False)).alias("_d"))
     return s.groupBy(key).applyInPandasWithState(step, f"{key} {kind}, {DROP_OUT}", DROP_STATE, "append", GroupStateTimeout.EventTimeTimeout)

@@ -182,16 +182,44 @@ def test_features_do_not_read_ahead(spark):
     assert cut and all(full[r["video"], r["t"]] == r for r in cut)
 
 
-def test_drop_scan(spark):
-    t = list(range(0, 40))
-    hp = [1.0] * 10 + [0.9, 0.75, 0.6] + [0.6] * 10 + [0.55, 0.3, 0.0] + [0.0] * 14
-    assert [(a, b) for a, b, *_ in Q.scan_drops(t, hp, 0.2, 15.0, 3.0)][:1] == [(0, 12)]
-    s = spark.createDataFrame([("A", float(x), y) for x, y in zip(t, hp)], "k string, t double, hp double")
-    drops = Q.health_drops(s, "k", "t", "hp").orderBy("start_t").collect()
-    assert len(drops) == 2 and drops[1]["to_hp"] == 0.0
-    deaths = spark.createDataFrame([("A", 26.0)], "k string, at double")
-    out = Q.drop_outcomes(Q.health_drops(s, "k", "t", "hp"), deaths, deaths.where("false"), "k", "at").orderBy("start_t").collect()
-    assert out[0]["outcome"] == "death"
+def drops_of(t, hp, dead, share, within, quiet):
+    """The rule as a loop over one recording."""
+    out, i = [], 1
+    while i < len(t):
+        if dead[i] or hp[i] >= hp[i - 1]:
+            i += 1
+            continue
+        start, last, j = i - 1, t[i], i
+        while j < len(t) and not dead[j] and t[j] - t[start] <= within:
+            if hp[j] < hp[j - 1]:
+                last = t[j]
+            elif t[j] - last >= quiet:
+                break
+            j += 1
+        end = min(j, len(t) - 1)
+        low = min(hp[start:end + 1])
+        if hp[start] - low >= share:
+            out.append((t[start], t[end], hp[start] - low, low))
+        i = max(end, i) + 1
+    return out
+
+
+def test_health_drops(spark):
+    r = random.Random(3)
+    rows, want = [], []
+    for k in range(30):
+        t, hp = [0.0], [50]
+        for _ in range(150):
+            t.append(t[-1] + r.choice([1, 1, 1, 2, 5, 20]))
+            hp.append(max(0, min(100, hp[-1] + r.choice([-30, -10, -1, 0, 0, 1, 10, 20]))))
+        dead = [r.random() < 0.04 for _ in t]
+        rows += list(zip([k] * len(t), t, map(float, hp), dead))
+        want += [(k, *d) for d in drops_of(t, hp, dead, 20, 15, 3)]
+    df = spark.createDataFrame(rows, "k int, t double, hp double, dead boolean").repartition(7)
+    assert sorted(tuple(x) for x in Q.health_drops(df, "k", "t", "hp", "dead", (), 20, 15, 3).collect()) == sorted(want) and len(want) > 100
+    drops = spark.createDataFrame([("A", 10.0), ("A", 40.0), ("A", 200.0)], "k string, start_t double")
+    deaths, recalls = spark.createDataFrame([("A", 30.0)], "k string, at double"), spark.createDataFrame([("A", 40.0), ("A", 261.0)], "k string, at double")
+    assert {x["start_t"]: x["outcome"] for x in Q.drop_outcomes(drops, deaths, recalls, "k", "at").collect()} == {10.0: "death", 40.0: "recall", 200.0: "stayed"}
 
 
 def test_item_rules_and_titles(spark):

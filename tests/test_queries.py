@@ -9,7 +9,7 @@ from __spark_entry__ import entry, oracle_sql, queries
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 # Slow model fits are checked by the driver and tools/check_oracle.py; one of each kind runs here.
-SAMPLE_UNCHECKED = ["health_drops", "laner_labels", "decision_model", "shapley_split", "stream_drops"]
+SAMPLE_UNCHECKED = ["decision_model", "shapley_split"]
 
 
 @pytest.fixture(scope="session")
