@@ -74,7 +74,21 @@ def line_dedup(spark, sf_dir):
     return drop_lines(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
 
 
-@query("op5_decontamination")
+CONTAMINATION_SQL = f"""
+WITH d AS (SELECT doc_id, regexp_extract_all({LOWER.format("coalesce(text, '')")}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+b AS (SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all({LOWER.format("coalesce(text, '')")}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM benchmark WHERE item_id IS NOT NULL),
+g AS (SELECT DISTINCT item, n, array_to_string(w[i:i + n - 1], ' ') AS gram FROM (SELECT item, w, least(13, len(w)) AS n, unnest(range(1, greatest(1, len(w) - 12) + 1)) AS i FROM b WHERE len(w) > 0)),
+o AS (SELECT doc_id, i, n, array_to_string(w[i:i + n - 1], ' ') AS gram FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, (SELECT DISTINCT n FROM g) WHERE len(w) >= n)),
+h AS (SELECT DISTINCT doc_id, i, n, item FROM o JOIN g USING (gram, n)),
+c AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM h) GROUP BY doc_id),
+t AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item FROM h) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN c ON c.doc_id = d.doc_id LEFT JOIN t ON t.doc_id = d.doc_id
+"""
+
+
+@query("op5_decontamination", CONTAMINATION_SQL)
 def decontamination(spark, sf_dir):
     from .decontamination import contamination
 
@@ -83,7 +97,22 @@ def decontamination(spark, sf_dir):
                        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
 
 
-@query("op6_minhash_dedup")
+NEAR_SQL = f"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all({LOWER.format("coalesce(text, '')")}, '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(1, len(w) - 4) + 1)) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS shared FROM s x JOIN s y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY ALL),
+k AS (SELECT a, b, shared = m.n AND shared = o.n AS equal FROM p JOIN n m ON m.doc_id = a JOIN n o ON o.doc_id = b WHERE 100 * shared >= 75 * (m.n + o.n - shared)),
+l AS (SELECT a, b FROM k UNION ALL SELECT b, a FROM k),
+r(a, b) AS (SELECT doc_id, doc_id FROM d UNION SELECT r.a, l.b FROM r JOIN l ON l.a = r.b),
+c AS (SELECT a AS doc_id, min(b) AS component_id FROM r GROUP BY a),
+e AS (SELECT b AS doc_id, min(a) AS first FROM k WHERE equal GROUP BY b)
+SELECT c.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(e.first, c.doc_id) AS class_id, component_id, c.doc_id = component_id AS kept
+FROM c LEFT JOIN n ON n.doc_id = c.doc_id LEFT JOIN e ON e.doc_id = c.doc_id
+"""
+
+
+@query("op6_minhash_dedup", NEAR_SQL)
 def minhash_dedup(spark, sf_dir):
     from .minhash_dedup import near_duplicates
 
@@ -98,21 +127,59 @@ def quality_classifier(spark, sf_dir):
     return quality_scores(docs, train(docs, table(spark, sf_dir, "labels")))
 
 
-@query("op1_embedding_dedup")
+VECTOR_SQL = """
+WITH RECURSIVE v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL),
+ok AS (SELECT * FROM v WHERE len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND list_max(list_transform(e, lambda x: abs(x))) > 0),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM ok a JOIN ok b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE CASE WHEN len(a.e) = len(b.e) THEN list_cosine_similarity(a.e, b.e) >= 0.93 ELSE false END),
+r(a, b) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT r.a, l.b FROM r JOIN l ON l.a = r.b),
+c AS (SELECT a, min(b) AS component_id FROM r GROUP BY a), n AS (SELECT a, count(*) AS n FROM l GROUP BY a)
+SELECT c.a AS vec_id, coalesce(n.n, 0) AS n_links, component_id, c.a = component_id AS kept FROM c LEFT JOIN n ON n.a = c.a
+"""
+
+
+@query("op1_embedding_dedup", VECTOR_SQL)
 def embedding_dedup(spark, sf_dir):
     from .embedding_dedup import near_vectors
 
     return near_vectors(table(spark, sf_dir, "embeddings"))
 
 
-@query("op7_fm_substring")
+#: From starts (doc_id, i) of removed windows of a width: the maximal runs (doc_id, a, z), half open; then what lies between them.
+RUNS_SQL = """
+k AS (SELECT doc_id, i, coalesce(i > lag(i) OVER (PARTITION BY doc_id ORDER BY i) + {width}, true) AS new FROM gone),
+q AS (SELECT doc_id, i, sum(new::INT) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM k),
+runs AS (SELECT doc_id, min(i) AS a, max(i) + {width} AS z FROM q GROUP BY doc_id, run),
+tot AS (SELECT doc_id, sum(z - a) AS n_removed, count(*) AS n_spans FROM runs GROUP BY doc_id),
+keep AS (SELECT doc_id, lag(z, 1, 1) OVER (PARTITION BY doc_id ORDER BY a) AS a, a AS z FROM runs UNION ALL
+  SELECT d.doc_id, coalesce((SELECT max(z) FROM runs WHERE runs.doc_id = d.doc_id), 1), d.n + 1 FROM d)"""
+
+WORDS_SQL = """
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w, len(w) AS n FROM documents),
+o AS (SELECT doc_id, i, array_to_string(w[i:i + 19], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, n - 18)) AS i FROM d WHERE n >= 20)),
+gone AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY g ORDER BY doc_id, i) AS k FROM o) WHERE k > 1),""" + RUNS_SQL.format(width=20) + """,
+t AS (SELECT keep.doc_id, string_agg(array_to_string(w[a:z - 1], ' '), ' ' ORDER BY a) AS kept FROM keep JOIN d ON d.doc_id = keep.doc_id WHERE z > a GROUP BY keep.doc_id)
+SELECT d.doc_id, CAST(n AS BIGINT) AS n_words, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN tot ON tot.doc_id = d.doc_id LEFT JOIN t ON t.doc_id = d.doc_id
+"""
+
+BYTES_SQL = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, length(h) // 2 AS n FROM documents),
+o AS (SELECT doc_id, i, substr(h, 2 * i - 1, 100) AS g FROM (SELECT doc_id, h, unnest(range(1, n - 48)) AS i FROM d WHERE n >= 50)),
+gone AS (SELECT doc_id, i FROM (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY g) AS first FROM o) WHERE first < doc_id),""" + RUNS_SQL.format(width=50) + """,
+t AS (SELECT keep.doc_id, string_agg(substr(h, 2 * a - 1, 2 * (z - a)), '' ORDER BY a) AS kept FROM keep JOIN d ON d.doc_id = keep.doc_id WHERE z > a GROUP BY keep.doc_id)
+SELECT d.doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, ''))) AS kept_sha256
+FROM d LEFT JOIN tot ON tot.doc_id = d.doc_id LEFT JOIN t ON t.doc_id = d.doc_id
+"""
+
+
+@query("op7_fm_substring", WORDS_SQL)
 def fm_substring(spark, sf_dir):
     from .fm_substring import drop_repeated_words
 
     return drop_repeated_words(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
-@query("op10_suffix_dedup")
+@query("op10_suffix_dedup", BYTES_SQL)
 def suffix_dedup(spark, sf_dir):
     from .suffix_dedup import drop_repeated_bytes
 
