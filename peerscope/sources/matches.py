@@ -39,7 +39,9 @@ def _inner(schema: str) -> str:
 def parsed(raw: DataFrame, text: str, schema: str, key: str) -> tuple[DataFrame, DataFrame]:
     """(documents, rejects) of a text column: a malformed document is recorded with a reason, not fatal."""
     ddl = _inner(schema) + ", _corrupt string"
-    d = raw.withColumn("_doc", F.from_json(F.col(text), ddl, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}))
+    doc = F.from_json(F.col(text), ddl, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})
+    # A generator's output is a value of its own: the optimizer can't copy the parse into each use of it.
+    d = raw.select("*", F.explode(F.array(doc)).alias("_doc"))
     reason = (F.when(F.col(text).isNull(), "empty").when(F.col("_doc._corrupt").isNotNull(), "malformed")
               .when(F.col("_doc.metadata.matchId").isNull(), "no match id").when(F.col("_doc.info").isNull(), "no info"))
     d = d.withColumn("_reason", reason)
