@@ -6,8 +6,8 @@ bins name buckets. Documents with equal sets are one class first, so copies take
 
 Each bucket gives a star: its smallest member with each other one. These edges are confirmed on the full
 sets and make components. A bucket whose members are then in different components may still hide a link
-between two of them, so its pairs across components with similar signatures are confirmed too. That is
-all a bucket can hold, whatever its size, and inside a component no pair is made beyond the stars.
+between two of them, so its pairs across components with similar signatures are compared too, in blocks
+and where they lie. That is all a bucket can hold, whatever its size; no pair is moved beyond the stars.
 """
 
 from __future__ import annotations
@@ -27,6 +27,7 @@ BANDS = BINS // ROWS
 #: Signatures of sets with similarity 0.75 agree in 96 of 128 bins; 64 or fewer lie over six deviations below.
 AGREE = 64
 BLOCK = 1000
+COLUMNS = 8192
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -147,19 +148,55 @@ def confirmed(pairs: DataFrame, texts: DataFrame, width: int, similar: int) -> D
     return both.select("a", "b", "text_a", "text_b").mapInArrow(run, schema)
 
 
-def hidden_pairs(member: DataFrame, classes: DataFrame, found: DataFrame) -> DataFrame:
-    """Pairs (a, b) of different components that share a bucket and have similar signatures.
-
-    Buckets above ``BLOCK`` members are cut into parts; each pair of parts is compared on its own.
+def intersections(sets: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of all sets with each other, by products of their incidence in slices of the shingles."""
+    flat = np.concatenate(sets)
+    row = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    _, column, often = np.unique(flat, return_inverse=True, return_counts=True)
+    shared = often > 1
+    use = shared[column]
+    row, column = row[use], (np.cumsum(shared) - 1)[column[use]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    out = np.zeros((len(sets), len(sets)), np.float32)
+    for first in range(0, int(shared.sum()), COLUMNS):
+        a, z = np.searchsorted(column, [first, first + COLUMNS])
+        m = np.zeros((len(sets), COLUMNS), np.float32)
+        m[row[a:z], column[a:z] - first] = 1
+        out += m @ m.T
+    return out
+
+
+def spanning(n: int, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links from each node to the smallest one it is connected to by the links (a, b)."""
+    root = np.arange(n)
+    while True:
+        low = np.minimum(root[a], root[b])
+        new = root.copy()
+        np.minimum.at(new, a, low)
+        np.minimum.at(new, b, low)
+        new = new[new]
+        if (new == root).all():
+            node = np.flatnonzero(root != np.arange(n))
+            return root[node], node
+        root = new
+
+
+def hidden_links(member: DataFrame, classes: DataFrame, found: DataFrame, texts: DataFrame, width: int, similar: int) -> DataFrame:
+    """Links (a, b) between different components inside a bucket, confirmed on the full sets.
+
+    Buckets above ``BLOCK`` members are cut into parts; each pair of parts is compared on its own. Pairs
+    with similar signatures are confirmed where they are found, and a block gives a spanning set of its
+    links, so no pairs are moved.
     """
     label = found.withColumnRenamed("id", "doc")
     with_label = member.join(label, "doc", "left").withColumn("component", F.coalesce("component", "doc"))
     open_ = (with_label.groupBy("bucket").agg(F.count(F.lit(1)).alias("m"), F.min("component").alias("lo"), F.max("component").alias("hi"))
              .where("lo < hi").select("bucket", F.ceil(F.col("m") / BLOCK).cast("int").alias("parts")))
-    rows = written(with_label.join(open_, "bucket").withColumn("part", F.pmod(F.xxhash64("doc"), F.col("parts")).cast("int")), "open-buckets")
+    rows = with_label.join(open_, "bucket").withColumn("part", F.pmod(F.xxhash64("doc"), F.col("parts")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("o")
-    cells = (rows.join(classes.select("doc", "n", "sig"), "doc").select("*", other)
-             .select("bucket", F.least("part", "o").alias("p"), F.greatest("part", "o").alias("q"), "part", "doc", "component", "n", "sig"))
+    cells = (rows.join(classes.select("doc", "n", "sig").join(texts, "doc"), "doc").select("*", other)
+             .select("bucket", F.least("part", "o").alias("p"), F.greatest("part", "o").alias("q"), "part", "doc", "component", "n", "sig", "text"))
     schema = "a bigint, b bigint"
     arrow = arrow_schema(schema)
 
@@ -167,24 +204,32 @@ def hidden_pairs(member: DataFrame, classes: DataFrame, found: DataFrame) -> Dat
         order = np.argsort(np.asarray(rows["doc"]), kind="stable")
         doc, comp, n, part = (np.asarray(rows[c])[order] for c in ("doc", "component", "n", "part"))
         sig = np.frombuffer(b"".join(rows["sig"].to_pylist()), "<u4").reshape(-1, BINS)[order]
-        p, q = rows["p"][0].as_py(), rows["q"][0].as_py()
+        p, q, bucket = (rows[c][0].as_py() for c in ("p", "q", "bucket"))
         bands = np.ascontiguousarray(band_keys(sig))
-        bucket = rows["bucket"][0].as_py()
         here = int(np.nonzero(bands == bucket)[1].min())
-        left = np.flatnonzero(part == p)
-        right = np.flatnonzero(part == q)
-        a, b = [], []
+        left, right = np.flatnonzero(part == p), np.flatnonzero(part == q)
+        pairs = [np.zeros((0, 2), np.int64)]
         for i in left:
-            j = right[(right > i)] if p == q else right
-            j = j[(comp[j] != comp[i]) & (100 * np.minimum(n[j], n[i]) >= SIMILAR * np.maximum(n[j], n[i]))]
+            j = right[right > i] if p == q else right
+            j = j[(comp[j] != comp[i]) & (100 * np.minimum(n[j], n[i]) >= similar * np.maximum(n[j], n[i]))]
             if here and len(j):
                 j = j[~(bands[j, :here] == bands[i, :here]).any(axis=1)]  # compared in that bucket already
             j = j[(sig[j] == sig[i]).sum(axis=1) > AGREE] if len(j) else j
-            a += [doc[i]] * len(j)
-            b += doc[j].tolist()
-        return pa.table([pa.array(np.minimum(a, b), pa.int64()), pa.array(np.maximum(a, b), pa.int64())], schema=arrow) if a else arrow.empty_table()
-
-    return cells.groupBy("bucket", "p", "q").applyInArrow(compare, schema).distinct()
+            pairs.append(np.c_[np.full(len(j), i), j])
+        pair = np.concatenate(pairs)
+        if not len(pair):
+            return arrow.empty_table()
+        used, at = np.unique(pair, return_inverse=True)
+        at = at.reshape(-1, 2)
+        hashes, text = WordHashes(), rows["text"].take(pa.array(order[used]))
+        sets = [shingles(t.as_py().encode(), hashes, width) for t in text]
+        both = intersections(sets)[at[:, 0], at[:, 1]].astype(np.int64)
+        size = np.array([len(x) for x in sets])
+        ok = (both > 0) & (100 * both >= similar * (size[at[:, 0]] + size[at[:, 1]] - both))
+        a, b = spanning(len(used), at[ok, 0], at[ok, 1])
+        return pa.table([pa.array(doc[used[a]]), pa.array(doc[used[b]])], schema=arrow)
+
+    return cells.groupBy("bucket", "p", "q").applyInArrow(compare, schema)
 
 
 def near_duplicates(docs: DataFrame, width: int = WORDS, similar: int = SIMILAR, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -207,9 +252,9 @@ def near_duplicates(docs: DataFrame, width: int = WORDS, similar: int = SIMILAR,
     texts = written(docs.select(F.col(id_col).cast("bigint").alias("doc"), F.col(text_col).alias("text")).where("text IS NOT NULL").join(involved, "doc"), "texts")
     links = written(confirmed(stars, texts, width, similar), "confirmed")
     found = components(links)
-    more = written(confirmed(written(hidden_pairs(member.select("bucket", "doc"), classes, found), "hidden"), texts, width, similar), "confirmed")
+    more = written(hidden_links(member.select("bucket", "doc"), classes, found, texts, width, similar), "hidden-links")
     if not more.isEmpty():
-        found = components(links.unionByName(more))
+        found = components(found.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(more))
     named = (classes.select("c1", "c2", F.col("doc").alias("class_id")).join(found.withColumnRenamed("id", "class_id"), "class_id", "left")
              .withColumn("component_id", F.coalesce("component", "class_id")))
     alone = F.col("n") == 0
