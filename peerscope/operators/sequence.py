@@ -14,11 +14,11 @@ from .joins import asof, look_ahead
 from .ordered import islands, previous, rolling_range, running
 
 
-def filled(df: DataFrame, keys: Sequence[str], time: str, values: Sequence[str], max_age: float) -> DataFrame:
-    """Forward fill, but only from readings at most ``max_age`` old."""
+def filled(df: DataFrame, keys: Sequence[str], time: str, values: Sequence[str], max_age: float, tie: Sequence[str] = ()) -> DataFrame:
+    """Forward fill, but only from readings at most ``max_age`` old; ``tie`` orders readings of one time."""
     t = F.col(time)
     want = {f"_f_{v}": ("last", F.when(F.col(v).isNotNull(), F.struct(F.col(v).alias("v"), t.alias("t")))) for v in values}
-    out = running(df, keys, [time], want)
+    out = running(df, keys, [time, *tie], want)
     fresh = lambda v: t - F.col(f"_f_{v}")["t"] <= F.lit(max_age)
     return out.select(*df.columns, *[F.when(fresh(v), F.col(f"_f_{v}")["v"]).alias(f"{v}_filled") for v in values])
 
@@ -37,12 +37,12 @@ def rolling_max(df: DataFrame, keys: Sequence[str], time: str, value: str, span:
     return rolling_range(df, keys, time, span, {name: F.max(value)})
 
 
-def run_length(df: DataFrame, keys: Sequence[str], time: str, flag: Column, max_gap: float, name: str) -> DataFrame:
-    """Time since the start of the unbroken run of a condition; null while it does not hold."""
-    out = previous(df.withColumn("_on", F.coalesce(flag, F.lit(False))), keys, [time],
+def run_length(df: DataFrame, keys: Sequence[str], time: str, flag: Column, max_gap: float, name: str, tie: Sequence[str] = ()) -> DataFrame:
+    """Time since the start of the unbroken run of a condition; null while it does not hold. ``tie`` orders readings of one time."""
+    out = previous(df.withColumn("_on", F.coalesce(flag, F.lit(False))), keys, [time, *tie],
                    {"_was": F.col("_on"), "_pt": F.col(time)})
     fresh = F.col("_was").isNull() | ~F.col("_was") | (F.col(time) - F.col("_pt") > F.lit(max_gap))
-    out = running(out, keys, [time], {"_begin": ("last", F.when(F.col("_on") & fresh, F.col(time)))})
+    out = running(out, keys, [time, *tie], {"_begin": ("last", F.when(F.col("_on") & fresh, F.col(time)))})
     return out.select(*df.columns, F.when(F.col("_on"), F.col(time) - F.col("_begin")).alias(name))
 
 
@@ -59,10 +59,10 @@ def since_event(df: DataFrame, events: DataFrame, keys: Sequence[str], time: str
                       *[F.coalesce(F.col(n), F.lit(0)).alias(n) for n in totals])
 
 
-def keep_long_runs(df: DataFrame, keys: Sequence[str], time: str, flag: str, min_span: float, name: str) -> DataFrame:
-    """Clear runs of a flag shorter than ``min_span`` (first to last reading), keep the rest."""
-    out = previous(df, keys, [time], {"_was": F.col(flag)})
-    out = islands(out, keys, [time], F.col("_was").isNull() | (F.col("_was") != F.col(flag)), "_run")
+def keep_long_runs(df: DataFrame, keys: Sequence[str], time: str, flag: str, min_span: float, name: str, tie: Sequence[str] = ()) -> DataFrame:
+    """Clear runs of a flag shorter than ``min_span`` (first to last reading), keep the rest; ``tie`` orders readings of one time."""
+    out = previous(df, keys, [time, *tie], {"_was": F.col(flag)})
+    out = islands(out, keys, [time, *tie], F.col("_was").isNull() | (F.col("_was") != F.col(flag)), "_run")
     span = out.groupBy(*keys, "_run").agg((F.max(time) - F.min(time)).alias("_span"))
     long = out.join(span, [*keys, "_run"])
     return long.select(*df.columns, (F.col(flag) & (F.col("_span") >= F.lit(min_span))).alias(name))
@@ -96,32 +96,33 @@ def resets(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str,
     return running(out, keys, order, {name: ("sum", F.when(F.coalesce(fall, F.lit(False)), 1).otherwise(0).cast("long"))}).drop("_a", "_z")
 
 
-def segment_by_quiet(hits: DataFrame, keys: Sequence[str], time: str, quiet: float, name: str = "segment") -> DataFrame:
-    """Number segments of hits: a new one begins after ``quiet`` without a hit."""
-    out = previous(hits, keys, [time], {"_pt": F.col(time)})
-    return islands(out, keys, [time], F.col("_pt").isNull() | (F.col(time) - F.col("_pt") > F.lit(quiet)), name).drop("_pt")
+def segment_by_quiet(hits: DataFrame, keys: Sequence[str], time: str, quiet: float, name: str = "segment", tie: Sequence[str] = ()) -> DataFrame:
+    """Number segments of hits: a new one begins after ``quiet`` without a hit; ``tie`` orders hits of one time."""
+    out = previous(hits, keys, [time, *tie], {"_pt": F.col(time)})
+    return islands(out, keys, [time, *tie], F.col("_pt").isNull() | (F.col(time) - F.col("_pt") > F.lit(quiet)), name).drop("_pt")
 
 
 def trades(samples: DataFrame, key: str, time: str, me: str, them: str, distance: str, others: str,
            close: float, drop: float, quiet: float, end_at: float, minions: Sequence[str] = (),
-           opening: Sequence[str] = ()) -> DataFrame:
+           opening: Sequence[str] = (), tie: Sequence[str] = ()) -> DataFrame:
     """Exchanges between two lane opponents from a series of health readings.
 
     A hit is a reading where either side falls by ``drop`` or more from its previous reading; a trade opens
     on a hit while close, goes on with every hit until ``quiet`` passed without one, and compares what both
     lost. A hit opens a new trade if the reading just before it already came ``quiet`` after the last hit.
+    ``tie`` orders readings of one time.
     """
-    keys = [key]
+    keys, order = [key], [time, *tie]
     s = samples.where(F.col(time) <= end_at)
-    s = previous(s.where(F.col(me).isNotNull() & F.col(them).isNotNull()), keys, [time],
+    s = previous(s.where(F.col(me).isNotNull() & F.col(them).isNotNull()), keys, order,
                  {"_pm": F.col(me), "_po": F.col(them), "_pt": F.col(time)})
     lost_me, lost_them = F.col("_pm") - F.col(me), F.col("_po") - F.col(them)
     hit = F.coalesce((lost_me >= drop) | (lost_them >= drop), F.lit(False))
     s = s.withColumn("_hit", hit).withColumn("_lm", F.greatest(lost_me, F.lit(0))).withColumn("_lo", F.greatest(lost_them, F.lit(0)))
-    s = running(s, keys, [time], {"_last_hit": ("max", F.when(F.col("_hit"), F.col(time)))}, strict=True)
+    s = running(s, keys, order, {"_last_hit": ("max", F.when(F.col("_hit"), F.col(time)))}, strict=True)
     fresh = F.col("_last_hit").isNull() | (F.col("_pt") - F.col("_last_hit") >= F.lit(quiet))
-    hits = islands(s.where("_hit"), keys, [time], fresh, "trade")
-    place = F.struct(F.col(time))
+    hits = islands(s.where("_hit"), keys, order, fresh, "trade")
+    place = F.struct(*[F.col(c) for c in order])
     first = lambda c: F.min_by(c, place)
     out = hits.groupBy(key, "trade").agg(
         first(F.col("_pt")).alias("start_s"), F.max(time).alias("end_s"), first(F.col(distance) <= close).alias("_near"),

@@ -100,7 +100,7 @@ SELECT event_id, CASE WHEN s - seen <= 86400 THEN v END AS cents_filled FROM f""
 def ffill_age(s: Star) -> DataFrame:
     e = s.events().withColumn("cents", F.when(F.col("event_type") == "view", F.col("cents"))).withColumn("t", F.col("us"))
     e = e.select("event_id", "user_id", "cents", "t", "s")
-    out = Q.filled(e, ["user_id"], "s", ["cents"], 86400)
+    out = Q.filled(e, ["user_id"], "s", ["cents"], 86400, ["event_id"])
     return out.select("event_id", "cents_filled")
 
 
@@ -126,7 +126,7 @@ b AS (SELECT *, last_value(CASE WHEN on_ AND (was IS NULL OR NOT was OR s - pt >
 SELECT event_id, CASE WHEN on_ THEN s - began END AS held FROM b""")
 def run_seconds(s: Star) -> DataFrame:
     e = s.events().select("event_id", "user_id", "s", "cents")
-    return Q.run_length(e, ["user_id"], "s", F.col("cents") >= 2000, 86400, "held").select("event_id", "held")
+    return Q.run_length(e, ["user_id"], "s", F.col("cents") >= 2000, 86400, "held", ["event_id"]).select("event_id", "held")
 
 
 @query("since_event", with_sql(EVENTS_SQL) + """
@@ -146,7 +146,7 @@ r AS (SELECT *, max(s) OVER (PARTITION BY user_id, blank, g) - min(s) OVER (PART
 SELECT event_id, blank AND span >= 43200 AS dead FROM r""")
 def kept_runs(s: Star) -> DataFrame:
     e = s.events().withColumn("blank", F.col("cents") < 2000).select("event_id", "user_id", "s", "blank")
-    return Q.keep_long_runs(e, ["user_id"], "s", "blank", 12 * HOUR, "dead").select("event_id", "dead")
+    return Q.keep_long_runs(e, ["user_id"], "s", "blank", 12 * HOUR, "dead", ["event_id"]).select("event_id", "dead")
 
 
 @query("median_of_three", with_sql(EVENTS_SQL) + """
@@ -194,7 +194,7 @@ SELECT user_id, segment, min(s) AS start_s, max(s) AS end_s, count(*) AS hits, C
   arg_min(event_type, us) AS opened_by FROM g GROUP BY user_id, segment""")
 def quiet_segments(s: Star) -> DataFrame:
     hits = s.events().where(F.col("event_type").isin("click", "error"))
-    seg = Q.segment_by_quiet(hits, ["user_id"], "s", 6 * HOUR)
+    seg = Q.segment_by_quiet(hits, ["user_id"], "s", 6 * HOUR, tie=["event_id"])
     return seg.groupBy("user_id", "segment").agg(
         F.min("s").alias("start_s"), F.max("s").alias("end_s"), F.count(F.lit(1)).alias("hits"),
         F.sum("cents").alias("cents"), F.min_by("event_type", "us").alias("opened_by"))
@@ -221,7 +221,7 @@ trades AS (SELECT * EXCLUDE (near), CASE WHEN opponent_lost - me_lost >= 20 THEN
 
 
 def lane_trades(s: Star) -> DataFrame:
-    return Q.trades(lane_samples(s), "user_id", "s", "me", "them", "distance", "others", 4, 20, 12 * HOUR, 1e18, ("mine", "theirs"))
+    return Q.trades(lane_samples(s), "user_id", "s", "me", "them", "distance", "others", 4, 20, 12 * HOUR, 1e18, ("mine", "theirs"), tie=["event_id"])
 
 
 @query("trade_segments", with_sql(TRADES_SQL) + "SELECT * FROM trades")

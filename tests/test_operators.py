@@ -313,3 +313,16 @@ def test_player_names_and_titles(spark):
     cols = D.title_columns(F.col("p"))
     rows = [tuple(r) for r in names.select(*[cols[c] for c in ("champion", "opponent", "role", "region", "tier", "patch")]).collect()]
     assert rows == [("Lee Sin", "Kha Zix", "JUNGLE", "EUW", "DIAMOND", "26.3"), ("Ahri", "Zed", "MIDDLE", "KR", "CHALLENGER", "16.10"), (None,) * 6]
+
+
+def test_readings_of_one_time(spark):
+    """Readings of the same second are ordered by the tie columns, however they are spread."""
+    rows = [(1, t // 4, t, (t * 7) % 5 > 1, float((t * 13) % 11) if t % 3 else None) for t in range(60)]
+    seen = set()
+    for n in (1, 3, 8):
+        df = spark.createDataFrame(rows, "k int, t int, i int, flag boolean, v double").repartition(n)
+        runs = Q.run_length(df, ["k"], "t", F.col("flag"), 100, "held", ["i"]).select("i", "held")
+        kept = Q.keep_long_runs(df, ["k"], "t", "flag", 1, "long", ["i"]).select("i", "long")
+        full = Q.filled(df, ["k"], "t", ["v"], 100, ["i"]).select("i", "v_filled")
+        seen.add(str(sorted(tuple(r) for r in runs.join(kept, "i").join(full, "i").collect())))
+    assert len(seen) == 1
