@@ -100,6 +100,8 @@ def segments(s: Symbols, rule: Rule, hot: np.ndarray | None = None) -> Segments:
     size, w, k = len(s.hash), rule.window, rule.gram
     count = size - w + 1
     none = np.zeros(0, np.int64)
+    if size > int(PLACE):
+        raise ValueError("a text of more than 2**28 symbols")
     if count <= 0:
         return Segments(none, none, none.astype(np.uint64), none.astype(np.uint64), none)
     up, down = powers(1 << max(20, (size).bit_length()))

@@ -40,6 +40,7 @@ def drop_repeated_bytes(docs: DataFrame, window: int = WINDOW, id_col: str = "do
     Returns id, n (UTF-8 bytes), n_removed, n_spans (maximal runs removed) and kept (binary: the other
     bytes, which need not be whole characters), a row for each input row. Null and empty texts have no
     bytes. Null ids count as smaller than all others; rows with one id never remove from each other. An
-    empty table gives an empty result. A task holds a slice of a few MB, or one longer text.
+    empty table gives an empty result. A task holds a slice of a few MB, or one longer text; one of more
+    than 2**28 bytes raises an error.
     """
     return without_repeats(docs, Rule(False, window, min(20, window), False, 3 << 20), radix_groups, id_col, text_col)
