@@ -19,10 +19,10 @@ MINUTES = 8
 
 def frames(s: Star) -> DataFrame:
     """Cumulative team sums at minutes 0..7: a line counts from its slot's minute on."""
-    per = s.lines().groupBy("game_id", "team", "slot").agg(F.sum("quantity").alias("q"), F.sum("discount").alias("d"), F.count(F.lit(1)).alias("n"))
+    per = s.played().groupBy("game_id", "team", "slot").agg(F.sum("quantity").alias("q"), F.sum("discount").alias("d"), F.count(F.lit(1)).alias("n"))
     grid = per.select("game_id", "team", F.explode(F.sequence(F.col("slot"), F.lit(MINUTES - 1))).alias("minute"), "q", "d", "n")
     sums = grid.groupBy("game_id", "team", "minute").agg(F.sum("q").alias("q"), F.sum("d").alias("d"), F.sum("n").alias("n"))
-    matches = s.lines().select("game_id").distinct()
+    matches = s.played().select("game_id").distinct()
     cells = matches.select("game_id", F.explode(F.array(F.lit("F"), F.lit("O"))).alias("team"))
     cells = cells.select("game_id", "team", F.explode(F.sequence(F.lit(0), F.lit(MINUTES - 1))).alias("minute"))
     f = cells.join(sums, ["game_id", "team", "minute"], "left")
@@ -40,7 +40,7 @@ def events(s: Star) -> DataFrame:
     actor = F.col("item") % 5 + 1 + F.when(side == 100, 0).otherwise(5)
     helper = (F.col("item") + 1) % 5 + 1 + F.when(side == 100, 0).otherwise(5)
     victim = F.col("supplier") % 5 + 1 + F.when(side == 100, 5).otherwise(0)
-    e = s.lines().select(
+    e = s.played().select(
         F.col("game_id").alias("match_id"), ((F.col("slot") - 1) * 60000 + F.col("price") % 60000).cast("long").alias("t"), "item", "supplier", "price", "quantity",
         kind.alias("kind"), side.alias("side"), F.when(kind == "monster", side).otherwise(300 - side).alias("team"),
         F.when(kind == "monster", "DRAGON").alias("monster"), F.when(kind == "tower", "outer").alias("ring"),

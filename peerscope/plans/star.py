@@ -105,6 +105,13 @@ class Star:
                         F.col("l_quantity").cast("long").alias("quantity"), F.round(F.col("l_extendedprice")).cast("long").alias("price"),
                         cents("l_discount").alias("discount"), cents("l_tax").alias("tax"), ship.alias("ship_s")))
 
+    def played(self) -> DataFrame:
+        """The columns of ``lines`` that the line itself has: no join, for what needs nothing of its game or item."""
+        return self.table("lineitem").select(
+            F.col("l_orderkey").alias("game_id"), F.col("l_linenumber").alias("slot"), F.col("l_linestatus").alias("team"), F.col("l_returnflag").alias("flag"),
+            F.col("l_partkey").alias("item"), F.col("l_suppkey").alias("supplier"), F.col("l_quantity").cast("long").alias("quantity"),
+            F.round(F.col("l_extendedprice")).cast("long").alias("price"), F.round(F.col("l_discount") * 100).cast("long").alias("discount"), F.round(F.col("l_tax") * 100).cast("long").alias("tax"))
+
     def seats(self) -> DataFrame:
         """One row per (game, slot, side): the lines of a seat are combined, because a line number repeats."""
         return self.lines().groupBy("game_id", "slot", "team").agg(
