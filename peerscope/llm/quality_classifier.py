@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 
 from .common import arrow_schema, bytes_of, slices, small_batches, written
 
-MAX_POSITIVE = 20_000
-MAX_UNLABELLED = 30_000
+MAX_POSITIVE = 10_000
+MAX_UNLABELLED = 15_000
 STEPS, RATE, L2 = 600, 0.05, 1e-3
 SHOWN = [10, *range(32, 127)]  # newline and the visible ASCII bytes
 
@@ -82,16 +82,16 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int =
 
 
 def with_statistics(df: DataFrame, text_col: str, keep: str) -> DataFrame:
-    """Columns of ``keep`` (DDL) and x, the text's statistics."""
+    """Columns of ``keep`` (DDL) and x, the text's statistics as bytes of doubles."""
     small_batches(df.sparkSession)
-    schema = f"{keep}, x array<double>"
+    schema = f"{keep}, x binary"
     arrow = arrow_schema(schema)
     names = arrow.names[:-1]
 
     def run(batches):
         for batch in batches:
             for part in slices(batch):
-                x = [statistics(t) for t in bytes_of(part)]
+                x = [statistics(t).astype("<f8").tobytes() for t in bytes_of(part)]
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), pa.array(x, arrow.field("x").type)], schema=arrow)
 
     return df.select(*names, F.col(text_col).alias("text")).mapInArrow(run, schema)
@@ -118,7 +118,8 @@ def train(docs: DataFrame, labels: DataFrame, max_positive: int = MAX_POSITIVE,
     rows = written(with_statistics(text, "text", "name bigint, as_positive int"), "statistics").orderBy("name", "as_positive", "x").collect()  # bounded by the parameters
     if not any(r["as_positive"] for r in rows):
         return None
-    x, y = np.array([r["x"] for r in rows]), np.array([r["as_positive"] for r in rows], bool)
+    x, y = np.frombuffer(b"".join(r["x"] for r in rows), "<f8").reshape(len(rows), -1), np.array([r["as_positive"] for r in rows], bool)
+    del rows
     return fit(x[y], x[~y], positives / n)
 
 
