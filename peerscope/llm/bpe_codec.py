@@ -9,26 +9,29 @@ their borders are tested together on arrays, and only words with a bad border ar
 from __future__ import annotations
 
 import unicodedata
+from array import array
 from functools import lru_cache
+from itertools import chain, filterfalse
 
 import numpy as np
 import regex
 from pyspark.sql import DataFrame
 
-from .bpe_vocab import SPACE, Unassigned, has_unassigned, heap_merge, letters, load
+from .bpe_vocab import SPACE, Unassigned, has_unassigned, heap_merge, letters, load, short_merge
 from .common import each_text
 
 WORDS = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{SPACE}\p{{L}}\p{{N}}]+")
 BREAKS = regex.compile(rf"[{SPACE}]+")
 # str.split() also breaks at these four, which are no white space to the tokenizer.
 NOT_SPACE = ("\x1c", "\x1d", "\x1e", "\x1f")
+SHORT = 40
 NO_MERGE = np.iinfo(np.int64).max
 
 
 class Codec:
     """Encoder and decoder of one vocabulary whose words end in a suffix. ``merged``: words merged exactly so far."""
 
-    BOUND = 800_000
+    BOUND = 400_000
 
     def __init__(self, path: str):
         self.vocab = v = load(path)
@@ -49,8 +52,12 @@ class Codec:
         pairs.sort()
         self.pair_keys, self.pair_ranks = (np.array(c, np.int64) for c in zip(*pairs, strict=True))
         self.usable = self._usable()
-        self.longest = max(map(len, self.usable))
-        self.seen: dict[str, bytes] = {}
+        self.reach: dict[str, int] = {}  # longest token with these first three letters
+        for t in self.usable:
+            n = len(t.removesuffix(v.suffix))
+            self.reach[t[:3]] = max(n, self.reach.get(t[:3], 0))
+        self.seen: dict[str, bytes] = {}  # stretches met lately, and those met before them: each up to the bound
+        self.before: dict[str, bytes] = {}
         self.merged = 0
 
     def _usable(self) -> dict[str, int]:
@@ -93,9 +100,9 @@ class Codec:
 
     def propose(self, word: str) -> list[int]:
         """Greedy longest match from the left; ``word`` in byte letters."""
-        usable, suffix, n, i, out = self.usable, self.vocab.suffix, len(word), 0, []
+        usable, reach, suffix, n, i, out = self.usable, self.reach, self.vocab.suffix, len(word), 0, []
         while i < n:
-            for j in range(min(n, i + self.longest), i, -1):
+            for j in range(min(n, i + max(2, reach.get(word[i:i + 3], 0))), i, -1):
                 t = usable.get(word[i:j] + suffix if j == n else word[i:j])
                 if t is not None:
                     out.append(t)
@@ -108,14 +115,14 @@ class Codec:
     def exact(self, word: str) -> list[int]:
         self.merged += 1
         symbols = [*word[:-1], word[-1] + self.vocab.suffix]
-        heap_merge(symbols, self.vocab.merges)
+        (short_merge if len(symbols) <= SHORT else heap_merge)(symbols, self.vocab.merges)
         return [self.vocab.ids[s] for s in symbols if s is not None]
 
     def encode_words(self, words: list[str]) -> list[list[int]]:
         """Ids of each word (in byte letters): proposed together, verified together."""
         found = [self.propose(w) for w in words]
-        n = np.array([len(x) for x in found], np.int64)
-        flat = np.array([i for x in found for i in x], np.int64)
+        n = np.fromiter(map(len, found), np.int64, len(found))
+        flat = np.fromiter(chain.from_iterable(found), np.int64, int(n.sum()))
         word = np.repeat(np.arange(len(found)), n)
         inner = np.flatnonzero(word[1:] == word[:-1])
         bad = inner[~self.compatible(flat[inner], flat[inner + 1])]
@@ -125,19 +132,22 @@ class Codec:
 
     def words(self, chunk: str) -> list[str]:
         """Words of a stretch without white space, in byte letters."""
+        if chunk.isascii() and chunk.isalpha():
+            return [chunk.lower()]
         plain = unicodedata.normalize("NFC", chunk).replace("Σ", "σ").lower()
         if has_unassigned(plain) or has_unassigned(chunk):
             raise Unassigned
-        return [letters(w) for w in WORDS.findall(plain)]
-
-    def learn(self, chunks: set[str]) -> None:
-        """Encode the stretches not met before, all at once."""
-        new = chunks - self.seen.keys()
-        if len(self.seen) + len(new) > self.BOUND:
-            self.seen.clear()
-            new = chunks
+        return [w if w.isascii() and w.isprintable() else letters(w) for w in WORDS.findall(plain)]
+
+    def learn(self, chunks: list[list[str]]) -> None:
+        """Encode the stretches not met before, all at once. A full memory becomes the older one; what recurs is taken over."""
+        if len(self.seen) > self.BOUND:
+            self.before, self.seen = self.seen, {}
+        new = set(filterfalse(self.seen.__contains__, chain.from_iterable(chunks)))
+        known = new & self.before.keys()
+        self.seen |= {c: self.before[c] for c in known}
         names, parts, flat = [], [], []
-        for c in new:
+        for c in new - known:
             try:
                 w = self.words(c)
             except Unassigned:
@@ -145,9 +155,11 @@ class Codec:
             names.append(c)
             parts.append(len(w))
             flat += w
-        ids, at = self.encode_words(flat), 0
+        different = list(dict.fromkeys(flat))
+        of = dict(zip(different, self.encode_words(different), strict=True))
+        ids, at = [of[w] for w in flat], 0
         for c, k in zip(names, parts, strict=True):
-            self.seen[c] = np.array([i for x in ids[at:at + k] for i in x], "<u4").tobytes()
+            self.seen[c] = array("I", ids[at] if k == 1 else [i for x in ids[at:at + k] for i in x]).tobytes()
             at += k
 
     def _split(self, text: str) -> list[str]:
@@ -164,7 +176,7 @@ class Codec:
         known, out = self.vocab.specials, []
         cut = [self.special.split(t) if self.special is not None and any(s in t for s in known) else [t] for t in texts]
         split = [[None if p in known else self._split(p) for p in parts] for parts in cut]
-        self.learn({c for parts in split for p in parts if p for c in p})
+        self.learn([p for parts in split for p in parts if p])
         for parts, pieces in zip(split, cut, strict=True):
             ids = []
             for chunks, piece in zip(parts, pieces, strict=True):

@@ -83,3 +83,17 @@ def heap_merge(symbols: list, merges: dict[tuple[str, str], int]) -> int:
         if (h := before[i]) >= 0 and (r := merges.get((symbols[h], symbols[i]))) is not None:
             heappush(heap, (r, h, i))
     return done
+
+
+def short_merge(symbols: list[str], merges: dict[tuple[str, str], int]) -> None:
+    """What ``heap_merge`` does, for a word of few symbols: the ranks of all pairs are a list of their own."""
+    none = len(merges)
+    ranks = [merges.get(p, none) for p in zip(symbols, symbols[1:])]  # noqa: B905
+    while ranks and (low := min(ranks)) < none:
+        i = ranks.index(low)
+        symbols[i] += symbols.pop(i + 1)
+        del ranks[i]
+        if i:
+            ranks[i - 1] = merges.get((symbols[i - 1], symbols[i]), none)
+        if i < len(ranks):
+            ranks[i] = merges.get((symbols[i], symbols[i + 1]), none)

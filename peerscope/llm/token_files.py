@@ -157,6 +157,8 @@ def write_files(docs: DataFrame, path: str, folder: str, end_id: int = 1, id_col
         draft = f"{base}/_draft-{name}-{task.taskAttemptId()}"
         with store.open_output_stream(draft) as out:
             out.write(data)
+        if store.get_file_info(f"{base}/{name}").type != fs.FileType.NotFound:  # of an earlier attempt; some stores don't move onto a file
+            store.delete_file(f"{base}/{name}")
         store.move(draft, f"{base}/{name}")
         yield pa.RecordBatch.from_pydict({"part": [task.partitionId()], "name": [name], "n_docs": [len(names)], "n_ids": [sum(lengths)]}, schema=arrow)
 
