@@ -31,7 +31,7 @@ NO_MERGE = np.iinfo(np.int64).max
 class Codec:
     """Encoder and decoder of one vocabulary whose words end in a suffix. ``merged``: words merged exactly so far."""
 
-    BOUND = 400_000
+    BOUND = 250_000
 
     def __init__(self, path: str):
         self.vocab = v = load(path)
