@@ -1,4 +1,4 @@
-"""The registered queries of the ten operators: each applies its operator to the whole table."""
+"""The registered queries of the operators: each applies its operator to the whole table."""
 
 from __future__ import annotations
 
@@ -184,3 +184,12 @@ def suffix_dedup(spark, sf_dir):
     from .suffix_dedup import drop_repeated_bytes
 
     return drop_repeated_bytes(table(spark, sf_dir, "documents")).select("doc_id", F.col("n").alias("n_bytes"), "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query("op11_piece_codec")
+def piece_codec(spark, sf_dir):
+    from .piece_codec import encode
+
+    rows = encode(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
+    return rows.select("doc_id", "n_tokens", F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+                       F.sha2("decoded", 256).alias("decoded_sha256"))
