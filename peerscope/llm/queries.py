@@ -193,3 +193,32 @@ def piece_codec(spark, sf_dir):
     rows = encode(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
     return rows.select("doc_id", "n_tokens", F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
                        F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+#: crc32 of the decimal digits of conv_id, bit by bit.
+CRC_SQL = """xor(list_reduce(list_prepend(4294967295, flatten(list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda c: [CAST(ascii(c) AS BIGINT), 0, 0, 0, 0, 0, 0, 0]))),
+  lambda a, x: xor(xor(a, x) >> 1, (xor(a, x) & 1) * 3988292384)), 4294967295)"""
+
+TRIE_SQL = f"""
+WITH o AS (SELECT conv_id, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, k) - 1 AS pos, k, strlen(text) AS size FROM (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text, md5(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS k FROM conversations WHERE conv_id IS NOT NULL)),
+c AS (SELECT conv_id, conv_id - conv_id % 5 AS first, h, count(*) AS n FROM (SELECT conv_id, {CRC_SQL} % 9 AS h FROM o) GROUP BY ALL),
+m AS (SELECT c.*, least(c.h, coalesce(f.n, 0)) AS k FROM c LEFT JOIN c f ON f.conv_id = c.first),
+r AS (SELECT m.conv_id, o.pos, o.k, o.size FROM m JOIN o ON o.conv_id = m.first AND o.pos < m.h
+  UNION ALL SELECT m.conv_id, o.pos - m.h + m.k, o.k, o.size FROM m JOIN o ON o.conv_id = m.conv_id AND o.pos >= m.h),
+p AS (SELECT conv_id, pos + 1 AS depth, size, string_agg(k, '') OVER (PARTITION BY conv_id ORDER BY pos) AS path FROM r UNION ALL SELECT conv_id, 0, 0, '' FROM m),
+e AS (SELECT conv_id, depth = max(depth) OVER (PARTITION BY conv_id) AS ends, depth, size, path FROM p),
+n AS (SELECT path, depth, min(conv_id) AS conv_id, count(*) AS n_convs, (count(*) - 1) * max(size) AS saved, sha256(coalesce(string_agg(conv_id, ',' ORDER BY conv_id) FILTER (ends), '')) AS ends_sha256 FROM e GROUP BY path, depth),
+k AS (SELECT left(path, 32 * (depth - 1)) AS path, count(*) AS n_children FROM n WHERE depth > 0 GROUP BY 1),
+a AS (SELECT n.*, coalesce(k.n_children, 0) AS n_children FROM n LEFT JOIN k ON k.path = n.path),
+t AS (SELECT up AS path, count(*) FILTER (n_children = 0) AS n_leaves, sum(saved) AS saved_tokens FROM (SELECT unnest(list_transform(range(0, depth + 1), lambda d: left(path, 32 * d))) AS up, n_children, saved FROM a) GROUP BY up)
+SELECT a.conv_id, CAST(a.depth AS BIGINT) AS depth, b.conv_id AS parent_conv_id, a.n_convs, a.n_children, CAST(n_leaves AS BIGINT) AS n_leaves, CAST(saved_tokens AS BIGINT) AS saved_tokens, a.ends_sha256
+FROM a JOIN t ON t.path = a.path LEFT JOIN a b ON a.depth > 0 AND b.path = left(a.path, 32 * (a.depth - 1))
+"""
+
+
+@query("op12_prefix_trie", TRIE_SQL)
+def prefix_trie(spark, sf_dir):
+    from .prefix_trie import grafted, ordered_turns, prefix_nodes
+
+    return prefix_nodes(*grafted(ordered_turns(table(spark, sf_dir, "conversations"))))
