@@ -222,3 +222,24 @@ def prefix_trie(spark, sf_dir):
     from .prefix_trie import grafted, ordered_turns, prefix_nodes
 
     return prefix_nodes(*grafted(ordered_turns(table(spark, sf_dir, "conversations"))))
+
+
+SEARCH_SQL = f"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS d, regexp_extract_all({LOWER.format("coalesce(text, '')")}, '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+i AS (SELECT item_id, row_number() OVER () AS i, unnest(regexp_extract_all({LOWER.format("coalesce(text, '')")}, '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS t FROM benchmark),
+q AS (SELECT item_id, i, t, count(*) AS times FROM i GROUP BY ALL),
+s AS (SELECT count(*) AS nn, sum(len(w)) AS ll FROM d WHERE len(w) > 0),
+tf AS (SELECT d, t, count(*) AS tf FROM (SELECT d, unnest(w) AS t FROM d) WHERE t IN (SELECT t FROM q) GROUP BY ALL),
+df AS (SELECT t, CAST(floor(1000 * ln((2 * nn + 2) / (2 * count(*) + 1))) AS BIGINT) AS weight FROM tf, s GROUP BY t, nn),
+m AS (SELECT d, doc_id, 25 + (75 * len(w) * nn) // CAST(ll AS BIGINT) AS m FROM d, s),
+c AS (SELECT q.item_id, q.i, m.doc_id, m.d, CAST(sum(times * weight * ((1000000000 * tf) // (1000 * tf + 8 * m))) AS BIGINT) AS score
+  FROM q JOIN tf ON tf.t = q.t JOIN df ON df.t = q.t JOIN m ON m.d = tf.d GROUP BY ALL)
+SELECT item_id, CAST(rank AS INT) AS rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id NULLS FIRST) AS rank FROM c WHERE score > 0) WHERE rank <= 10
+"""
+
+
+@query("op13_lexical_search", SEARCH_SQL)
+def lexical_search(spark, sf_dir):
+    from .lexical_search import ranked
+
+    return ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
