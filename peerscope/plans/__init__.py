@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-AREAS = ("scored", "joined", "sequences", "grouped", "past", "chance", "equipped", "rated", "documents", "noted", "learned", "streams")
+AREAS = ("scored", "joined", "sequences", "grouped", "past", "chance", "equipped", "situated", "rated", "documents", "noted", "learned", "streams")
 
 
 def load_all() -> None:
