@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-AREAS = ("scored", "joined", "sequences", "grouped", "past", "chance", "equipped", "situated", "reviewed", "rated", "documents", "noted", "learned", "streams")
+AREAS = ("scored", "joined", "sequences", "grouped", "past", "chance", "equipped", "situated", "reviewed", "rated", "documents", "noted", "learned", "held_out", "streams")
 
 
 def load_all() -> None:
