@@ -85,8 +85,9 @@ def chosen(before: DataFrame, rare: float, common: float) -> DataFrame:
 def spacing(readings: DataFrame, trades: DataFrame, threat: float) -> DataFrame:
     """Lost trades that the opponent started after three seconds rated dangerous, the player staying in range."""
     theirs = trades.where((F.col("started_by") == "opponent") & ~F.col("skirmish") & (F.col("result") == "lost"))
-    rows = readings.select("recording", "t", "p_hit", F.lit(None).cast("string").alias("trade"), F.lit(0.0).alias("_loss")).unionByName(
-        theirs.select("recording", F.col("start").alias("t"), F.lit(None).cast("double").alias("p_hit"), F.col("trade").cast("string").alias("trade"), (F.col("me_lost") - F.col("opponent_lost")).alias("_loss")))
+    seconds = F.col("t").cast("double").alias("t")
+    rows = readings.select("recording", seconds, "p_hit", F.lit(None).cast("string").alias("trade"), F.lit(0.0).alias("_loss")).unionByName(
+        theirs.select("recording", F.col("start").cast("double").alias("t"), F.lit(None).cast("double").alias("p_hit"), F.col("trade").cast("string").alias("trade"), (F.col("me_lost") - F.col("opponent_lost")).alias("_loss")))
     worst = rolling_range(rows, ["recording"], "t", WATCH, {"_worst": F.max("p_hit")}, back_to=0.001).where("trade IS NOT NULL")
     last = asof(worst.withColumnRenamed("t", "start"), readings, ["recording"], "start", "t", {"_range": "in_range"}, strict=True, matched_time="_at")
     return _moment(last.where((F.col("_worst") >= threat) & (F.col("start") - F.col("_at") <= WATCH) & (F.col("_range") >= STAYED)), "spacing", "weakness", 100 * F.col("_loss"))

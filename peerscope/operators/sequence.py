@@ -11,7 +11,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .joins import asof, look_ahead
-from .ordered import islands, previous, rolling_range, running
+from .ordered import islands, previous, rolling_range, running, top_per_group
+from .quantiles import grouped_quantiles
+from .scale import dimension, written
 
 
 def filled(df: DataFrame, keys: Sequence[str], time: str, values: Sequence[str], max_age: float, tie: Sequence[str] = ()) -> DataFrame:
@@ -230,15 +232,123 @@ def state_changes(df: DataFrame, keys: Sequence[str], order: Sequence[str], flag
 def spaced(df: DataFrame, key: str, time: str, apart: float) -> DataFrame:
     """Greedy thinning in time order: keep a row if the last kept one is at least ``apart`` before it.
 
-    Rows are first cut into clusters at gaps of ``apart`` or more (the first of a cluster is always kept), and
-    a cluster's times are thinned with a fold over a sorted array.
+    A gap of ``apart`` or more always starts anew, so it opens a cluster whose first row is kept. Inside a
+    cluster the row kept after another is the first one at least ``apart`` later: these links are found by
+    one as-of, and what the first rows reach is found by doubling them. A round squares the links, so a key
+    of any density takes as many joins as its longest chain has binary digits, and no list is gathered.
     """
-    t = previous(df, [key], [time], {"_pt": F.col(time)})
-    t = islands(t, [key], [time], F.col("_pt").isNull() | (F.col(time) - F.col("_pt") >= F.lit(apart)), "_c").drop("_pt")
-    kind = df.schema[time].dataType.simpleString()
-    kept = F.aggregate(F.array_sort(F.collect_list(F.col(time))), F.array().cast(f"array<{kind}>"),
-                       lambda acc, x: F.when((F.size(acc) == 0) | (x - F.element_at(acc, -1) >= F.lit(apart)),
-                                             F.concat(acc, F.array(x))).otherwise(acc))
-    return t.groupBy(key, "_c").agg(kept.alias("_k")).select(key, F.explode("_k").alias(time))
+    rows = df.select(key, time).where(F.col(time).isNotNull()).distinct()
+    t = previous(rows, [key], [time], {"_pt": F.col(time)})
+    t = islands(t, [key], [time], F.col("_pt").isNull() | (F.col(time) - F.col("_pt") >= F.lit(apart)), "_c")
+    t = asof(t.withColumn("_from", F.col(time) + F.lit(apart)), t.select(key, F.col(time).alias("_then"), F.col("_c").alias("_there")), [key], "_from", "_then",
+             {"_in": "_there"}, direction="forward", matched_time="_next")
+    first = F.col("_pt").isNull() | (F.col(time) - F.col("_pt") >= F.lit(apart))
+    t = written(t.select(key, time, first.alias("_first"), F.when(F.col("_in") == F.col("_c"), F.col("_next")).alias("_next")), "links")
+    kept = t.where("_first").select(key, time)
+    links = t.where("_next IS NOT NULL").select(key, F.col(time).alias("_at"), "_next")
+    while not links.isEmpty():
+        on = lambda a, b: (F.col(f"a.{key}") == F.col(f"b.{key}")) & (F.col(f"a.{a}") == F.col(f"b.{b}"))
+        reached = kept.alias("a").join(links.alias("b"), on(time, "_at")).select(f"a.{key}", F.col("b._next").alias(time))
+        kept = written(kept.unionByName(reached), "kept")
+        links = written(links.alias("a").join(links.alias("b"), on("_next", "_at")).select(f"a.{key}", "a._at", F.col("b._next").alias("_next")), "links")
+    return kept
+
+
+def recalls(samples: DataFrame, key: str, time: str, health: str, gold: str, items: str, dead: str, tie: Sequence[str] = (), opening: float = 90.0, respawned: float = 20.0,
+            trip: float = 45.0, look: float = 15.0, channel: float = 9.0) -> DataFrame:
+    """Trips home: (key, time, health, gold) of the first purchase of each.
+
+    A purchase (``items`` differ from the reading before) counts while alive, after the ``opening`` and not
+    within ``respawned`` after coming back from death; purchases less than ``trip`` after a counted one
+    belong to it. Health is read before the channel: the first reading between ``look`` and ``channel``
+    before; gold is the most held in the ``look`` before. Without such readings it is the reading before.
+    """
+    order = [time, *tie]
+    s = samples.where(F.col(health).isNotNull()).select(key, *order, F.col(health).cast("double").alias("_h"), F.col(gold).cast("double").alias("_g"), F.col(items).alias("_i"), F.coalesce(F.col(dead), F.lit(False)).alias("_d"))
+    s = previous(s, [key], order, {"_b": F.struct("_h", "_g", "_i", "_d")})
+    back = s.where(F.col("_b._d") & ~F.col("_d")).select(key, F.col(time).alias("_up"))
+    bought = s.where(F.col("_b").isNotNull() & ~F.col("_d") & (F.col(time) >= opening) & ~F.col("_i").eqNullSafe(F.col("_b._i")))
+    bought = asof(bought, back, [key], time, "_up", {}, matched_time="_since")
+    bought = written(bought.where(F.col("_since").isNull() | (F.col(time) - F.col("_since") > respawned)), "bought")
+    trips = spaced(bought, key, time, trip)
+    c = bought.join(trips, [key, time], "left_semi")
+    c = top_per_group(c, [key, time], [F.col(x) for x in order[1:]] or [F.col(time)], 1)
+    c = asof(c.withColumn("_from", F.col(time) - F.lit(look)), s.select(key, F.col(time).alias("_t1"), *tie, F.col("_h").alias("_hv")), [key], "_from", "_t1", {"_first": "_hv"},
+             direction="forward", matched_time="_ft", tie=list(tie))
+    at = F.col(time).cast("double").alias("_at")  # whole times would count the present reading
+    seen = s.select(key, time, at, "_g", F.lit(False).alias("_ask")).unionByName(c.select(key, time, at, F.lit(None).cast("double").alias("_g"), F.lit(True).alias("_ask")))
+    most = rolling_range(seen, [key], "_at", look, {"_most": F.max("_g")}, back_to=0.001).where("_ask").select(key, time, "_most")
+    c = c.join(most, [key, time])
+    early = F.col("_ft") <= F.col(time) - F.lit(channel)
+    return c.select(key, time, F.when(early, F.col("_first")).otherwise(F.col("_b._h")).alias("health"), F.coalesce("_most", F.col("_b._g")).alias("gold"))
+
+
+# A slot is ready at this share of its own bright readings, of which it needs so many.
+READY_SHARE, READY_SEEN = 0.6, 20
+
+
+def slot_ready(readings: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, share: float = READY_SHARE, seen: int = READY_SEEN) -> DataFrame:
+    """Whether a slot is ready at each reading: its value reaches ``share`` of its own 90th percentile.
+
+    ``ready`` is null without a value or with fewer than ``seen`` of them; ``confirmed`` says that the slot's
+    reading with a value before this one was ready as well. Percentiles are exact for slots of any size.
+    """
+    keys = list(keys)
+    some = readings.where(F.col(value).isNotNull())
+    counts = some.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    q = grouped_quantiles(some, keys, value, {"_bright": 0.9}).select(*keys, "_bright").join(counts, keys)
+    d = readings.join(dimension(q), keys, "left")
+    ready = F.when(F.col("_n") >= seen, F.col(value) >= F.lit(share) * F.col("_bright"))
+    d = d.withColumn("ready", ready)
+    d = running(d, keys, order, {"_was": ("last", F.col("ready"))}, strict=True)
+    return d.withColumn("confirmed", F.when(F.col("ready").isNotNull(), F.col("ready") & F.coalesce("_was", F.lit(False)))).drop("_n", "_bright", "_was")
+
+
+# -- sources ------------------------------------------------------------------------------------------
+
+def clock_offsets(readings: DataFrame, key: str, time: str, clock: str, tolerance: float = 1.5, half: float = 0.5) -> DataFrame:
+    """How far a source's clock is from its time: key, offset, agreement (share of all readings with a clock near the commonest distance).
+
+    The commonest whole distance is found by counts; the offset is the exact median of those within
+    ``tolerance`` of it. A clock of whole seconds is ``half`` a second behind on average. Of equally common distances the smallest counts.
+    """
+    d = readings.select(key, (F.col(clock) + half - F.col(time)).cast("double").alias("_d"))
+    tally = d.where("_d IS NOT NULL").groupBy(key, F.round("_d").cast("long").alias("_whole")).agg(F.count(F.lit(1)).alias("_n"))
+    mode = dimension(tally.groupBy(key).agg(F.max_by("_whole", F.struct("_n", -F.col("_whole"))).alias("_mode")))
+    near = d.join(mode, key).where(F.abs(F.col("_d") - F.col("_mode")) <= tolerance)
+    total = d.groupBy(key).agg(F.count(F.lit(1)).alias("_all"))
+    found = near.groupBy(key).agg(F.percentile("_d", F.lit(0.5)).alias("offset"), F.count(F.lit(1)).alias("_near")).join(total, key)
+    return found.select(key, "offset", (F.col("_near") / F.col("_all")).alias("agreement"))
+
+
+def covered(spans: DataFrame, key: str, start: str, end: str) -> DataFrame:
+    """How long a key's spans cover together: key, covered, pieces. Overlaps count once: a span opens a piece where nothing before it reaches."""
+    s = spans.where(F.col(end) > F.col(start)).select(key, F.col(start).alias("_a"), F.col(end).alias("_z")).distinct()
+    s = running(s, [key], ["_a", "_z"], {"_reach": ("max", F.col("_z"))}, strict=True)
+    new = F.col("_reach").isNull() | (F.col("_a") > F.col("_reach"))
+    added = F.greatest(F.col("_z") - F.greatest(F.col("_a"), F.coalesce("_reach", F.col("_a"))), F.lit(0))
+    return s.groupBy(key).agg(F.sum(added).alias("covered"), F.count(F.when(new, 1)).alias("pieces"))
+
 
+# What a source must have to be learned from, and the trading range.
+LANE_MINUTES, COVERAGE, CLOCK, TRADE_RANGE = 5.0, 0.4, 0.5, 0.35
 
+
+def source_problems(samples: DataFrame, sources: DataFrame, trades: DataFrame, key: str, trade_range: float = TRADE_RANGE, far: float = 3.0) -> DataFrame:
+    """What speaks against each source: minutes, coverage (share of samples with the own bar), in_range, trades, problems[], warnings[].
+
+    ``samples``: key, t (seconds), me, distance; ``sources``: key, agreement, role; ``trades``: key. A rate of trades
+    above Q3 + ``far`` times the quartile distance of the good sources is a warning where there are at least eight of them.
+    """
+    per = samples.groupBy(key).agg(((F.max("t") - F.min("t")) / 60).alias("minutes"), F.avg(F.col("me").isNotNull().cast("double")).alias("coverage"), F.count(F.when(F.col("distance") <= trade_range, 1)).alias("in_range"))
+    n = trades.groupBy(key).agg(F.count(F.lit(1)).alias("trades"))
+    d = sources.join(per, key, "left").join(n, key, "left").withColumns({"minutes": F.coalesce("minutes", F.lit(0.0)), "coverage": F.coalesce("coverage", F.lit(0.0)), "in_range": F.coalesce("in_range", F.lit(0)), "trades": F.coalesce("trades", F.lit(0))})
+    told = lambda *pairs: F.filter(F.array(*[F.when(c, F.lit(x)) for c, x in pairs]), lambda x: x.isNotNull())
+    d = d.withColumn("problems", told((F.col("minutes") < LANE_MINUTES, "short"), (F.col("coverage") < COVERAGE, "bar unread"), (F.col("agreement") < CLOCK, "clock uncertain"), (F.col("in_range") == 0, "never in range")))
+    ok = (F.size("problems") == 0) & (F.col("minutes") > 0)
+    d = written(d.withColumn("_rate", F.when(ok, F.col("trades") / F.col("minutes") * 10)), "sources")
+    q = d.agg(F.percentile("_rate", F.lit(0.25)).alias("_q1"), F.percentile("_rate", F.lit(0.75)).alias("_q3"), F.count("_rate").alias("_n"))
+    d = d.crossJoin(F.broadcast(q))
+    high = (F.col("_n") >= 8) & (F.col("_rate") > F.col("_q3") + far * (F.col("_q3") - F.col("_q1")))
+    return d.withColumn("warnings", told((F.col("role").isNull(), "role unknown"), ((F.col("trades") == 0) & (F.col("in_range") > 0), "no trades"), (high, "too many trades"))).select(
+        key, "minutes", "coverage", "in_range", "trades", "problems", "warnings")
