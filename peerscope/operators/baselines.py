@@ -28,6 +28,24 @@ def patch_window(patches: DataFrame, patch: str) -> DataFrame:
         .otherwise(F.concat_ws("-", "first", "last")).alias("patch_window"))
 
 
+# The ranked queue, and games too short to say anything (seconds).
+QUEUE, SHORTEST = 420, 600
+
+
+def baseline_source(games: DataFrame, samples: DataFrame, patches: DataFrame, include_player: bool = False, queue: int = QUEUE, shortest: int = SHORTEST) -> DataFrame:
+    """The rows of ``games`` that baselines are made of, with the tier their match was sampled at.
+
+    ``games``: match_id, queue, patch, duration_s, role, ..; ``samples``: match_id, tier, source. Counted are
+    ranked games of the window's ``patches`` that lasted at least ``shortest`` seconds, of players whose role is
+    known, from matches sampled by the crawl (a player's own games only if asked for). A match that was
+    sampled twice counts once for each tier.
+    """
+    wanted = samples if include_player else samples.where("source = 'crawl'")
+    rows = games.where((F.col("queue") == queue) & (F.col("duration_s") >= shortest) & (F.coalesce("role", F.lit("")) != ""))
+    rows = rows.join(F.broadcast(patches.select("patch").distinct()), "patch", "left_semi")  # a window of a few patches
+    return rows.join(wanted.select("match_id", "tier").distinct(), "match_id")
+
+
 def explode_metrics(games: DataFrame, metrics: str, keep: Sequence[str]) -> DataFrame:
     """A {name: number} map as long rows (metric, value)."""
     return games.select(*keep, F.explode(F.col(metrics)).alias("metric", "value"))
