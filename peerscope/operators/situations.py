@@ -69,6 +69,11 @@ def sightings(events: DataFrame, frames: DataFrame) -> DataFrame:
     return rows.join(junglers, ["match_id", "participant"], "left_semi")
 
 
+def rounded(x: Column, digits: int) -> Column:
+    """Rounded, borders going up: a billionth more than they are, so that borders don't hang on the order of operations."""
+    return F.round(x + 1e-9, digits)
+
+
 def situations(frames: DataFrame, events: DataFrame, role: str) -> DataFrame:
     """match_id, participant, team, minute and the role's features, for minutes 2 to 40 (not the last whole one)."""
     if role not in ROLES:
@@ -88,7 +93,7 @@ def situations(frames: DataFrame, events: DataFrame, role: str) -> DataFrame:
     j = mine.join(board, ["match_id", "minute"]).withColumn("_enemy_jg", of("JUNGLE", False)["participant"])
     seen = sightings(events, frames).select("match_id", F.col("participant").alias("_enemy_jg"), F.col("t").alias("_st"), F.struct("t", "pos", "x", "y").alias("_seen"), "pos")
     j = asof(j, seen, ["match_id", "_enemy_jg"], "t0", "_st", {"_seen": "_seen"}, tie=["pos"])
-    f = {n: F.round(v.cast("double"), 6).alias(n) for n, v in _features(role, main, of, red).items()}
+    f = {n: (rounded(v.cast("double"), 6) + 0.0).alias(n) for n, v in _features(role, main, of, red).items()}
     return j.select("match_id", "participant", "team", "minute", *f.values())
 
 
@@ -102,7 +107,7 @@ def _features(role: str, main: str, of, red: Column) -> dict[str, Column]:
     stat = lambda seat, field: zero(seat[field])
     opponent = of(role, False)
     lost = lambda what: (zero(of(what, False)), zero(of(what)))  # what the enemy lost is this side's gain
-    f = {"u": F.round(u, 4), "v": F.round(v, 4), "level": c("level"), "current_gold": c("current_gold"), "total_gold": c("total_gold"), "main_cs": c(main),
+    f = {"u": rounded(u, 4), "v": rounded(v, 4), "level": c("level"), "current_gold": c("current_gold"), "total_gold": c("total_gold"), "main_cs": c(main),
          "level_diff_opp": c("level") - stat(opponent, "level"), "cs_diff_opp": c(main) - stat(opponent, main),
          "kill_diff_opp": by_player("kills", c("participant")) - by_player("kills", opponent["participant"]), "deaths": by_player("deaths", c("participant")),
          "team_kill_diff": of("team_kills") - of("team_kills", False), "own_dragons": of("dragons"), "enemy_dragons": of("dragons", False), "own_grubs": of("grubs"),
@@ -112,10 +117,10 @@ def _features(role: str, main: str, of, red: Column) -> dict[str, Column]:
     f["own_towers"], f["enemy_towers"] = lost("towers_lost")
     for name, last, first, again in (("dragon", "last_dragon", DRAGON, DRAGON_AGAIN), ("baron", "last_baron", BARON, BARON_AGAIN)):
         due = F.coalesce(c(last) / 60000 + again, F.lit(first))
-        f[f"{name}_up_in"] = F.round(F.least(F.greatest(due - now, F.lit(-5.0)), F.lit(10.0)), 2)
+        f[f"{name}_up_in"] = rounded(F.least(F.greatest(due - now, F.lit(-5.0)), F.lit(10.0)), 2)
         f[f"{name}_up"] = yes(due <= now)
     for name, taken, first, most in (("grubs", "grubs_taken", GRUBS, 10.0), ("herald", "herald_taken", HERALD, 15.0)):
-        f[f"{name}_up_in"] = F.round(F.least(F.greatest(F.lit(first) - now, F.lit(0.0)), F.lit(most)), 2)
+        f[f"{name}_up_in"] = rounded(F.least(F.greatest(F.lit(first) - now, F.lit(0.0)), F.lit(most)), 2)
         f[f"{name}_up"] = yes((now >= first) & (c(taken) == 0))
     f["cs_gain_1m"], f["cs_gain_2m"] = c(main) - zero(c("_main1")), c(main) - zero(c("_main2"))
     zone = own_zone("x", "y", "team")
@@ -129,15 +134,15 @@ def _features(role: str, main: str, of, red: Column) -> dict[str, Column]:
         au, av = place(ally)
         f |= {f"{key}_level_diff": stat(ally, "level") - stat(foe, "level"), f"{key}_cs_diff": stat(ally, "cs") - stat(foe, "cs"),
               f"{key}_kill_diff": by_player("kills", ally["participant"]) - by_player("kills", foe["participant"]), f"{key}_ally_dead": yes(t0 - died(ally["participant"]) < DEAD),
-              f"{key}_ally_push": F.round(zero(au + av), 3), f"{key}_ally_dist": F.round(zero(apart(au, av)), 3)}
+              f"{key}_ally_push": rounded(zero(au + av), 3), f"{key}_ally_dist": rounded(zero(apart(au, av)), 3)}
     if role != "JUNGLE":
         ju, jv = place(of("JUNGLE"))
-        f |= {"ally_jg_u": F.round(zero(ju), 4), "ally_jg_v": F.round(zero(jv), 4), "ally_jg_dist": F.round(zero(apart(ju, jv)), 3)}
+        f |= {"ally_jg_u": rounded(zero(ju), 4), "ally_jg_v": rounded(zero(jv), 4), "ally_jg_dist": rounded(zero(apart(ju, jv)), 3)}
     if role in ("BOTTOM", "UTILITY"):
         other = "UTILITY" if role == "BOTTOM" else "BOTTOM"
         partner = of(other)
         gap = F.sqrt(F.pow(c("x") - partner["x"], 2) + F.pow(c("y") - partner["y"], 2))
-        f |= {"duo_dist": F.round(F.coalesce(gap, F.lit(1e9)) / 1000, 3), "duo_level_diff": stat(partner, "level") - stat(of(other, False), "level")}
+        f |= {"duo_dist": rounded(F.coalesce(gap, F.lit(1e9)) / 1000, 3), "duo_level_diff": stat(partner, "level") - stat(of(other, False), "level")}
     if role == "UTILITY":
         f["wards_placed"] = by_player("wards", c("participant"))
     seen = c("_seen")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -52,6 +54,12 @@ def _zone(u: str, v: str) -> str:
     return z
 
 
+def _nudged(v: str) -> str:
+    """Borders of a rounded feature go up, as in the operator."""
+    m = re.fullmatch(r"round\((.*), (\d)\)", v, re.DOTALL)
+    return f"round({m[1]} + 1e-9, {m[2]})" if m else v
+
+
 def situation_sql(role: str) -> str:
     """Every feature counted anew for each example, from the events before it."""
     main = "jungle_cs" if role == "JUNGLE" else "cs"
@@ -113,7 +121,7 @@ LEFT JOIN e ON e.match_id = b.match_id AND e.t <= b.t GROUP BY b.match_id, b.par
 sn AS (SELECT b.match_id, b.participant, b.minute, e.t, {side(f"coalesce(e.x, {MAP_X / 2})", f"coalesce(e.y, {MAP_Y / 2})", True)} AS u, {side(f"coalesce(e.x, {MAP_X / 2})", f"coalesce(e.y, {MAP_Y / 2})", False)} AS v
   FROM b {seat("ejg", "300 - b.team", "JUNGLE")} JOIN e ON e.match_id = b.match_id AND e.t <= b.t AND e.kind = 'kill' AND ejg.participant IN (e.killer, e.victim, e.helper)
   QUALIFY row_number() OVER (PARTITION BY b.match_id, b.participant, b.minute ORDER BY e.t DESC, e.item DESC, e.supplier DESC, e.price DESC, e.quantity DESC) = 1)
-SELECT b.match_id, b.participant, b.team, b.minute, {", ".join(f"round(CAST({v} AS DOUBLE), 6) AS {n}" for n, v in f.items())}
+SELECT b.match_id, b.participant, b.team, b.minute, {", ".join(f"round(CAST({_nudged(v)} AS DOUBLE) + 1e-9, 6) + 0.0 AS {n}" for n, v in f.items())}
 FROM b JOIN k ON k.match_id = b.match_id AND k.participant = b.participant AND k.minute = b.minute
 LEFT JOIN sn ON sn.match_id = b.match_id AND sn.participant = b.participant AND sn.minute = b.minute
 {seats}"""
