@@ -2,14 +2,14 @@
 
 A list of tokens is what byte-pair merging makes of a word exactly if each token is what merging makes
 of its own letters and each adjacent pair is compatible: no merge across the border would have come
-before the merges that built its two sides. So the longest matches of all new words are proposed, all
-their borders are tested together on arrays, and only words with a bad border are merged exactly.
+before the merges that built its two sides. So the longest matches of all new words are proposed
+together by walking a trie, all their borders are tested together, and the words with a bad border are
+merged exactly, together too: each round merges every word's best pair.
 """
 
 from __future__ import annotations
 
 import unicodedata
-from array import array
 from functools import lru_cache
 from itertools import chain, filterfalse
 
@@ -17,14 +17,16 @@ import numpy as np
 import regex
 from pyspark.sql import DataFrame
 
-from .bpe_vocab import SPACE, Unassigned, has_unassigned, heap_merge, letters, load, short_merge
+from .bpe_vocab import SPACE, Unassigned, byte_letters, has_unassigned, heap_merge, load
 from .common import each_text
+from .piece_codec import PairTable, gathered
 
 WORDS = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{SPACE}\p{{L}}\p{{N}}]+")
 BREAKS = regex.compile(rf"[{SPACE}]+")
 # str.split() also breaks at these four, which are no white space to the tokenizer.
 NOT_SPACE = ("\x1c", "\x1d", "\x1e", "\x1f")
-SHORT = 40
+LONG = 256  # letters of a word that is merged alone
+SYMBOLS = 512  # a byte, or 256 and a byte where it ends a word
 NO_MERGE = np.iinfo(np.int64).max
 
 
@@ -46,16 +48,13 @@ class Codec:
         pairs = []
         for (a, b), rank in v.merges.items():
             x, y, z = v.ids[a], v.ids[b], v.ids[a + b]
-            pairs.append((x * self.size + y, rank))
+            pairs.append((x * self.size + y, rank, z))
             if self.rank[z] < 0:
                 self.rank[z], self.left[z], self.right[z] = rank, x, y
-        pairs.sort()
-        self.pair_keys, self.pair_ranks = (np.array(c, np.int64) for c in zip(*pairs, strict=True))
-        self.usable = self._usable()
-        self.reach: dict[str, int] = {}  # longest token with these first three letters
-        for t in self.usable:
-            n = len(t.removesuffix(v.suffix))
-            self.reach[t[:3]] = max(n, self.reach.get(t[:3], 0))
+        keys, self.pair_rank, self.made = (np.array(c, np.int64) for c in zip(*pairs, strict=True))
+        self.pairs = PairTable(keys)
+        self.symbol = np.array([v.ids[c + end] for end in ("", v.suffix) for c in byte_letters()], np.int64)
+        self.trie, self.child, self.token = self._trie(self._usable())
         self.seen: dict[str, bytes] = {}  # stretches met lately, and those met before them: each up to the bound
         self.before: dict[str, bytes] = {}
         self.merged = 0
@@ -63,16 +62,33 @@ class Codec:
     def _usable(self) -> dict[str, int]:
         """Tokens that merging makes of their own letters."""
         ids = np.array(sorted(self.vocab.ids.values()), np.int64)
-        base = self.rank[ids] < 0
-        made = ids[~base]
+        made = ids[self.rank[ids] >= 0]
         good = np.zeros(self.size, bool)
-        good[ids[base]] = True
+        good[self.symbol] = True
         inside = self.compatible(self.left[made], self.right[made], self.rank[made])
         for i in np.argsort(self.rank[made], kind="stable"):  # parts before wholes
             z = made[i]
             good[z] = inside[i] and good[self.left[z]] and good[self.right[z]]
         return {t: i for t, i in self.vocab.ids.items() if good[i]}
 
+    def _trie(self, tokens: dict[str, int]) -> tuple[PairTable, np.ndarray, np.ndarray]:
+        """Edges (node and symbol), the node each leads to, and the token that ends at a node (-1: none). Node 0 is the root."""
+        code, suffix = {c: i for i, c in enumerate(byte_letters())}, self.vocab.suffix
+        edges: dict[int, int] = {}
+        token = [-1]
+        for t, i in tokens.items():
+            body = t.removesuffix(suffix) if suffix else t
+            symbols = [code[c] for c in body]
+            if body != t:
+                symbols[-1] += 256
+            node = 0
+            for x in symbols:
+                node = edges.setdefault(node * SYMBOLS + x, len(token))
+                if node == len(token):
+                    token.append(-1)
+            token[node] = i
+        return PairTable(np.array([*edges], np.int64)), np.array([*edges.values()], np.int64), np.array(token, np.int64)
+
     def compatible(self, left: np.ndarray, right: np.ndarray, before: np.ndarray | None = None) -> np.ndarray:
         """Whether the border of each pair of tokens survives merging (all merges, or those of a rank below ``before``).
 
@@ -85,9 +101,8 @@ class Codec:
         ok, live = np.ones(len(left), bool), np.arange(len(left))
         while live.size:
             a, b = left[live], right[live]
-            key = a * self.size + b
-            at = np.minimum(np.searchsorted(self.pair_keys, key), len(self.pair_keys) - 1)
-            bad = (self.pair_keys[at] == key) & (self.pair_ranks[at] < limit[live])
+            there, at = self.pairs.find(a * self.size + b)
+            bad = there & (self.pair_rank[at] < limit[live])
             ok[live[bad]] = False
             ra, rb = self.rank[a], self.rank[b]
             go = ~bad & ((ra >= 0) | (rb >= 0))
@@ -98,46 +113,115 @@ class Codec:
             limit[live] = np.where(later, ra, rb + 1)
         return ok
 
+    def longest(self, codes: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Greedy longest matches of all words from the left, in order: where each begins, and the token."""
+        at, start, stop, end = first, first, last, first
+        node, best = np.zeros(len(first), np.int64), np.full(len(first), -1)
+        starts, tokens = [], []
+        while at.size:  # a letter of every word at a time
+            there, edge = self.trie.find(node * SYMBOLS + codes[at])
+            node = np.where(there, self.child[edge], 0)
+            at = at + there
+            token = self.token[node]
+            hit = token >= 0
+            best, end = np.where(hit, token, best), np.where(hit, at, end)
+            shut = ~there | (at == stop)
+            starts.append(start[shut])
+            tokens.append(best[shut])
+            at, start, node = np.where(shut, end, at), np.where(shut, end, start), np.where(shut, 0, node)
+            go = start < stop
+            if not go.all():
+                at, start, stop, end, node, best = at[go], start[go], stop[go], end[go], node[go], best[go]
+        starts, tokens = np.concatenate(starts), np.concatenate(tokens)
+        order = np.argsort(starts, kind="stable")
+        return starts[order], tokens[order]
+
+    def merged_together(self, symbols: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Merge in each word (neighbours with equal ``word``) the leftmost pair of lowest rank, again and again.
+
+        Returns the tokens left and their words, in order.
+        """
+        place = np.arange(len(symbols))
+        key, made = np.full(len(symbols), NO_MERGE), np.zeros(len(symbols), np.int64)
+
+        def look(i: np.ndarray) -> None:
+            there, at = self.pairs.find(symbols[i] * self.size + symbols[i + 1])
+            key[i] = np.where(there, (self.pair_rank[at] << 32) + place[i], NO_MERGE)
+            made[i] = self.made[at]
+
+        look(np.flatnonzero(word[1:] == word[:-1]))
+        done = []
+        while len(symbols):
+            first = np.flatnonzero(np.r_[True, word[1:] != word[:-1]])
+            size = np.diff(np.r_[first, len(symbols)])
+            lowest = np.minimum.reduceat(key, first)
+            live = lowest < NO_MERGE
+            if not live.all():
+                go = np.repeat(live, size)
+                done.append((place[~go], symbols[~go], word[~go]))
+                place, symbols, word, key, made = place[go], symbols[go], word[go], key[go], made[go]
+                lowest = lowest[live]
+            at = np.searchsorted(place, lowest & 0xFFFFFFFF)
+            symbols[at] = made[at]
+            keep = np.ones(len(symbols), bool)
+            keep[at + 1] = False
+            at = at - np.arange(len(at))  # where they lie when the gaps are closed
+            place, symbols, word, key, made = place[keep], symbols[keep], word[keep], key[keep], made[keep]
+            key[at] = NO_MERGE
+            near = np.r_[at[at + 1 < len(symbols)], at[at > 0] - 1]
+            look(near[word[near] == word[near + 1]])
+        place, symbols, word = (np.concatenate(x) for x in zip(*done, strict=True))
+        order = np.argsort(place)
+        return symbols[order], word[order]
+
+    def alone(self, codes: np.ndarray) -> list[int]:
+        """Tokens of one long word: rounds over all its letters would cost too much."""
+        table, suffix = byte_letters(), self.vocab.suffix
+        symbols = [table[c % 256] + (suffix if c >= 256 else "") for c in codes.tolist()]
+        heap_merge(symbols, self.vocab.merges)
+        return [self.vocab.ids[s] for s in symbols if s is not None]
+
+    def letters(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Symbols of all words (without white space), one after the other, and how many each has."""
+        raw = np.frombuffer(("\n".join(words) + "\n").encode(), np.uint8)
+        ends = np.flatnonzero(raw == 10)
+        codes = raw.astype(np.int64)
+        codes[ends - 1] += 256
+        return np.delete(codes, ends), np.diff(np.r_[-1, ends]) - 1
+
     def propose(self, word: str) -> list[int]:
-        """Greedy longest match from the left; ``word`` in byte letters."""
-        usable, reach, suffix, n, i, out = self.usable, self.reach, self.vocab.suffix, len(word), 0, []
-        while i < n:
-            for j in range(min(n, i + max(2, reach.get(word[i:i + 3], 0))), i, -1):
-                t = usable.get(word[i:j] + suffix if j == n else word[i:j])
-                if t is not None:
-                    out.append(t)
-                    i = j
-                    break
-            else:
-                raise ValueError(f"no token for {word[i]!r}")
-        return out
+        """Greedy longest match from the left."""
+        codes, n = self.letters([word])
+        return self.longest(codes, np.zeros(1, np.int64), n)[1].tolist()
 
     def exact(self, word: str) -> list[int]:
-        self.merged += 1
-        symbols = [*word[:-1], word[-1] + self.vocab.suffix]
-        (short_merge if len(symbols) <= SHORT else heap_merge)(symbols, self.vocab.merges)
-        return [self.vocab.ids[s] for s in symbols if s is not None]
-
-    def encode_words(self, words: list[str]) -> list[list[int]]:
-        """Ids of each word (in byte letters): proposed together, verified together."""
-        found = [self.propose(w) for w in words]
-        n = np.fromiter(map(len, found), np.int64, len(found))
-        flat = np.fromiter(chain.from_iterable(found), np.int64, int(n.sum()))
-        word = np.repeat(np.arange(len(found)), n)
+        codes, n = self.letters([word])
+        return self.merged_together(self.symbol[codes], np.zeros(n[0], np.int64))[0].tolist()
+
+    def encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words, and how many each has: proposed together, verified together, what fails merged together."""
+        if not words:
+            return np.zeros(0, "<u4"), np.zeros(0, np.int64)
+        codes, n = self.letters(words)
+        ends = np.cumsum(n)
+        short = np.flatnonzero(n <= LONG)
+        starts, flat = self.longest(codes, ends[short] - n[short], ends[short])
+        word = np.searchsorted(ends, starts, side="right")
         inner = np.flatnonzero(word[1:] == word[:-1])
-        bad = inner[~self.compatible(flat[inner], flat[inner + 1])]
-        for w in np.unique(word[bad]):
-            found[w] = self.exact(words[w])
-        return found
-
-    def words(self, chunk: str) -> list[str]:
-        """Words of a stretch without white space, in byte letters."""
-        if chunk.isascii() and chunk.isalpha():
-            return [chunk.lower()]
-        plain = unicodedata.normalize("NFC", chunk).replace("Σ", "σ").lower()
-        if has_unassigned(plain) or has_unassigned(chunk):
-            raise Unassigned
-        return [w if w.isascii() and w.isprintable() else letters(w) for w in WORDS.findall(plain)]
+        bad = np.zeros(len(words), bool)
+        bad[word[inner[~self.compatible(flat[inner], flat[inner + 1])]]] = True
+        parts = [(flat, word)]
+        if bad.any():
+            self.merged += int(bad.sum())
+            fail, good = np.flatnonzero(bad), ~bad[word]
+            parts = [(flat[good], word[good]),
+                     self.merged_together(self.symbol[codes[gathered(ends[fail] - n[fail], n[fail])]], np.repeat(fail, n[fail]))]
+        for w in np.flatnonzero(n > LONG).tolist():
+            self.merged += 1
+            ids = np.array(self.alone(codes[ends[w] - n[w]:ends[w]]), np.int64)
+            parts.append((ids, np.full(len(ids), w)))
+        flat, word = (np.concatenate(x) for x in zip(*parts, strict=True))
+        return flat[np.argsort(word, kind="stable")].astype("<u4"), np.bincount(word, minlength=len(words))
 
     def learn(self, chunks: list[list[str]]) -> None:
         """Encode the stretches not met before, all at once. A full memory becomes the older one; what recurs is taken over."""
@@ -146,21 +230,26 @@ class Codec:
         new = set(filterfalse(self.seen.__contains__, chain.from_iterable(chunks)))
         known = new & self.before.keys()
         self.seen |= {c: self.before[c] for c in known}
-        names, parts, flat = [], [], []
+        names, parts, of, at = [], [], {}, []
         for c in new - known:
-            try:
-                w = self.words(c)
-            except Unassigned:
+            if has_unassigned(c):
                 continue  # encode() then meets a missing key
             names.append(c)
-            parts.append(len(w))
-            flat += w
-        different = list(dict.fromkeys(flat))
-        of = dict(zip(different, self.encode_words(different), strict=True))
-        ids, at = [of[w] for w in flat], 0
-        for c, k in zip(names, parts, strict=True):
-            self.seen[c] = array("I", ids[at] if k == 1 else [i for x in ids[at:at + k] for i in x]).tobytes()
-            at += k
+            words = [c] if c.isascii() and c.isalpha() else WORDS.findall(c)
+            parts.append(len(words))
+            at += [of.setdefault(w, len(of)) for w in words]
+        if not names:
+            return
+        flat, n = self.encode_words([*of])
+        at = np.array(at, np.int64)
+        data = flat[gathered((np.cumsum(n) - n)[at], n[at])].tobytes()
+        ends = 4 * np.r_[0, np.cumsum(n[at])][np.cumsum(parts)]
+        self.seen |= zip(names, (data[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)), strict=True)
+
+    @staticmethod
+    def plain(text: str) -> str:
+        """The text as the vocabulary has it. No letter's form depends on white space beside it."""
+        return text.lower() if text.isascii() else unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
 
     def _split(self, text: str) -> list[str]:
         return [c for c in BREAKS.split(text) if c] if any(c in text for c in NOT_SPACE) else text.split()
@@ -168,14 +257,15 @@ class Codec:
     def _by_library(self, text: str) -> bytes:
         """A text with code points unknown here: the library splits, the rest is the same."""
         normal, pieces = splitter(self.vocab.path)
-        words = ["".join(w) for w, _ in pieces.pre_tokenize_str(normal.normalize_str(text))]
-        return np.array([i for x in self.encode_words(words) for i in x], "<u4").tobytes()
+        byte = {c: i for i, c in enumerate(byte_letters())}
+        words = [bytes(byte[c] for c in w).decode() for w, _ in pieces.pre_tokenize_str(normal.normalize_str(text))]
+        return self.encode_words(words)[0].tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
         known, out = self.vocab.specials, []
         cut = [self.special.split(t) if self.special is not None and any(s in t for s in known) else [t] for t in texts]
-        split = [[None if p in known else self._split(p) for p in parts] for parts in cut]
+        split = [[None if p in known else self._split(self.plain(p)) for p in parts] for parts in cut]
         self.learn([p for parts in split for p in parts if p])
         for parts, pieces in zip(split, cut, strict=True):
             ids = []
