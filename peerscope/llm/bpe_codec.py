@@ -11,13 +11,13 @@ from __future__ import annotations
 
 import unicodedata
 from functools import lru_cache
-from itertools import chain, filterfalse
+from itertools import chain, islice
 
 import numpy as np
 import regex
 from pyspark.sql import DataFrame
 
-from .bpe_vocab import SPACE, Unassigned, byte_letters, has_unassigned, heap_merge, load
+from .bpe_vocab import SPACE, byte_letters, has_unassigned, heap_merge, load
 from .common import each_text
 from .piece_codec import PairTable, gathered
 
@@ -30,10 +30,18 @@ SYMBOLS = 512  # a byte, or 256 and a byte where it ends a word
 NO_MERGE = np.iinfo(np.int64).max
 
 
+class Places(dict):
+    """Numbers of the stretches met, in the order of meeting them."""
+
+    def __missing__(self, stretch: str | tuple[str]) -> int:
+        at = self[stretch] = len(self)
+        return at
+
+
 class Codec:
     """Encoder and decoder of one vocabulary whose words end in a suffix. ``merged``: words merged exactly so far."""
 
-    BOUND = 250_000
+    BOUND = 400_000
 
     def __init__(self, path: str):
         self.vocab = v = load(path)
@@ -55,8 +63,9 @@ class Codec:
         self.pairs = PairTable(keys)
         self.symbol = np.array([v.ids[c + end] for end in ("", v.suffix) for c in byte_letters()], np.int64)
         self.trie, self.child, self.token = self._trie(self._usable())
-        self.seen: dict[str, bytes] = {}  # stretches met lately, and those met before them: each up to the bound
-        self.before: dict[str, bytes] = {}
+        self.seen = Places()  # a special token's stretch is a tuple
+        self.starts, self.counts, self.uses = (np.zeros(0, np.int64) for _ in range(3))
+        self.flat = np.zeros(0, "<u4")
         self.merged = 0
 
     def _usable(self) -> dict[str, int]:
@@ -223,28 +232,64 @@ class Codec:
         flat, word = (np.concatenate(x) for x in zip(*parts, strict=True))
         return flat[np.argsort(word, kind="stable")].astype("<u4"), np.bincount(word, minlength=len(words))
 
-    def learn(self, chunks: list[list[str]]) -> None:
-        """Encode the stretches not met before, all at once. A full memory becomes the older one; what recurs is taken over."""
-        if len(self.seen) > self.BOUND:
-            self.before, self.seen = self.seen, {}
-        new = set(filterfalse(self.seen.__contains__, chain.from_iterable(chunks)))
-        known = new & self.before.keys()
-        self.seen |= {c: self.before[c] for c in known}
-        names, parts, of, at = [], [], {}, []
-        for c in new - known:
-            if has_unassigned(c):
-                continue  # encode() then meets a missing key
-            names.append(c)
-            words = [c] if c.isascii() and c.isalpha() else WORDS.findall(c)
-            parts.append(len(words))
+    def learn(self, stretches: list) -> None:
+        """Encode new stretches, all at once: where the ids of each begin and how many it has (-1: the library has to split it)."""
+        owner, of, at, size = [], {}, [], np.full(len(stretches), -1)
+        for i, c in enumerate(stretches):
+            if isinstance(c, tuple):
+                size[i] = 1
+                continue
+            if c.isascii() and c.isalpha():
+                words = (c,)
+            elif c.isascii() and c[:-1].isalpha():
+                words = c[:-1], c[-1]
+            elif has_unassigned(c):
+                continue
+            else:
+                words = WORDS.findall(c)
+            size[i] = 0
+            owner += [i] * len(words)
             at += [of.setdefault(w, len(of)) for w in words]
-        if not names:
-            return
         flat, n = self.encode_words([*of])
         at = np.array(at, np.int64)
-        data = flat[gathered((np.cumsum(n) - n)[at], n[at])].tobytes()
-        ends = 4 * np.r_[0, np.cumsum(n[at])][np.cumsum(parts)]
-        self.seen |= zip(names, (data[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)), strict=True)
+        size += np.bincount(owner, n[at], len(stretches)).astype(np.int64)
+        flat = flat[gathered((np.cumsum(n) - n)[at], n[at])]
+        here = np.maximum(size, 0)
+        starts = np.cumsum(here) - here
+        special = [i for i, c in enumerate(stretches) if isinstance(c, tuple)]
+        if special:
+            made = np.zeros(int(here.sum()), "<u4")
+            plain = np.ones(len(made), bool)
+            plain[starts[special]] = False
+            made[plain], made[~plain] = flat, [self.vocab.specials[stretches[i][0]] for i in special]
+            flat = made
+        self.starts = np.r_[self.starts, len(self.flat) + starts]
+        self.flat, self.counts = np.r_[self.flat, flat], np.r_[self.counts, size]
+
+    def forget(self) -> None:
+        """A full memory keeps what was met in more than one batch, if that is not too much."""
+        kept = np.flatnonzero((self.uses > 1) & (self.counts >= 0))
+        if len(kept) > self.BOUND // 2:
+            kept = kept[:0]
+        names = [*self.seen]
+        self.seen = Places(zip((names[i] for i in kept.tolist()), range(len(kept)), strict=True))
+        counts = self.counts[kept]
+        self.flat = self.flat[gathered(self.starts[kept], counts)]
+        self.starts, self.counts, self.uses = np.cumsum(counts) - counts, counts, np.zeros(len(kept), np.int64)
+
+    def known(self, stretches: list) -> np.ndarray:
+        """The number of each stretch, new ones encoded."""
+        if len(self.seen) > self.BOUND:
+            self.forget()
+        before = len(self.seen)
+        at = np.fromiter(map(self.seen.__getitem__, stretches), np.int64, len(stretches))
+        if len(self.seen) > before:
+            self.learn([*islice(self.seen, before, None)])
+            self.uses = np.r_[self.uses, np.zeros(len(self.seen) - before, np.int64)]
+        met = np.zeros(len(self.seen), bool)
+        met[at] = True
+        self.uses += met
+        return at
 
     @staticmethod
     def plain(text: str) -> str:
@@ -254,31 +299,40 @@ class Codec:
     def _split(self, text: str) -> list[str]:
         return [c for c in BREAKS.split(text) if c] if any(c in text for c in NOT_SPACE) else text.split()
 
-    def _by_library(self, text: str) -> bytes:
+    def _by_library(self, text: str) -> np.ndarray:
         """A text with code points unknown here: the library splits, the rest is the same."""
         normal, pieces = splitter(self.vocab.path)
         byte = {c: i for i, c in enumerate(byte_letters())}
         words = [bytes(byte[c] for c in w).decode() for w, _ in pieces.pre_tokenize_str(normal.normalize_str(text))]
-        return self.encode_words(words)[0].tobytes()
+        return self.encode_words(words)[0]
+
+    def encode_all(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts (unsigned 32-bit), one after the other, and how many each has."""
+        known = self.vocab.specials
+        cut = [self.special.split(t) if self.special is not None and any(s in t for s in known) else [t] for t in texts]
+        pieces = [*chain.from_iterable(cut)]
+        split = [[(p,)] if p in known else self._split(self.plain(p)) for p in pieces]
+        at = self.known([*chain.from_iterable(split)])
+        counts = self.counts[at]
+        piece = np.repeat(np.arange(len(pieces)), np.fromiter(map(len, split), np.int64, len(split)))
+        odd = np.unique(piece[counts < 0])
+        plain = ~np.isin(piece, odd)
+        ids = self.flat[gathered(self.starts[at[plain]], counts[plain])]
+        n = np.bincount(piece[plain], counts[plain], len(pieces)).astype(np.int64)
+        if len(odd):
+            parts = np.split(ids, np.cumsum(n)[:-1])
+            for i in odd.tolist():
+                parts[i] = self._by_library(pieces[i])
+                n[i] = len(parts[i])
+            ids = np.concatenate(parts)
+        text = np.repeat(np.arange(len(texts)), np.fromiter(map(len, cut), np.int64, len(cut)))
+        return ids, np.bincount(text, n, len(texts)).astype(np.int64)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
-        known, out = self.vocab.specials, []
-        cut = [self.special.split(t) if self.special is not None and any(s in t for s in known) else [t] for t in texts]
-        split = [[None if p in known else self._split(self.plain(p)) for p in parts] for parts in cut]
-        self.learn([p for parts in split for p in parts if p])
-        for parts, pieces in zip(split, cut, strict=True):
-            ids = []
-            for chunks, piece in zip(parts, pieces, strict=True):
-                if chunks is None:
-                    ids.append(np.array([known[piece]], "<u4").tobytes())
-                    continue
-                try:
-                    ids.append(b"".join(map(self.seen.__getitem__, chunks)))
-                except KeyError:
-                    ids.append(self._by_library(piece))
-            out.append(b"".join(ids))
-        return out
+        ids, counts = self.encode_all(texts)
+        data, ends = ids.tobytes(), (4 * np.cumsum(counts)).tolist()
+        return [data[a:b] for a, b in zip([0, *ends[:-1]], ends)]  # noqa: B905
 
     def decode(self, ids: bytes) -> str:
         """Tokens joined by a space, special ones too (the file names no other decoder)."""
