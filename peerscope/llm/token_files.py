@@ -3,15 +3,19 @@
 A 64-bit word holds a 4-bit selector and 60 bits of ids. The selector says how many ids of which width
 follow; the last one is the escape for an id too wide for any other. A block is a fixed number of ids
 that starts on a word border, and the file keeps each block's first word, so blocks can be decoded at
-the same time or one alone. All coding is done on arrays, over all blocks of a file at once.
+the same time or one alone. All coding is done on arrays, over a group of blocks at once; files are
+written and read a group at a time, so a task holds a group, its longest text and 25 bytes a document.
 
-File: magic, then counts of documents, ids, ids a block, blocks and words (int64), then the document
-ids (int64), which of them are null (uint8, padded to 8), ids of each document (int64), first word of
-each block (int64) and the words (uint64), all little-endian.
+File: magic, the words (uint64), then the document ids (int64), which of them are null (uint8, padded
+to 8), ids of each document (int64), first word of each block (int64), and at the end counts of
+documents, ids, ids a block, blocks and words (int64), all little-endian.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from io import BytesIO
+
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
@@ -24,6 +28,8 @@ from .common import arrow_schema, new_path, slices, small_batches, texts_of
 
 MAGIC = b"IDS8B\x00\x00\x01"
 BLOCK = 2048
+GROUP = 256  # blocks coded at once
+ROWS = 2000
 # Fixed values of the format: ids in a word and bits of each, by selector. Width 0 is a run of zeros.
 COUNTS = np.array([240, 120, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1])
 WIDTHS = np.array([0, 0, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60])
@@ -96,32 +102,88 @@ def unpack(words: np.ndarray, first: np.ndarray, n: int, block: int = BLOCK) ->
     return out
 
 
-def to_file(doc_ids: list, lengths: np.ndarray, ids: np.ndarray, block: int = BLOCK) -> bytes:
-    words, first = pack(ids, block)
-    null = np.array([d is None for d in doc_ids], np.uint8)
-    null = np.r_[null, np.zeros(-len(null) % 8, np.uint8)]
-    head = np.array([len(doc_ids), len(ids), block, len(first), len(words)], "<i8")
-    parts = [head, np.array([d or 0 for d in doc_ids], "<i8"), null, np.asarray(lengths, "<i8"), first, words]
-    return MAGIC + b"".join(p.tobytes() for p in parts)
+class Writer:
+    """Writes a file from documents that come in parts; ids wait only until a group of blocks is full."""
 
+    def __init__(self, out, block: int = BLOCK):
+        self.out, self.block = out, block
+        self.docs, self.null, self.lengths, self.first = [], [], [], []
+        self.waiting: list[np.ndarray] = []
+        self.held = self.n_ids = self.n_words = self.n_docs = 0
+        out.write(MAGIC)
 
-def from_file(content: bytes) -> tuple[list, np.ndarray, np.ndarray]:
-    """Document ids, ids of each document and all ids of a file."""
-    if content[:8] != MAGIC:
-        raise ValueError("not a token-id file")
-    docs, n, block, blocks, words = np.frombuffer(content, "<i8", 5, 8).tolist()
-    at = 48
+    def add(self, doc_ids: list, lengths: np.ndarray, ids: np.ndarray) -> None:
+        self.docs.append(np.array([d or 0 for d in doc_ids], "<i8"))
+        self.null.append(np.array([d is None for d in doc_ids], np.uint8))
+        self.lengths.append(np.asarray(lengths, "<i8"))
+        self.waiting.append(ids)
+        self.held += len(ids)
+        self.n_ids += len(ids)
+        self.n_docs += len(doc_ids)
+        if self.held >= self.block * GROUP:
+            self._pack(self.held // self.block * self.block)
+
+    def _pack(self, n: int) -> None:
+        ids = np.concatenate(self.waiting)
+        for a in range(0, n, self.block * GROUP):
+            words, first = pack(ids[a:min(n, a + self.block * GROUP)], self.block)
+            self.out.write(words.tobytes())
+            self.first.append(first + self.n_words)
+            self.n_words += len(words)
+        self.waiting, self.held = [ids[n:].copy()], len(ids) - n
 
-    def take(kind: str, k: int) -> np.ndarray:
-        nonlocal at
-        x = np.frombuffer(content, kind, k, at)
-        at += x.nbytes
-        return x
+    def close(self) -> None:
+        if self.held:
+            self._pack(self.held)
+        none = [np.zeros(0, "<i8")]
+        first = np.concatenate(self.first or none)
+        null = np.concatenate([*self.null, np.zeros(-self.n_docs % 8, np.uint8)])
+        counts = np.array([self.n_docs, self.n_ids, self.block, len(first), self.n_words], "<i8")
+        for part in (np.concatenate(self.docs or none), null, np.concatenate(self.lengths or none), first, counts):
+            self.out.write(part.astype(part.dtype.newbyteorder("<")).tobytes())
 
+
+def documents(source) -> Iterator[tuple[list, np.ndarray, np.ndarray]]:
+    """From an open file, a group of blocks at a time: document ids, ids of each document and their ids, one after the other."""
+    source.seek(0)
+    if source.read(8) != MAGIC:
+        raise ValueError("not a token-id file")
+    source.seek(0, 2)
+    source.seek(source.tell() - 40)
+    docs, n, block, blocks, words = np.frombuffer(source.read(40), "<i8").tolist()
+    source.seek(8 + 8 * words)
+    take = lambda kind, k: np.frombuffer(source.read(k * np.dtype(kind).itemsize), kind)
     names, null, lengths = take("<i8", docs), take("u1", docs + -docs % 8)[:docs], take("<i8", docs)
-    first = take("<i8", blocks)
-    ids = unpack(take("<u8", words), first, n, block).astype("<u4")
-    return [None if z else d for d, z in zip(names.tolist(), null.tolist(), strict=True)], lengths, ids
+    edges = np.r_[take("<i8", blocks), words]
+    ends = np.cumsum(lengths)
+    done, reach, held = 0, 0, [np.zeros(0, "<u4")]
+    for a in range(0, max(blocks, 1), GROUP):
+        b = min(blocks, a + GROUP)
+        source.seek(8 + 8 * int(edges[a]))
+        size = min(n, b * block) - a * block
+        held.append(unpack(take("<u8", int(edges[b] - edges[a])), edges[a:b] - edges[a], size, block).astype("<u4"))
+        reach += size
+        upto = int(np.searchsorted(ends, reach, side="right"))
+        if upto > done:
+            ids, size = np.concatenate(held), lengths[done:upto]
+            whole = int(size.sum())
+            yield [None if z else d for d, z in zip(names[done:upto].tolist(), null[done:upto].tolist(), strict=True)], size, ids[:whole]
+            done, held = upto, [ids[whole:].copy()]
+
+
+def to_file(doc_ids: list, lengths: np.ndarray, ids: np.ndarray, block: int = BLOCK) -> bytes:
+    out = BytesIO()
+    writer = Writer(out, block)
+    writer.add(doc_ids, lengths, ids)
+    writer.close()
+    return out.getvalue()
+
+
+def from_file(content: bytes) -> tuple[list, np.ndarray, np.ndarray]:
+    """Document ids, ids of each document and all ids of a file."""
+    parts = [([], np.zeros(0, "<i8"), np.zeros(0, "<u4")), *documents(BytesIO(content))]
+    names, lengths, ids = zip(*parts, strict=True)
+    return [d for part in names for d in part], np.concatenate(lengths), np.concatenate(ids)
 
 
 def write_files(docs: DataFrame, path: str, folder: str, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -139,28 +201,25 @@ def write_files(docs: DataFrame, path: str, folder: str, end_id: int = 1, id_col
     def run(batches):
         from pyarrow import fs
 
-        c = codec(path)
-        names, lengths, ids = [], [], []
-        for batch in batches:
-            for part in slices(batch):
-                names += part.column(0).to_pylist()
-                for x in c.encode(texts_of(part)):
-                    ids.append(np.append(np.frombuffer(x, "<u4"), np.uint32(end_id)))
-                    lengths.append(len(ids[-1]))
-        if not names:
-            return
-        task = TaskContext.get()
+        c, writer, task = codec(path), None, TaskContext.get()
         name = f"part-{task.partitionId():06d}.ids"
-        data = to_file(names, np.array(lengths), np.concatenate(ids))
         store, base = fs.FileSystem.from_uri(folder)
-        store.create_dir(base, recursive=True)
         draft = f"{base}/_draft-{name}-{task.taskAttemptId()}"
-        with store.open_output_stream(draft) as out:
-            out.write(data)
+        for batch in batches:
+            for part in slices(batch):
+                if writer is None:
+                    store.create_dir(base, recursive=True)
+                    writer = Writer(store.open_output_stream(draft))
+                ids, lengths = c.encode_all(texts_of(part))
+                writer.add(part.column(0).to_pylist(), lengths + 1, np.insert(ids, np.cumsum(lengths), np.uint32(end_id)))
+        if writer is None:
+            return
+        writer.close()
+        writer.out.close()
         if store.get_file_info(f"{base}/{name}").type != fs.FileType.NotFound:  # of an earlier attempt; some stores don't move onto a file
             store.delete_file(f"{base}/{name}")
         store.move(draft, f"{base}/{name}")
-        yield pa.RecordBatch.from_pydict({"part": [task.partitionId()], "name": [name], "n_docs": [len(names)], "n_ids": [sum(lengths)]}, schema=arrow)
+        yield pa.RecordBatch.from_pydict({"part": [task.partitionId()], "name": [name], "n_docs": [writer.n_docs], "n_ids": [writer.n_ids]}, schema=arrow)
 
     spread = (docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
               .repartitionByRange("id").sortWithinPartitions("id", "text"))
@@ -176,18 +235,24 @@ def read_files(spark: SparkSession, folder: str, files: DataFrame) -> DataFrame:
     arrow = arrow_schema(schema)
 
     def run(batches):
+        from pyarrow import fs
+
+        store, place = fs.FileSystem.from_uri(folder)
         for batch in batches:
-            for content, base in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
-                names, lengths, ids = from_file(content.as_buffer().to_pybytes())
-                ends = np.cumsum(lengths)
-                for a in range(0, len(names), 2000):
-                    part = range(a, min(a + 2000, len(names)))
-                    yield pa.RecordBatch.from_pydict({
-                        "doc_id": [names[i] for i in part], "start": [base + int(ends[i] - lengths[i]) for i in part], "n_tokens": [int(lengths[i]) for i in part],
-                        "ids": [ids[ends[i] - lengths[i]:ends[i]].tobytes() for i in part]}, schema=arrow)
+            for name, base in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                with store.open_input_file(f"{place}/{name}") as source:
+                    for names, lengths, ids in documents(source):
+                        ends, data = np.cumsum(lengths), ids.tobytes()
+                        starts = ends - lengths
+                        for a in range(0, len(names), ROWS):
+                            part = slice(a, a + ROWS)
+                            yield pa.RecordBatch.from_pydict({
+                                "doc_id": names[part], "start": base + starts[part], "n_tokens": lengths[part],
+                                "ids": [data[4 * x:4 * y] for x, y in zip(starts[part].tolist(), ends[part].tolist(), strict=True)]}, schema=arrow)
+                        base += int(ends[-1])
 
-    content = spark.read.format("binaryFile").load(folder).select("content", F.element_at(F.split("path", "/"), -1).alias("name"))
-    return content.join(dimension(files.select("name", "start")), "name").select("content", "start").mapInArrow(run, schema)
+    found = spark.read.format("binaryFile").load(folder).select(F.element_at(F.split("path", "/"), -1).alias("name"))  # the content is not read here
+    return found.join(dimension(files.select("name", "start")), "name").select("name", "start").mapInArrow(run, schema)
 
 
 def token_ids(docs: DataFrame, path: str, folder: str | None = None, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -196,7 +261,7 @@ def token_ids(docs: DataFrame, path: str, folder: str | None = None, end_id: int
     One row for each input row. Null ids come first, repeated ids follow each other in the order of
     their texts; a null or empty text has the end id alone. An empty table writes no file and gives no
     row. A text of any length lies in one file. The table is ranged by id, so a file holds about as many
-    rows as Spark gives a partition; no task holds more than its partition.
+    rows as Spark gives a partition; no task holds more than a group of blocks and its longest text.
     """
     spark = docs.sparkSession
     folder = folder or new_path(spark, "ids")

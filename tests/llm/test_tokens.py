@@ -2,6 +2,7 @@
 
 import random
 import zlib
+from io import BytesIO
 
 import numpy as np
 import public_tokenizers
@@ -10,9 +11,9 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from peerscope.llm.bpe_codec import codec, encode
+from peerscope.llm.bpe_codec import Codec, codec, encode
 from peerscope.llm.token_count import token_counts
-from peerscope.llm.token_files import from_file, pack, to_file, token_ids, unpack
+from peerscope.llm.token_files import GROUP, Writer, documents, from_file, pack, to_file, token_ids, unpack
 
 WORD, BYTE = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("byte_bpe_50k.json")
 PIECES = [*"abcxyzABC 012!?'\n\t éßΣ日́ \x1c<|>", "the", "ing", "<|endoftext|>", "<|startoftext|>", " ", " ", "  ", "́", "͸", "İ", "ΑΣ"]
@@ -82,6 +83,33 @@ def test_zero_runs_are_small():
     assert len(words) == 10
 
 
+def test_files_longer_than_a_group():
+    """Documents that come in parts, some empty, one longer than several groups of blocks."""
+    r = np.random.default_rng(3)
+    lengths = [0, 5, 3 * GROUP * 16 + 7, 0, 1, *r.integers(0, 900, 60).tolist(), 0]
+    ids = [r.integers(0, 50_000, n).astype("<u4") for n in lengths]
+    out = BytesIO()
+    writer = Writer(out, 16)
+    for a in range(0, len(ids), 7):
+        writer.add([*range(a, min(a + 7, len(ids)))], np.array(lengths[a:a + 7]), np.concatenate(ids[a:a + 7]))
+    writer.close()
+    parts = [*documents(BytesIO(out.getvalue()))]
+    names, sizes, flat = from_file(out.getvalue())
+    assert len(parts) > 3 and names == [*range(len(ids))] and sizes.tolist() == lengths
+    assert np.array_equal(flat, np.concatenate(ids))
+
+
+def test_small_memory(library):
+    """What a full memory forgets, stretches to be split by the library and special tokens among it, is encoded again."""
+    small, texts = Codec(WORD), strange()
+    small.BOUND = 500
+    for a in range(0, len(texts), 100):
+        part = texts[a:a + 100]
+        want = [w.ids for w in library[0].encode_batch(part, add_special_tokens=False)]
+        assert [np.frombuffer(x, "<u4").tolist() for x in small.encode(part)] == want
+        assert len(small.seen) == len(small.starts) == len(small.counts) == len(small.uses)
+
+
 def test_files_give_the_ids_back(spark, docs, odd, library, folder):
     word, _ = library
     rows = sorted((r["doc_id"], r["text"] or "") for r in docs.collect())
