@@ -173,6 +173,45 @@ def build_choices(carts: DataFrame) -> DataFrame:
     return carts.withColumn("_x", F.explode(pairs)).select(*carts.columns, "_x.kind", "_x.key")
 
 
+# How many choices of each kind are shown.
+SHOWN = {"runes": 3, "rune_pages": 1, "spells": 2, "start": 3, "boots": 3, "core": 5, "first": 3, "fourth": 4, "fifth": 4, "sixth": 4, "skill_max": 2, "skill_order": 1}
+
+
+def stacked_choices(rows: DataFrame, keys: Sequence[str], kinds: dict[str, Column]) -> DataFrame:
+    """A (kind, key) row of every game for each kind; a game without that choice keeps its row with a null key."""
+    pairs = F.array(*[F.struct(F.lit(k).alias("kind"), v.alias("key")) for k, v in kinds.items()])
+    return rows.select(*keys, "win", F.explode(pairs).alias("_x")).select(*keys, "win", "_x.kind", "_x.key")
+
+
+def loadout_choices(builds: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Runes (keystone and both styles), whole rune pages and spell pairs, whatever their order."""
+    part = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    return stacked_choices(builds, keys, {
+        "runes": F.when(F.col("keystone").isNotNull(), F.concat_ws("-", part("keystone"), part("primary_style"), part("sub_style"))),
+        "rune_pages": F.array_join(F.col("perks").cast("array<string>"), "-"),
+        "spells": F.array_join(F.array_sort("spells").cast("array<string>"), "-")})
+
+
+def boots_choices(carts: DataFrame, keys: Sequence[str], boots: Sequence[int]) -> DataFrame:
+    """The first of the ``boots`` (ids of the item dimension, a handful) that was bought."""
+    wanted = F.array(*[F.lit(b).cast("bigint") for b in boots])
+    return stacked_choices(carts, keys, {"boots": F.get(F.filter("purchases", lambda i: F.array_contains(wanted, i.cast("bigint"))), F.lit(0)).cast("string")})
+
+
+def skill_choices(orders: DataFrame, keys: Sequence[str], seen: int = 15) -> DataFrame:
+    """Which skill is maxed first, second and third, and the first ``seen`` level-ups (null if there were fewer)."""
+    return stacked_choices(orders, keys, {
+        "skill_max": E.max_order("skill_order", seen=seen),
+        "skill_order": F.when(F.length("skill_order") >= seen, F.substring("skill_order", 1, seen))})
+
+
+def top_shown(choices: DataFrame, keys: Sequence[str], shown: dict[str, int] = SHOWN, min_games: int = 2) -> DataFrame:
+    """``top_choices`` with a number of places for each kind; kinds not named there are left out."""
+    limit = F.create_map(*[F.lit(x) for kv in shown.items() for x in kv])[F.col("kind")]
+    rows = choices.where(F.col("kind").isin(*shown))
+    return top_choices(rows, keys, max(shown.values()), min_games).where(F.col("place") <= limit)
+
+
 def build_paths(carts: DataFrame, keys: Sequence[str], firsts: int = 4, seconds: int = 3, min_first: int = 10,
                 min_pair: int = 5) -> DataFrame:
     """The most common first items and what is bought after each."""

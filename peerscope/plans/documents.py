@@ -22,6 +22,15 @@ def _side():
     return F.when(F.col("team") == "F", 100).otherwise(200)
 
 
+def _perks():
+    """Rune pages as documents have them: some without a second style, a shard or any rune at all."""
+    i = F.col("item").cast("int")
+    style = lambda style, *perks: F.struct(style.cast("int").alias("style"), F.array(*[F.struct(p.cast("int").alias("perk")) for p in perks]).alias("selections"))
+    main, second = style(8000 + i % 3 * 100, 8000 + i % 4, 8100 + F.col("kills") % 3), style(8400 + i % 2 * 100, 8300 + F.col("slot") % 2)
+    shards = F.struct((5000 + i % 2).alias("offense"), F.when(i % 5 != 1, F.lit(5007)).alias("flex"), F.lit(5002).alias("defense"))
+    return F.when(i % 11 != 0, F.struct(shards.alias("statPerks"), F.when(i % 7 == 3, F.array(main)).otherwise(F.array(main, second)).alias("styles")))
+
+
 def match_texts(s: Star) -> DataFrame:
     """One JSON document per order: seats are participants, returned lines bans, classes objectives."""
     seat = s.seats()
@@ -29,7 +38,8 @@ def match_texts(s: Star) -> DataFrame:
         _pid().alias("participantId"), F.col("supplier").cast("string").alias("puuid"), _side().alias("teamId"), F.concat(F.lit("R"), "slot").alias("teamPosition"),
         F.substring("champion", 7, 3).cast("int").alias("championId"), "win", F.col("kills").cast("int").alias("kills"), F.col("deaths").cast("int").alias("deaths"),
         F.col("assists").cast("int").alias("assists"), F.col("gold").cast("int").alias("totalMinionsKilled"), F.col("damage").cast("int").alias("totalDamageDealtToChampions"),
-        (F.col("gold") * 100).cast("int").alias("goldEarned"), F.col("item").cast("int").alias("item0"), (F.col("item") % 50).cast("int").alias("visionScore")).alias("_p"))
+        (F.col("gold") * 100).cast("int").alias("goldEarned"), F.col("item").cast("int").alias("item0"), (F.col("item") % 50).cast("int").alias("visionScore"),
+        F.lit(4).alias("summoner1Id"), (F.col("item") % 5 + 1).cast("int").alias("summoner2Id"), _perks().alias("perks")).alias("_p"))
     p = people.groupBy("game_id").agg(F.collect_list("_p").alias("participants"))
     bans = s.lines().where("flag = 'R'").groupBy("game_id", _side().alias("teamId")).agg(
         F.array_sort(F.collect_list(F.struct(F.col("slot").cast("int").alias("pickTurn"), F.substring("champion", 7, 3).cast("int").alias("championId")))).alias("bans"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.catalogue import EPIC_MONSTERS, WARD_TYPES
@@ -17,7 +17,8 @@ kills int, deaths int, assists int, totalMinionsKilled int, neutralMinionsKilled
 magicDamageDealtToChampions int, totalDamageTaken int, damageSelfMitigated int, totalTimeSpentDead int, totalHealsOnTeammates int,
 totalDamageShieldedOnTeammates int, visionScore int, wardsPlaced int, wardsKilled int, detectorWardsPlaced int, champLevel int, timePlayed int,
 gameEndedInEarlySurrender boolean, summoner1Id int, summoner2Id int, item0 int, item1 int, item2 int, item3 int, item4 int, item5 int, item6 int,
-doubleKills int, tripleKills int, quadraKills int, pentaKills int, largestMultiKill int, firstBloodKill boolean"""
+doubleKills int, tripleKills int, quadraKills int, pentaKills int, largestMultiKill int, firstBloodKill boolean,
+perks struct<statPerks: struct<offense: int, flex: int, defense: int>, styles: array<struct<style: int, selections: array<struct<perk: int>>>>>"""
 MATCH_SCHEMA = f"""metadata struct<matchId: string>, info struct<gameCreation: bigint, gameStartTimestamp: bigint, gameEndTimestamp: bigint,
 gameDuration: bigint, gameVersion: string, queueId: int, participants: array<struct<{PARTICIPANT.replace(chr(10), ' ')}>>,
 teams: array<struct<teamId: int, win: boolean, bans: array<struct<championId: int, pickTurn: int>>,
@@ -74,6 +75,21 @@ def core_participants(matches: DataFrame) -> DataFrame:
         ("win", "win"), ("kills", "kills"), ("deaths", "deaths"), ("assists", "assists"))])
 
 
+def rune_columns(perks: Column) -> list[Column]:
+    """Keystone, main and second style, and the whole page: the perks of all styles, then the shards there are (null if none)."""
+    styles = F.coalesce(perks["styles"], F.array().cast(perks_type("styles")))
+    main, second = F.get(styles, F.lit(0)), F.get(styles, F.lit(1))
+    chosen = F.flatten(F.transform(styles, lambda s: F.transform(F.coalesce(s["selections"], F.array().cast(perks_type("selections"))), lambda x: x["perk"])))
+    page = F.filter(F.concat(chosen, F.array(*[perks["statPerks"][k] for k in ("offense", "flex", "defense")])), lambda x: x.isNotNull())
+    return [F.get(main["selections"], F.lit(0))["perk"].alias("keystone"), main["style"].alias("primary_style"), second["style"].alias("sub_style"),
+            F.when(F.size(page) > 0, page).alias("perks")]
+
+
+def perks_type(part: str) -> str:
+    selections = "array<struct<perk: int>>"
+    return selections if part == "selections" else f"array<struct<style: int, selections: {selections}>>"
+
+
 def participants(matches: DataFrame) -> DataFrame:
     """Build rows: one wide row per participant with team totals, items, multikills and the lane opponent.
 
@@ -98,7 +114,7 @@ def participants(matches: DataFrame) -> DataFrame:
         F.array(*[z(f"item{i}") for i in range(7)]).alias("items"), F.array_sort(F.array(z("summoner1Id"), z("summoner2Id"))).alias("spells"),
         z("doubleKills").alias("double_kills"), z("tripleKills").alias("triple_kills"), z("quadraKills").alias("quadra_kills"), z("pentaKills").alias("penta_kills"),
         z("largestMultiKill").alias("largest_multikill"), F.coalesce(p("firstBloodKill"), F.lit(False)).alias("first_blood"),
-        F.coalesce(p("gameEndedInEarlySurrender"), F.lit(False)).alias("remake"),
+        F.coalesce(p("gameEndedInEarlySurrender"), F.lit(False)).alias("remake"), *rune_columns(p("perks")),
         mates("kills").alias("team_kills"), mates("totalDamageDealtToChampions").alias("team_damage"), mates("totalDamageTaken", "damageSelfMitigated").alias("team_taken"),
         rival["championId"].alias("opponent"), rival["participantId"].alias("opponent_id"))
 
