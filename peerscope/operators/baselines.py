@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.expr import patch_key
+from .ordered import top_per_group
 from .quantiles import grouped_quantiles
+from .scale import dimension
 
 PROBS = {"p10": 0.10, "p25": 0.25, "p50": 0.50, "p75": 0.75, "p90": 0.90}
 ALL = "*"
@@ -137,3 +139,49 @@ def rank_benchmarks(long: DataFrame, tier: str, role: str) -> DataFrame:
                        "metric", "value")
     out = grouped_quantiles(both, ["tier", "role", "metric"], "value", {"p20": 0.2, "p50": 0.5, "p80": 0.8})
     return out.select("tier", "role", "metric", "n", "p20", "p50", "p80")
+
+
+def role_stats(builds: DataFrame, newest: Sequence[Column], games: int = 50, least: int = 5, digits: int = 6) -> DataFrame:
+    """Each player's numbers over the ``games`` newest build rows in a role: player, role, games, metric, value.
+
+    Rates are totals over total time, kill participation the mean of the games. Fewer than ``least`` games say nothing.
+    """
+    rows = top_per_group(builds.where(F.coalesce(F.col("role").cast("string"), F.lit("")) != ""), ["player", "role"], newest, games)
+    minutes = F.sum("duration_s") / 60.0
+    part = (F.col("kills") + F.col("assists")) / F.greatest(F.col("team_kills"), F.lit(1))
+    wide = rows.groupBy("player", "role").agg(
+        F.count(F.lit(1)).alias("games"), (F.sum("cs") / minutes).alias("cs_min"), (F.sum("damage") / minutes).alias("dmg_min"), (F.sum("vision") / minutes).alias("vision_min"),
+        F.avg(part).alias("kp"), (F.sum("deaths") / (minutes / 10.0)).alias("deaths_10")).where(F.col("games") >= least)
+    long = unpivot_metrics(wide, ["player", "role", "games"], ["cs_min", "dmg_min", "vision_min", "kp", "deaths_10"])
+    return long.withColumn("value", F.round("value", digits))
+
+
+def ranks_matched(stats: DataFrame, benchmarks: DataFrame, tiers: Sequence[str], lower_is_better: Sequence[str] = ("deaths_10",)) -> DataFrame:
+    """The highest tier whose median each number reaches (``like``, null below all), how many it reaches, and the medians it was held against.
+
+    A role's medians of one metric travel as one array in tier order, so a number stays one row and the join is
+    as wide as the roles are many.
+    """
+    place = F.array_position(F.array(*map(F.lit, tiers)), F.col("tier")).cast("int")
+    known = benchmarks.where(F.col("tier").isin(*tiers) & F.col("p50").isNotNull())
+    ladder = known.groupBy("role", "metric").agg(F.array_sort(F.collect_list(F.struct(place.alias("place"), "tier", "p50"))).alias("ladder"))
+    low = F.col("metric").isin(*lower_is_better)
+    rows = stats.join(dimension(ladder), ["role", "metric"])
+    met = F.filter("ladder", lambda t: F.when(low, F.col("value") <= t["p50"]).otherwise(F.col("value") >= t["p50"]))
+    return rows.withColumn("_met", met).select(*stats.columns, F.get("_met", F.size("_met") - 1)["tier"].alias("like"), F.size("_met").alias("n_met"), "ladder")
+
+
+def next_steps(matched: DataFrame, own: DataFrame, lower_is_better: Sequence[str] = ("deaths_10",), digits: int = 6) -> DataFrame:
+    """The number furthest, in relation, from the median of the tier above the player's own: player, role, next, metric, value, wanted, gap.
+
+    ``own``: player, tier. Players at the top, or who reach every median of the next tier, have no row; of equal gaps the later name counts.
+    """
+    rows = matched.join(own.select("player", "tier"), "player")
+    places = F.transform("ladder", lambda t: t["tier"])
+    above = F.get("ladder", F.array_position(places, F.col("tier")).cast("int"))  # positions count from 1, so this is the one after
+    rows = rows.where(F.array_contains(places, F.col("tier"))).withColumn("_next", above)
+    short = F.when(F.col("metric").isin(*lower_is_better), F.col("value") - F.col("_next.p50")).otherwise(F.col("_next.p50") - F.col("value"))
+    gap = F.round(short / F.abs("_next.p50"), digits)
+    rows = rows.where((short > 0) & (F.col("_next.p50") != 0)).withColumn("gap", gap)
+    best = rows.groupBy("player", "role").agg(F.max(F.struct("gap", "metric", "value", F.col("_next.p50").alias("wanted"), F.col("_next.tier").alias("next"))).alias("_b"))
+    return best.select("player", "role", "_b.next", "_b.metric", "_b.value", "_b.wanted", "_b.gap")

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-AREAS = ("scored", "joined", "sequences", "grouped", "past", "chance", "equipped", "situated", "reviewed", "watched", "rated", "drafted", "filed", "documents", "loadouts", "noted", "learned", "held_out", "streams")
+AREAS = ("scored", "joined", "sequences", "grouped", "past", "chance", "equipped", "situated", "reviewed", "watched", "rated", "drafted", "filed", "documents", "loadouts", "ranked", "noted", "learned", "held_out", "streams")
 
 
 def load_all() -> None:
