@@ -208,15 +208,15 @@ def lane_samples(s: Star) -> DataFrame:
 
 
 TRADES_SQL = EVENTS_SQL + """,
-sm AS (SELECT user_id, s, k AS me, cents % 100 AS them, event_id % 7 AS distance, CASE WHEN event_id % 3 = 0 THEN 1 ELSE 0 END AS others,
+sm AS (SELECT user_id, s, event_id, k AS me, cents % 100 AS them, event_id % 7 AS distance, CASE WHEN event_id % 3 = 0 THEN 1 ELSE 0 END AS others,
        k % 6 AS mine, cents % 5 AS theirs FROM ev),
-p AS (SELECT *, lag(me) OVER w AS pm, lag(them) OVER w AS po, lag(s) OVER w AS pt FROM sm WINDOW w AS (PARTITION BY user_id ORDER BY s)),
+p AS (SELECT *, lag(me) OVER w AS pm, lag(them) OVER w AS po, lag(s) OVER w AS pt FROM sm WINDOW w AS (PARTITION BY user_id ORDER BY s, event_id)),
 hh AS (SELECT *, coalesce(pm - me >= 20 OR po - them >= 20, false) AS hit, greatest(pm - me, 0) AS lm, greatest(po - them, 0) AS lo FROM p),
-lh AS (SELECT *, max(CASE WHEN hit THEN s END) OVER (PARTITION BY user_id ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS last_hit FROM hh),
-tr AS (SELECT *, CAST(sum(CASE WHEN last_hit IS NULL OR pt - last_hit >= 43200 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY s) AS BIGINT) AS trade FROM lh WHERE hit),
-tg AS (SELECT user_id, trade, arg_min(pt, s) AS start_s, max(s) AS end_s, arg_min(distance <= 4, s) AS near, CAST(sum(lm) AS BIGINT) AS me_lost, CAST(sum(lo) AS BIGINT) AS opponent_lost,
-  arg_min(CASE WHEN lm >= 20 AND lo >= 20 THEN 'both' WHEN lo >= 20 THEN 'you' ELSE 'opponent' END, s) AS started_by, max(others) > 0 AS skirmish,
-  arg_min(mine - theirs, s) AS minion_edge FROM tr GROUP BY user_id, trade),
+lh AS (SELECT *, max(CASE WHEN hit THEN s END) OVER (PARTITION BY user_id ORDER BY s, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS last_hit FROM hh),
+tr AS (SELECT *, CAST(sum(CASE WHEN last_hit IS NULL OR pt - last_hit >= 43200 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY s, event_id) AS BIGINT) AS trade FROM lh WHERE hit),
+tg AS (SELECT user_id, trade, arg_min(pt, (s, event_id)) AS start_s, max(s) AS end_s, arg_min(distance <= 4, (s, event_id)) AS near, CAST(sum(lm) AS BIGINT) AS me_lost, CAST(sum(lo) AS BIGINT) AS opponent_lost,
+  arg_min(CASE WHEN lm >= 20 AND lo >= 20 THEN 'both' WHEN lo >= 20 THEN 'you' ELSE 'opponent' END, (s, event_id)) AS started_by, max(others) > 0 AS skirmish,
+  arg_min(mine - theirs, (s, event_id)) AS minion_edge FROM tr GROUP BY user_id, trade),
 trades AS (SELECT * EXCLUDE (near), CASE WHEN opponent_lost - me_lost >= 20 THEN 'won' WHEN opponent_lost - me_lost <= -20 THEN 'lost' ELSE 'even' END AS result FROM tg WHERE near)"""
 
 
