@@ -111,15 +111,18 @@ def laning_labels(moments: DataFrame, trades: DataFrame, deaths: DataFrame, base
     return later.withColumn("swing", F.when(known(swing_s), swing)).drop("_later", "_lm", "_lo", "last_t")
 
 
-def laning_features(samples: DataFrame, key: str, time: str, values: Sequence[str], spans: Sequence[int] = (2, 5, 10)) -> DataFrame:
-    """Changes and extremes over the last seconds, from readings at or before the moment only."""
+def laning_features(samples: DataFrame, key: str, time: str, values: Sequence[str], spans: Sequence[int] = (2, 5, 10), tie: Sequence[str] = ()) -> DataFrame:
+    """Changes and extremes over the last seconds, from readings at or before the moment only.
+
+    A change counts from the first reading of the span; ``tie`` orders readings of one time.
+    """
     out = samples
     aggs = {}
     for s in spans:
         parts = {}
         for v in values:
             parts[f"{v}_max_{s}s"], parts[f"{v}_min_{s}s"] = F.max(v), F.min(v)
-            parts[f"_{v}_first_{s}s"] = F.first(v)
+            parts[f"_{v}_first_{s}s"] = F.min_by(v, F.struct(time, *tie))
         out = rolling_range(out, [key], time, s, parts)
         aggs[s] = parts
     cols = [c for c in out.columns if not c.startswith("_")]

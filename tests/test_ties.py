@@ -6,6 +6,7 @@ from check_oracle import canon
 from conftest import SF
 
 from __spark_entry__ import oracle_sql, queries
+from peerscope.operators import labels as L
 
 
 @pytest.fixture(scope="module")
@@ -28,3 +29,13 @@ def same(spark, folder, name, *tables):
 @pytest.mark.parametrize("name", ["trade_segments", "trade_consequences", "trade_statistics", "laning_situations", "laning_labels"])
 def test_trades_of_tied_readings(spark, tied, name):
     same(spark, tied, name, "events")
+
+
+def test_change_since_the_first_of_tied_readings(spark, tied):
+    same(spark, tied, "laning_features", "events")
+
+
+def test_first_reading_does_not_hang_on_the_row_order(spark):
+    rows = [("v", 0, i, i * 7 % 5) for i in range(8)] + [("v", 1, 8, 100)]
+    change = lambda r: {x["id"]: x["me_change_5s"] for x in L.laning_features(spark.createDataFrame(r, "video string, t long, id long, me long").coalesce(1), "video", "t", ["me"], (5,), ["id"]).collect()}
+    assert change(rows) == change(rows[::-1]) and change(rows)[8] == 100
