@@ -20,6 +20,7 @@ from .scale import written
 MISSED = {"expected": 0.6, "net": 0.04, "won": 0.5}
 RISK, GAP, BEFORE, APART, DECISION, WATCH, STAYED = 2.0, 0.75, 1.5, 10.0, 1.0, 3.0, 2
 UNLIKELY_WIN = 0.45
+EDGE = 1e-9  # borders of rounded values go up, so that they don't hang on the order of operations
 LIMITS = (("weakness", 5), ("strength", 2))
 MOMENT = ("recording", "t", "kind", "polarity", "impact")
 
@@ -48,7 +49,7 @@ def summary(readings: DataFrame, trades: DataFrame) -> DataFrame:
     started = own(trades).groupBy("recording").agg(F.count(F.lit(1)).alias("trades"))
     nets = before_trades(readings, trades).groupBy("recording").agg(F.avg("at_net").alias("expected_net"), F.avg(F.col("opponent_lost") - F.col("me_lost")).alias("actual_net"))
     s = total.join(started, "recording", "left").join(nets, "recording", "left")
-    e, n = F.round(F.col("_p") * F.col("step") / DECISION, 1), F.coalesce("trades", F.lit(0))
+    e, n = F.round(F.col("_p") * F.col("step") / DECISION + EDGE, 1), F.coalesce("trades", F.lit(0))
     style = F.when((e >= 3) & (n < 0.5 * e), "passive").when((n >= 3) & (n > 2 * F.greatest(e, F.lit(0.5))), "aggressive")
     return s.select("recording", e.alias("expected"), n.alias("trades"), "expected_net", "actual_net", style.alias("style"))
 

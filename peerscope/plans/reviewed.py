@@ -54,12 +54,13 @@ ri AS (SELECT recording, start AS t, 'risky_trade' AS kind, 'weakness' AS polari
 mo AS (SELECT * FROM ms UNION ALL SELECT * FROM ch UNION ALL SELECT * FROM sc UNION ALL SELECT * FROM ri)"""
 
 
-@query("review_summary", with_sql(REVIEW_SQL) + """
-SELECT recording, expected, trades, round(expected_net, 6) + 0.0 AS expected_net, round(actual_net, 6) + 0.0 AS actual_net,
-  CASE WHEN expected >= 3 AND trades < 0.5 * expected THEN 'passive' WHEN trades >= 3 AND trades > 2 * greatest(expected, 0.5) THEN 'aggressive' END AS style FROM sm""")
+@query("review_summary", with_sql(REVIEW_SQL) + f""",
+ex AS (SELECT rd.recording, round(sum(p_trade) * any_value(step) + {M.EDGE}, 1) AS expected FROM rd JOIN sp USING (recording) GROUP BY rd.recording)
+SELECT recording, ex.expected, trades, round(expected_net + {M.EDGE}, 6) + 0.0 AS expected_net, round(actual_net + {M.EDGE}, 6) + 0.0 AS actual_net,
+  CASE WHEN ex.expected >= 3 AND trades < 0.5 * ex.expected THEN 'passive' WHEN trades >= 3 AND trades > 2 * greatest(ex.expected, 0.5) THEN 'aggressive' END AS style FROM sm JOIN ex USING (recording)""")
 def review_summary(s: Star) -> DataFrame:
     """Expected against started trades of each recording."""
-    return M.summary(*bound(s)).withColumns({c: F.round(c, 6) + 0.0 for c in ("expected_net", "actual_net")})
+    return M.summary(*bound(s)).withColumns({c: F.round(F.col(c) + M.EDGE, 6) + 0.0 for c in ("expected_net", "actual_net")})
 
 
 @query("review_moments", with_sql(MOMENTS_SQL) + "SELECT recording, t, kind, polarity, round(impact, 5) AS impact FROM mo")

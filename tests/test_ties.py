@@ -39,3 +39,15 @@ def test_first_reading_does_not_hang_on_the_row_order(spark):
     rows = [("v", 0, i, i * 7 % 5) for i in range(8)] + [("v", 1, 8, 100)]
     change = lambda r: {x["id"]: x["me_change_5s"] for x in L.laning_features(spark.createDataFrame(r, "video string, t long, id long, me long").coalesce(1), "video", "t", ["me"], (5,), ["id"]).collect()}
     assert change(rows) == change(rows[::-1]) and change(rows)[8] == 100
+
+
+def test_expected_trades_on_a_border(spark, tmp_path):
+    """Fifty readings a quarter of a second apart whose chances add up to 5.8, in every order of them: 1.45 trades."""
+    duckdb.execute(f"""COPY (SELECT CAST(3 * (1 + 3 * (i // 2) + i % 2) AS BIGINT) AS event_id, TIMESTAMP '2024-01-01' + to_seconds(i) AS ts, CAST(u AS BIGINT) AS user_id, 'click' AS event_type,
+      (CASE WHEN i < 49 THEN (i * (2 * u + 1)) % 29 ELSE 725 - (SELECT sum((j * (2 * u + 1)) % 29) FROM range(49) y(j)) END) / 100 AS value, '{{"k": 1}}' AS props
+      FROM range(50) x(i), range(40) z(u)) TO '{tmp_path}/events.parquet'""")
+    same(spark, str(tmp_path), "review_summary", "events")
+
+
+def test_review_of_many_trades(spark, tied):
+    same(spark, tied, "review_summary", "events")
