@@ -285,6 +285,7 @@ def recalls(samples: DataFrame, key: str, time: str, health: str, gold: str, ite
 
 # A slot is ready at this share of its own bright readings, of which it needs so many.
 READY_SHARE, READY_SEEN = 0.6, 20
+READY_EDGE = 1e-9  # a value on the border counts as ready, however the percentile is interpolated
 
 
 def slot_ready(readings: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, share: float = READY_SHARE, seen: int = READY_SEEN) -> DataFrame:
@@ -298,7 +299,7 @@ def slot_ready(readings: DataFrame, keys: Sequence[str], order: Sequence[str], v
     counts = some.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     q = grouped_quantiles(some, keys, value, {"_bright": 0.9}).select(*keys, "_bright").join(counts, keys)
     d = readings.join(dimension(q), keys, "left")
-    ready = F.when(F.col("_n") >= seen, F.col(value) >= F.lit(share) * F.col("_bright"))
+    ready = F.when(F.col("_n") >= seen, F.col(value) >= F.lit(share) * F.col("_bright") - READY_EDGE)
     d = d.withColumn("ready", ready)
     d = running(d, keys, order, {"_was": ("last", F.col("ready"))}, strict=True)
     return d.withColumn("confirmed", F.when(F.col("ready").isNotNull(), F.col("ready") & F.coalesce("_was", F.lit(False)))).drop("_n", "_bright", "_was")

@@ -28,10 +28,10 @@ def recalls(s: Star) -> DataFrame:
     return Q.recalls(r, "user_id", "t", "hp", "gold", "items", "dead", ["event_id"], OPENING, RESPAWNED, TRIP, LOOK, CHANNEL)
 
 
-@query("slot_readiness", with_sql(EVENTS_SQL) + """,
+@query("slot_readiness", with_sql(EVENTS_SQL) + f""",
 v AS (SELECT user_id, event_id % 2 AS slot, event_id, us, CASE WHEN cents % 9 <> 0 THEN cents / 100 END AS v FROM ev),
 q AS (SELECT user_id, slot, quantile_cont(v, 0.9) AS bright, count(v) AS n FROM v GROUP BY ALL),
-r AS (SELECT v.*, CASE WHEN n >= 20 THEN v >= 0.6 * bright END AS ready FROM v JOIN q USING (user_id, slot))
+r AS (SELECT v.*, CASE WHEN n >= 20 THEN v >= 0.6 * bright - {Q.READY_EDGE} END AS ready FROM v JOIN q USING (user_id, slot))
 SELECT user_id, slot, event_id, ready::INT AS ready, (CASE WHEN ready IS NOT NULL THEN ready AND coalesce((SELECT arg_max(x.ready, (x.us, x.event_id)) FROM r x WHERE x.user_id = r.user_id AND x.slot = r.slot AND x.ready IS NOT NULL AND (x.us, x.event_id) < (r.us, r.event_id)), false) END)::INT AS confirmed FROM r""")
 def slot_readiness(s: Star) -> DataFrame:
     """Which of two slots of each recording is ready, and whether the reading before says so too."""
