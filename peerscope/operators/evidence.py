@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.expr import written_numbers
 from .ordered import numbered, top_per_group
-from .scale import beside
+from .scale import beside, written
 
 
 
@@ -164,7 +164,11 @@ def readable_log(events: DataFrame, name_of: Column) -> DataFrame:
 
 
 def credit_summary(credit: DataFrame) -> DataFrame:
-    """A player's attribution in one game: rank of ten and the opposite number's total."""
+    """A player's attribution in one game: rank of ten and the opposite number's total.
+
+    The credit is written once: it is read for the ranks, for the opposite numbers and to count a match's rows.
+    """
+    credit = written(credit, "credit")
     r = numbered(credit.withColumn("_neg", -F.round("total", 6)), ["match_id"], ["_neg", "player"], "rank")
     o = credit.select(F.col("match_id").alias("_m"), F.when(F.col("player") <= 5, F.col("player") + 5).otherwise(F.col("player") - 5).alias("_p"), F.col("total").alias("opponent_total"))
     return r.join(o, (F.col("match_id") == F.col("_m")) & (F.col("player") == F.col("_p"))).select("match_id", "player", "rank", "total", "opponent_total")

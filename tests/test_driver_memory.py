@@ -47,3 +47,10 @@ def test_a_missing_minute_or_match_has_no_state(spark):
     got = W.game_state(W.minute_asks(f, e), some, e).select("match_id", "ask")
     want = {(r.match_id, f"m:{r.minute}") for r in f.where("match_id % 7 <> 3 AND minute <> 2").select("match_id", "minute").distinct().collect()}
     assert {tuple(r) for r in got.collect()} == want and got.count() == len(want)
+
+
+def test_earnings_are_not_dealt_by_minute(spark):
+    s = Star(spark, SF)
+    f, curve, earned, _ = chance.facts(s)
+    text = W.drift_shares(curve, f, earned)._jdf.queryExecution().executedPlan().toString()
+    assert not re.findall(r"hashpartitioning\([^)]*(?:minute|player)#", text)
