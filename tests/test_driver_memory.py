@@ -7,8 +7,9 @@ from conftest import SF
 
 from peerscope.operators import winprob as W
 from peerscope.operators.scale import grown, written
-from peerscope.plans import chance, equipped
+from peerscope.plans import chance, documents, equipped
 from peerscope.plans.star import Star
+from peerscope.sources import matches as M
 
 
 @pytest.mark.parametrize("plan", [chance, equipped], ids=["chance", "equipped"])
@@ -54,3 +55,17 @@ def test_earnings_are_not_dealt_by_minute(spark):
     f, curve, earned, _ = chance.facts(s)
     text = W.drift_shares(curve, f, earned)._jdf.queryExecution().executedPlan().toString()
     assert not re.findall(r"hashpartitioning\([^)]*(?:minute|player)#", text)
+
+
+def test_document_joins_are_merged(spark):
+    s = Star(spark, SF)
+    p, t = written(M.participants(documents.matches(s)), "participants"), written(documents.timelines(s), "timelines")
+    minutes = written(M.with_differences(M.minute_frames(t), p), "minutes")
+    for df in (M.with_differences(M.minute_frames(t), p), M.deaths(M.events(t, ["CHAMPION_KILL"]), minutes, p), M.team_gold(minutes, p)):
+        assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_documents_are_parsed_once(spark):
+    s = Star(spark, SF)
+    for query in (documents.standing_purchases, documents.minute_counters, documents.death_details):
+        assert "from_json" not in query(s)._jdf.queryExecution().optimizedPlan().toString()
