@@ -30,6 +30,8 @@ FULL = 255  # a counter of 255 stands for this count or more
 FIRST = 16  # documents of highest bound that are scored for each item first
 CELLS = 8_000_000
 PART = 1 << 20
+SENT = 2 << 20  # bytes of texts read, or of sketches sent, at once
+ROW_GROUP = 8 << 20
 ITEM_BYTES, ITEMS = 4 << 20, 5000
 # Odd multipliers, one for each row of a sketch.
 MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
@@ -68,7 +70,11 @@ def sketch(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 
 def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A written table with doc_id, n (terms with repeats) and sketch, a row for each document that has terms."""
+    """A written table with doc_id, n (terms with repeats) and sketch, a row for each document that has terms.
+
+    Sketches are some times the size of their texts: they leave a task ``SENT`` bytes at a time and are written in
+    small row groups without a dictionary, so neither the worker nor the writer holds many of them.
+    """
     small_batches(docs.sparkSession)
     schema = f"doc_id {docs.schema[id_col].dataType.simpleString()}, n bigint, sketch binary"
     arrow = arrow_schema(schema)
@@ -76,18 +82,35 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     def run(batches):
         known = WordHashes()
         for batch in batches:
-            for part in slices(batch, "text"):
-                ids, lengths, sketches = [], [], []
-                for i, text in zip(part.column(0).to_pylist(), bytes_of(part), strict=True):
-                    terms = [known.array(t) for t in term_lists(text) if t]
-                    if terms:
-                        terms = np.concatenate(terms)
-                        ids.append(i)
-                        lengths.append(len(terms))
-                        sketches.append(sketch(*np.unique(terms, return_counts=True)).tobytes())
-                yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip((ids, lengths, sketches), arrow, strict=True)], schema=arrow)
-
-    return written(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, schema), "sketches")
+            for part in slices(batch, "text", SENT):
+                for rows in sent(entry for entry in map(lambda i, text: indexed(i, text, known), part.column(0).to_pylist(), bytes_of(part)) if entry):
+                    yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), arrow, strict=True)], schema=arrow)
+
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
+    return written(rows, "sketches", **{"parquet.block.size": str(ROW_GROUP), "parquet.enable.dictionary": "false"})
+
+
+def indexed(ident, text: bytes, known: WordHashes) -> tuple | None:
+    """A document's entry: id, terms with repeats, sketch; None without terms."""
+    terms = [known.array(t) for t in term_lists(text) if t]
+    if not terms:
+        return None
+    terms = np.concatenate(terms)
+    return ident, len(terms), sketch(*np.unique(terms, return_counts=True)).tobytes()
+
+
+def sent(rows: Iterator[tuple], limit: int | None = None) -> Iterator[list[tuple]]:
+    """Entries in lists of about ``limit`` bytes of sketches (a larger one stands alone)."""
+    limit = limit or SENT
+    held, size = [], 0
+    for row in rows:
+        if held and size + len(row[2]) > limit:
+            yield held
+            held, size = [], 0
+        held.append(row)
+        size += len(row[2])
+    if held:
+        yield held
 
 
 class Batch:
