@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .dimensions import title_columns
 
-RECORDING_SCHEMA = """kind string, recorded_at double, player_id string, champion string, position string, team string, game_mode string, t double, hp double,
+RECORDING_SCHEMA = """recording string, kind string, recorded_at double, player_id string, champion string, position string, team string, game_mode string, t double, hp double,
 hp_max double, res double, res_max double, gold double, level int, abilities map<string, int>, players array<struct<player_id: string, dead: boolean,
 respawn: double, level: int, kills: int, deaths: int, assists: int, creepScore: int, ward_score: double, items: array<int>>>, event string, event_time double"""
 READING_SCHEMA = """t double, w int, h int, clock int, panel struct<hp: double, mana: double, xp: double, slots: map<string, double>>,
@@ -15,9 +15,12 @@ sides array<array<double>>, camera array<double>"""
 
 
 def read_recordings(spark, path: str, stream: bool = False) -> DataFrame:
-    """Lines of gzip JSON files with their file: header, samples and events mixed."""
+    """Lines of gzip JSON files with their recording: header, samples and events mixed.
+
+    A recording is its file, unless its lines name it: files that hold many recordings need no file for each.
+    """
     r = (spark.readStream if stream else spark.read).schema(RECORDING_SCHEMA.replace("\n", " "))
-    return r.json(path).withColumn("recording", F.col("_metadata.file_path"))
+    return r.json(path).withColumn("recording", F.coalesce("recording", F.col("_metadata.file_path")))
 
 
 def split_recordings(lines: DataFrame, min_samples: int = 60, modes: tuple[str, ...] = ("CLASSIC",)) -> tuple[DataFrame, DataFrame, DataFrame]:
