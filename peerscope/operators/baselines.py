@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions.expr import patch_key
 from .ordered import top_per_group
-from .quantiles import grouped_quantiles
-from .scale import dimension
+from .quantiles import counted_quantiles, grouped_quantiles
+from .scale import dimension, written
 
 PROBS = {"p10": 0.10, "p25": 0.25, "p50": 0.50, "p75": 0.75, "p90": 0.90}
 ALL = "*"
@@ -64,13 +64,16 @@ def build_baselines(long: DataFrame, tier: str, role: str, champion: str, minute
                     min_n: int = 20, digits: int = 6) -> DataFrame:
     """Distribution rows per (tier, role, champion, metric[, minute]) and, with champion '*', per role.
 
-    Both levels come from one pass: a row is expanded to its two groups by grouping sets.
+    Both levels come from one pass: equal values of a champion are counted once, and each count goes to its two groups.
     """
     keyed = long.select(F.col(tier).alias("tier"), F.col(role).alias("role"), F.col(champion).alias("champion"),
                         "metric", (F.col(minute) if minute else F.lit(None)).cast("int").alias("minute"), "value")
-    # Expanding rows to both levels lets one percentile aggregation, and one hot-group check, serve both.
-    both = keyed.withColumn("champion", F.explode(F.array(F.col("champion").cast("string"), F.lit(ALL))))
-    out = grouped_quantiles(both, ["tier", "role", "champion", "metric", "minute"], "value", PROBS, min_n)
+    keys = ["tier", "role", "champion", "metric", "minute"]
+    counts = keyed.where(F.col("value").isNotNull()).groupBy(*keys, "value").agg(F.count(F.lit(1)).alias("_times"))
+    counts = written(counts, "counts")  # read for the hot groups, the percentiles and the deviations
+    # Expanding counts to both levels lets one percentile aggregation, and one hot-group check, serve both.
+    both = counts.withColumn("champion", F.explode(F.array(F.col("champion").cast("string"), F.lit(ALL))))
+    out = counted_quantiles(both, keys, "value", "_times", PROBS, min_n)
     return out.select("tier", "role", "champion", "metric", "minute", "n", F.round("mean", digits).alias("mean"),
                       F.round("sd", digits).alias("sd"), *[F.round(q, digits).alias(q) for q in PROBS])
 

@@ -28,6 +28,36 @@ def grouped_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: dic
     return cold.unionByName(big).where(F.col("n") >= min_n)
 
 
+def counted_quantiles(counts: DataFrame, keys: Sequence[str], value: str, times: str, probs: dict[str, float],
+                      min_n: int = 1) -> DataFrame:
+    """``grouped_quantiles`` of values that stand for ``times`` rows each: the buffers get a value once, not once a row.
+
+    Groups with more distinct values than the hot limit are spread out into rows again for ``_bracketed``.
+    """
+    keys = list(keys)
+    hot = hot_keys(counts, keys)
+    if hot is None:
+        return _weighted(counts, keys, value, times, probs).where(F.col("n") >= min_n)
+    marked = mark_hot(counts, hot, None)
+    cold = _weighted(marked.where(~F.col("_is_hot")), keys, value, times, probs)
+    rows = marked.where("_is_hot").select(*keys, value, F.explode(F.sequence(F.lit(1).cast("long"), F.col(times))).alias("_i")).drop("_i")
+    big = _bracketed(rows, keys, value, probs, hot_rows(counts))
+    return cold.unionByName(big).where(F.col("n") >= min_n)
+
+
+def _weighted(counts, keys, value, times, probs):
+    v, c = F.col(value).cast("double"), F.col(times)
+    q = F.percentile(v, F.array(*[F.lit(p) for p in probs.values()]), c)
+    agg = counts.groupBy(*keys).agg(F.sum(c).alias("n"), (F.sum(v * c) / F.sum(c)).alias("mean"), q.alias("_q"))
+    # Squares are summed around the mean, in a second pass: the difference of two sums of squares would lose digits.
+    means = agg.select(*[F.col(k).alias(f"_m_{k}") for k in keys], F.col("mean").alias("_mean"))
+    off = counts.join(means, [F.col(k).eqNullSafe(F.col(f"_m_{k}")) for k in keys])
+    sds = off.groupBy(*[F.col(f"_m_{k}") for k in keys]).agg(
+        F.when(F.sum(c) > 1, F.sqrt(F.sum(c * (v - F.col("_mean")) * (v - F.col("_mean"))) / (F.sum(c) - 1))).otherwise(F.lit(0.0)).alias("sd"))
+    return agg.join(sds, [F.col(k).eqNullSafe(F.col(f"_m_{k}")) for k in keys]).select(
+        *keys, "n", "mean", "sd", *[F.col("_q")[i].alias(n) for i, n in enumerate(probs)])
+
+
 def _moments(value: str):
     return [F.count(F.lit(1)).alias("n"), F.avg(value).alias("mean"),
             F.coalesce(F.stddev_samp(value), F.lit(0.0)).alias("sd")]

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from ..operators import baselines as B
 from ..operators import scoring as S
 from ..operators.joins import fallback_baselines
-from ..operators.scale import dimension
+from ..operators.scale import dimension, written
+from ..session import parts
 from .registry import query
 from .star import GAMES_SQL, LINES_SQL, TIERS, Star, with_sql
 
@@ -95,8 +96,8 @@ scored AS (
 ALL_SCORED_SQL = (BASE_SQL, EFFECTS_SQL, LANES_SQL, CHOSEN_SQL, SCORED_SQL)
 
 
-def base_table(s: Star) -> DataFrame:
-    return B.build_baselines(s.metric_rows(), "tier", "role", "champion", None, 20)
+def base_table(s: Star, long: DataFrame | None = None) -> DataFrame:
+    return B.build_baselines(s.metric_rows() if long is None else long, "tier", "role", "champion", None, 20)
 
 
 @query("baseline_game", with_sql(BASE_SQL) + """
@@ -135,12 +136,14 @@ def champion_effects(s: Star) -> DataFrame:
 
 
 def _sources(s: Star):
-    base = dimension(base_table(s))
+    # The lines are joined once: baselines, strengths, needs and the scores all read the written ones.
+    rows = s.metric_rows(written(s.metric_lines(), "lines"))
+    base = dimension(base_table(s, rows))
     opponent = F.when(F.col("metric").isin(*LEAD_METRICS),
                       F.concat(F.lit("Brand#"), (1 + F.substring("champion", 7, 3).cast("int") % 25).cast("string")))
-    long = s.metric_rows().withColumn("opponent", opponent).withColumn("minute", F.lit(None).cast("int"))
+    long = rows.withColumn("opponent", opponent).withColumn("minute", F.lit(None).cast("int"))
     effects = dimension(B.champion_effects(base, gate=0.25))
-    return long, base, effects, dimension(B.lane_strength(s.metric_rows(), "role", "champion"))
+    return long, base, effects, dimension(B.lane_strength(rows, "role", "champion"))
 
 
 @query("baseline_fallback", with_sql(BASE_SQL, EFFECTS_SQL, LANES_SQL, CHOSEN_SQL) + """
@@ -190,7 +193,9 @@ capped AS (SELECT *, row_number() OVER (PARTITION BY game_id, area ORDER BY weig
 placed AS (SELECT *, row_number() OVER (PARTITION BY game_id ORDER BY weight DESC, metric, champion) AS position FROM capped WHERE a <= 2)
 SELECT game_id, champion, metric, area, goodness, kind, position FROM placed WHERE position <= 8""")
 def evidence_table(s: Star) -> DataFrame:
-    best = scored(s).groupBy("game_id", "champion", "metric", "area", "coachable").agg(
+    # Dealt by the game alone, once, for the means and both rankings; a fixed number of parts is not put together again.
+    rows = scored(s).select("game_id", "champion", "metric", "area", "coachable", "goodness").repartition(parts(s.spark), "game_id")
+    best = rows.groupBy("game_id", "champion", "metric", "area", "coachable").agg(
         F.round(F.avg("goodness"), 5).alias("goodness"))
     out = S.findings(best, ["game_id"], tie=["champion"])
     return out.select("game_id", "champion", "metric", "area", "goodness", "kind", "position")
