@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import evidence as N
 from ..operators import statistics as G
 from ..operators import winprob as W
-from ..operators.scale import dimension
+from ..operators.scale import dimension, written
 from .chance import events as play_events
 from .chance import shares
 from .grouped import RATES_SQL, bench_table
@@ -16,10 +16,16 @@ from .registry import query
 from .star import LINES_SQL, Star, with_sql
 
 
+# The columns of the builds that notes and rates read.
+NOTED = ("match_id", "team", "role", "tier", "win", "kills", "deaths", "assists", "cs", "damage", "vision", "duration_s", "team_kills", "cs_diff", "gold_diff")
+
+
 def wide(s: Star) -> DataFrame:
     """Builds with everything the note rules read; leads come from the seat's own opponent."""
-    b = N.wide_rows(G.rates(s.builds()))
-    t = bench_table(s).where("metric IN ('cs_min', 'vision_min', 'dmg_min', 'deaths_10')")
+    # Worked out once: the totals, the counts of their groups and the percentiles all read the written rows.
+    rates = written(G.rates(s.builds().select(*NOTED)), "rates")
+    b = N.wide_rows(rates)
+    t = bench_table(s, rates).where("metric IN ('cs_min', 'vision_min', 'dmg_min', 'deaths_10')")
     p = t.groupBy(F.col("tier").alias("_t"), F.col("role").alias("_r")).agg(*[
         F.max(F.when(F.col("metric") == m, F.col(q))).alias(f"{m}_{q}") for m in ("cs_min", "vision_min", "dmg_min", "deaths_10") for q in ("p20", "p50", "p80")])
     p = dimension(p)

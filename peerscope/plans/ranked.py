@@ -6,10 +6,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import baselines as B
+from ..operators import statistics as G
+from ..operators.scale import written
 from .grouped import RATES_SQL, bench_table
 from .registry import query
 from .star import TIERS, Star, with_sql
 
+# The columns of the builds that players' numbers and rates read.
+READ = ("match_id", "player", "team", "role", "tier", "start_s", "kills", "deaths", "assists", "cs", "damage", "vision", "duration_s", "team_kills")
 NAMES_SQL = "[" + ", ".join(f"'{t}'" for t in TIERS) + "]"
 MINE_SQL = RATES_SQL + """,
 newest AS (SELECT * FROM builds QUALIFY row_number() OVER (PARTITION BY player, role ORDER BY start_s DESC, match_id DESC, team) <= 50),
@@ -22,12 +26,17 @@ RANKED_SQL = MINE_SQL + f""",
 rungs AS (SELECT role, metric, tier, p50, list_position({NAMES_SQL}, tier) AS place FROM bench WHERE tier <> 'ALL')"""
 
 
-def mine(s: Star) -> DataFrame:
-    return B.role_stats(s.builds(), [F.col("start_s").desc(), F.col("match_id").desc(), F.col("team")])
+def mine(s: Star, builds: DataFrame | None = None) -> DataFrame:
+    return B.role_stats(s.builds() if builds is None else builds, [F.col("start_s").desc(), F.col("match_id").desc(), F.col("team")])
 
 
-def matched(s: Star) -> DataFrame:
-    return B.ranks_matched(mine(s), bench_table(s), TIERS)
+def played(s: Star) -> DataFrame:
+    """The build rows, worked out once: players' numbers, the ranks' medians and the list of players all read them."""
+    return written(s.builds().select(*READ), "builds")
+
+
+def matched(s: Star, builds: DataFrame) -> DataFrame:
+    return B.ranks_matched(mine(s, builds), bench_table(s, G.rates(builds)), TIERS)
 
 
 @query("role_stats", with_sql(MINE_SQL) + " SELECT * FROM mine")
@@ -39,7 +48,7 @@ def role_stats(s: Star) -> DataFrame:
 held AS (SELECT m.*, r.tier, r.place, CASE metric WHEN 'deaths_10' THEN value <= p50 ELSE value >= p50 END AS met FROM mine m JOIN rungs r USING (role, metric))
 SELECT player, role, games, metric, value, arg_max(tier, place) FILTER (WHERE met) AS "like", count(*) FILTER (WHERE met) AS n_met FROM held GROUP BY player, role, games, metric, value""")
 def ranks_matched(s: Star) -> DataFrame:
-    return matched(s).drop("ladder")
+    return matched(s, played(s)).drop("ladder")
 
 
 @query("next_steps", with_sql(RANKED_SQL) + f""",
@@ -50,5 +59,6 @@ SELECT player, role, next, metric, value, wanted, round(d / abs(wanted), 6) AS g
 QUALIFY row_number() OVER (PARTITION BY player, role ORDER BY round(d / abs(wanted), 6) DESC, metric DESC) = 1""")
 def next_steps(s: Star) -> DataFrame:
     """A player's tier is that of the player's number."""
-    own = s.builds().select("player").distinct().withColumn("tier", F.get(F.array(*map(F.lit, TIERS)), (F.col("player") % len(TIERS)).cast("int")))
-    return B.next_steps(matched(s), own)
+    builds = played(s)
+    own = builds.select("player").distinct().withColumn("tier", F.get(F.array(*map(F.lit, TIERS)), (F.col("player") % len(TIERS)).cast("int")))
+    return B.next_steps(matched(s, builds), own)
