@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.expr import written_numbers
-from ..operators.ordered import numbered
 from ..operators.scale import written
 from ..sources import dimensions as D
 from ..sources import matches as M
@@ -33,7 +32,9 @@ def _perks():
 
 def match_texts(s: Star) -> DataFrame:
     """One JSON document per order: seats are participants, returned lines bans, classes objectives."""
-    seat = s.seats()
+    # Seats, bans and objectives read the lines joined once.
+    lines = written(s.lines().drop("player", "status", "game_score", "ship_s"), "lines")
+    seat = s.seats(lines)
     people = seat.select("game_id", F.struct(
         _pid().alias("participantId"), F.col("supplier").cast("string").alias("puuid"), _side().alias("teamId"), F.concat(F.lit("R"), "slot").alias("teamPosition"),
         F.substring("champion", 7, 3).cast("int").alias("championId"), "win", F.col("kills").cast("int").alias("kills"), F.col("deaths").cast("int").alias("deaths"),
@@ -41,9 +42,9 @@ def match_texts(s: Star) -> DataFrame:
         (F.col("gold") * 100).cast("int").alias("goldEarned"), F.col("item").cast("int").alias("item0"), (F.col("item") % 50).cast("int").alias("visionScore"),
         F.lit(4).alias("summoner1Id"), (F.col("item") % 5 + 1).cast("int").alias("summoner2Id"), _perks().alias("perks")).alias("_p"))
     p = people.groupBy("game_id").agg(F.collect_list("_p").alias("participants"))
-    bans = s.lines().where("flag = 'R'").groupBy("game_id", _side().alias("teamId")).agg(
+    bans = lines.where("flag = 'R'").groupBy("game_id", _side().alias("teamId")).agg(
         F.array_sort(F.collect_list(F.struct(F.col("slot").cast("int").alias("pickTurn"), F.substring("champion", 7, 3).cast("int").alias("championId")))).alias("bans"))
-    obj = s.lines().groupBy("game_id", _side().alias("teamId"), "class").agg(F.count(F.lit(1)).cast("int").alias("kills"), F.bool_or("win").alias("win"))
+    obj = lines.groupBy("game_id", _side().alias("teamId"), "class").agg(F.count(F.lit(1)).cast("int").alias("kills"), F.bool_or("win").alias("win"))
     teams = obj.groupBy("game_id", "teamId").agg(F.bool_or("win").alias("win"), F.map_from_entries(F.collect_list(F.struct("class", F.struct((F.col("kills") >= 2).alias("first"), "kills")))).alias("objectives"))
     t = teams.join(bans, ["game_id", "teamId"], "left").groupBy("game_id").agg(F.collect_list(F.struct("teamId", "win", "bans", "objectives")).alias("teams"))
     g = s.games().join(p, "game_id").join(t, "game_id")
@@ -97,35 +98,35 @@ def rejected_documents(s: Star) -> DataFrame:
 def timeline_texts(s: Star) -> DataFrame:
     """One timeline per order: eight frames with uneven offsets; lines are purchases, undos, kills, wards and skills."""
     c = F.col
-    seat = s.seats().withColumn("pid", _pid())
-    people = seat.groupBy("game_id").agg(F.collect_list(F.struct("pid", "gold", "kills", "item")).alias("_p"))
-    l = s.lines().withColumn("pid", _pid())
-    l = numbered(l, ["game_id"], ["slot", "item", "supplier", "price", "quantity"], "rn")
-    t = ((c("slot") - 1) * 60000 + c("rn") * 700).cast("bigint")
+    l = s.lines().groupBy("game_id", "slot", "team").agg(
+        F.sum("quantity").alias("gold"), F.sum("discount").alias("kills"), F.max("item").alias("last"),
+        F.collect_list(F.struct("slot", "item", "supplier", "price", "quantity", "flag", "tax", _pid().alias("pid"))).alias("_l"))
+    # A game's lines travel once, as one array: they are numbered and made events inside the row.
+    g = l.groupBy("game_id").agg(F.collect_list(F.struct(_pid().alias("pid"), "gold", "kills", c("last").alias("item"))).alias("_p"), F.flatten(F.collect_list("_l")).alias("_l"))
     ev = lambda **kw: F.struct(*[v.alias(k) for k, v in kw.items()])
+    spot = lambda x, y: F.struct(x.alias("x"), y.alias("y"))
     none_i = F.lit(None).cast("int")
-    undo = (c("flag") == "A") & (c("quantity") < 25)
-    events = F.array(
+    events = lambda c, t, undo: F.array(
         ev(type=F.when(undo, "ITEM_UNDO").otherwise("ITEM_PURCHASED"), timestamp=t, participantId=F.lit(1), itemId=F.when(~undo, (c("item") % 6 + 1).cast("int")), beforeId=F.when(undo, (c("item") % 6 + 1).cast("int")),
-           killerId=none_i, victimId=none_i, assistingParticipantIds=F.lit(None).cast("array<int>"), creatorId=none_i, wardType=F.lit(None).cast("string"), skillSlot=none_i, levelUpType=F.lit(None).cast("string"), x=none_i, y=none_i),
+           killerId=none_i, victimId=none_i, assistingParticipantIds=F.lit(None).cast("array<int>"), creatorId=none_i, wardType=F.lit(None).cast("string"), skillSlot=none_i, levelUpType=F.lit(None).cast("string"), position=spot(none_i, none_i)),
         ev(type=F.when(c("flag") == "R", "CHAMPION_KILL").otherwise("WARD_PLACED"), timestamp=t + 100, participantId=none_i, itemId=none_i, beforeId=none_i, killerId=F.when(c("flag") == "R", (c("item") % 14 + 1).cast("int")),
            victimId=F.when(c("flag") == "R", c("pid")), assistingParticipantIds=F.when((c("flag") == "R") & (c("quantity") > 25), F.array((c("item") % 7 + 1).cast("int"))), creatorId=F.when(c("flag") != "R", c("pid")),
            wardType=F.when(c("flag") != "R", F.when(c("tax") >= 4, "SIGHT_WARD").otherwise("UNDEFINED")), skillSlot=none_i, levelUpType=F.lit(None).cast("string"),
-           x=(c("item") * 7 % 14870).cast("int"), y=(c("price") * 3 % 14980).cast("int")),
+           position=spot((c("item") * 7 % 14870).cast("int"), (c("price") * 3 % 14980).cast("int"))),
         ev(type=F.lit("SKILL_LEVEL_UP"), timestamp=t + 200, participantId=F.lit(1), itemId=none_i, beforeId=none_i, killerId=none_i, victimId=none_i, assistingParticipantIds=F.lit(None).cast("array<int>"), creatorId=none_i,
-           wardType=F.lit(None).cast("string"), skillSlot=(c("item") % 4 + 1).cast("int"), levelUpType=F.lit("NORMAL"), x=none_i, y=none_i))
-    logs = l.select("game_id", F.explode(events).alias("e")).select("game_id", F.struct(
-        "e.type", "e.timestamp", "e.participantId", "e.itemId", "e.beforeId", "e.killerId", "e.victimId", "e.assistingParticipantIds", "e.creatorId", "e.wardType", "e.skillSlot", "e.levelUpType",
-        F.struct("e.x", "e.y").alias("position")).alias("e"))
-    log = logs.groupBy("game_id").agg(F.array_sort(F.collect_list(F.struct(c("e.timestamp").alias("t"), "e"))).alias("_e"))
-    d = people.join(log, "game_id")
+           wardType=F.lit(None).cast("string"), skillSlot=(c("item") % 4 + 1).cast("int"), levelUpType=F.lit("NORMAL"), position=spot(none_i, none_i)))
+    # Lines in order of slot and number are events in order of time.
+    made = F.flatten(F.transform(F.array_sort("_l"), lambda x, i: events(
+        lambda n: x[n], ((x["slot"] - 1) * 60000 + (i + 1) * 700).cast("bigint"), (x["flag"] == "A") & (x["quantity"] < 25))))
+    # A generator's output is a value of its own: the events are not made anew for every frame.
+    d = g.select("game_id", "_p", F.explode(F.array(made)).alias("_e"))
     offset = lambda m: F.when(m == 0, F.lit(0)).otherwise((c("game_id") * 37 + m * 2311) % 8000)
 
     def frame(m):
         at = m.cast("bigint") * 60000 + offset(m)
         pf = F.map_from_entries(F.transform("_p", lambda p: F.struct(p["pid"].cast("string").alias("k"), F.struct(
             (500 + p["gold"] * 10 * m).cast("int").alias("totalGold"), (p["kills"] * m).cast("int").alias("xp"), (p["gold"] * m).cast("int").alias("minionsKilled"), (m + 1).cast("int").alias("level")).alias("v"))))
-        mine = F.transform(F.filter("_e", lambda e: F.floor(e["t"] / 60000) == m), lambda e: e["e"])
+        mine = F.filter("_e", lambda e: F.floor(e["timestamp"] / 60000) == m)
         return F.struct(at.alias("timestamp"), pf.alias("participantFrames"), mine.alias("events"))
 
     frames = F.transform(F.sequence(F.lit(0), F.lit(7)), frame)
