@@ -23,7 +23,8 @@ def score_games(long: DataFrame, catalogue: DataFrame, baselines: DataFrame, eff
     ``long`` has the GROUP columns (opponent and minute may be null), ``value`` and any keys. The fallback
     runs once per distinct group, then facts meet its result in one join.
     """
-    judged = long.join(catalogue, "metric").where(~F.array_contains("skip_roles", F.col("role"))).drop("skip_roles")
+    # The catalogue is one row a metric; of unknown size it would be merged, all rows of a metric in one task.
+    judged = long.join(F.broadcast(catalogue), "metric").where(~F.array_contains("skip_roles", F.col("role"))).drop("skip_roles")
     needs = judged.select(*GROUP).distinct()
     chosen = dimension(fallback_baselines(needs, baselines, effects, lanes, tier_order, own_min_n, role_min_n,
                                           lead_metrics, max_distance))
